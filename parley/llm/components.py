@@ -1,0 +1,34 @@
+"""Connected components of an undirected graph given as edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parley.llm.common import stage
+
+#: Rounds after which a graph that still changes is an error rather than a wrong answer.
+MAX_ROUNDS = 100
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node in ``edges`` (a, b: long); the component is its smallest node.
+
+    Each round hands every node its neighbours' smallest label, then the label of its label, so that chains shorten by half.
+    Labels and edges are written to the shared folder; hubs meet in joins that Spark splits and in sums made before the shuffle.
+    Self-loops make a node known. Null ends are left out.
+    """
+    edges = edges.where("a is not null and b is not null")
+    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
+    for _ in range(MAX_ROUNDS):
+        near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("low"))
+        lower = stage(lower, "lower")
+        of = lower.select(F.col("node").alias("low"), F.col("low").alias("beyond"))
+        labels = stage(lower.join(of, "low", "left").select("node", F.least("low", "beyond").alias("next"), "label"), "labels")
+        changed = labels.where("next <> label").limit(1).count()
+        labels = labels.select("node", F.col("next").alias("label"))
+        if not changed:
+            return labels.select("node", F.col("label").alias("component"))
+    raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
