@@ -325,11 +325,13 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **more).select("doc_id", "mark", "class_id")
     found = stage(found, "classes")
-    extra = bounded(found.where("doc_id is not null and doc_id <> class_id").select("doc_id", "mark").distinct())
-    ids, mark = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
-    kept = docs.join(extra, (ids == extra.doc_id) & (mark == extra["mark"]), "left_anti")
-    again = bounded(found.where("doc_id = class_id").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "mark"))
+    named = [F.col("doc_id").alias("parley_id"), F.col("mark").alias("parley_mark")]
+    is_it = (F.col(id_col).cast("long") == F.col("parley_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("parley_mark"))
+    extra = bounded(found.where("doc_id is not null and doc_id <> class_id").select(*named).distinct())
+    kept = docs.join(extra, is_it, "left_anti")
+    again = found.where("doc_id = class_id").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(*named)
     if again.limit(1).count():  # rows that repeat an id and a text, and stand for their class
-        twice = kept.join(again, (ids == again.doc_id) & (mark == again["mark"]), "left_semi")
-        kept = kept.join(again, (ids == again.doc_id) & (mark == again["mark"]), "left_anti").unionByName(twice.dropDuplicates([id_col, text_col]))
+        again = bounded(again)
+        twice = kept.join(again, is_it, "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(again, is_it, "left_anti").unionByName(twice)
     return kept
