@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of whole texts in one Arrow batch, at most.
+BATCH_ROWS = 1000
 #: Rows that may be broadcast: about 64 bytes each, so 64 MB at most.
 BROADCAST_ROWS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -27,6 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or "/tmp/checkpoints").rstrip("/")
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches hold BATCH_ROWS rows at most: ten thousand whole texts are too many for a task."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost no rework."""
     path = f"{shared_folder(df.sparkSession)}/parley-{name}-{uuid.uuid4().hex}"

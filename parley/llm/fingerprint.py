@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import SLICE_BYTES, item_hashes, mixed
+from parley.llm.common import item_hashes, mixed, SLICE_BYTES, small_batches
 
 SLOTS = 64
 #: The lowest level whose names count.
@@ -226,4 +226,4 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _dealt(texts, parts).repartition("range").sortWithinPartitions(F.col("range"), F.col("guest"), F.col("order").desc(), F.col("text").desc())
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("doc_id", "range", "guest", "text").mapInArrow(_paired, schema)
+    return small_batches(dealt.select("doc_id", "range", "guest", "text")).mapInArrow(_paired, schema)

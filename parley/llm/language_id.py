@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import LOWERED, bounded, byte_table, crc_of_id, mixed, slices, spans
+from parley.llm.common import bounded, byte_table, crc_of_id, LOWERED, mixed, slices, small_batches, spans
 
 #: Bytes of words: ASCII letters and all beyond ASCII.
 LETTERS = byte_table((65, 90), (97, 122), (128, 255))
@@ -155,7 +155,7 @@ def languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not names:
         return docs.select("doc_id", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit("").alias("langs"))
-    found = docs.select("doc_id", "text", known.alias("known")).mapInArrow(run, "doc_id long, lang_pred string, score double, langs string, known boolean")
+    found = small_batches(docs.select("doc_id", "text", known.alias("known"))).mapInArrow(run, "doc_id long, lang_pred string, score double, langs string, known boolean")
     return found.select(
         "doc_id",
         held,

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import LOWERED, WORDLIKE, bounded, by_group, mixed, slices, stage, window_hashes, word_hashes
+from parley.llm.common import bounded, by_group, LOWERED, mixed, slices, small_batches, stage, window_hashes, word_hashes, WORDLIKE
 from parley.llm.components import components
 
 #: Nodes of a bucket, and of a family, that one group handles.
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if threshold < 0.8:
         raise ValueError("families are only proven to hold links at 0.8 or more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = docs.withColumn("mark", F.xxhash64("text")).mapInArrow(_signatures(width, bands, rows), "doc_id long, node long, sig binary, mark long")
+    signed = small_batches(docs.withColumn("mark", F.xxhash64("text"))).mapInArrow(_signatures(width, bands, rows), "doc_id long, node long, sig binary, mark long")
     signed = stage(signed, "signed")
     nodes = stage(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "nodes")
     families = components(_families(nodes, bands, rows, tolerance))

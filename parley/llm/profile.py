@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import LOWERED, UNSPACED, WORDLIKE, byte_table, mixed, slices, spans, span_hashes, window_hashes, word_hashes
+from parley.llm.common import byte_table, LOWERED, mixed, slices, small_batches, span_hashes, spans, UNSPACED, window_hashes, word_hashes, WORDLIKE
 from parley.llm.common import _BYTES
 
 #: Frequent function words of some languages.
@@ -137,7 +137,7 @@ def profiles(docs: DataFrame, keep: list[str]) -> DataFrame:
         schema.add(k, T.LongType())
     for k in ("chars", "common"):
         schema.add(k, T.ArrayType(T.IntegerType()))
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_profiles(keep), schema)
+    return small_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(_profiles(keep), schema)
 
 
 def kept_columns(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list, list]:
