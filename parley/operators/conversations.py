@@ -64,7 +64,7 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = df.select(F.col(order).cast("double").alias("at"))
     cuts = at.stat.approxQuantile("at", [i / parts for i in range(1, parts)], 0.5 / parts) if parts > 1 else []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *sorted({0.0, *cuts}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="parley_at", outputCol="parley_range").transform(df.withColumn("parley_at", F.col(order).cast("double")))
     ranged = ranged.withColumn("parley_n", F.row_number().over(Window.partitionBy("parley_range").orderBy(order)))
     counts = ranged.groupBy("parley_range").agg(F.count("*").alias("n"))  # one row for each of at most ``parts`` ranges

@@ -48,7 +48,7 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
 
 def _scattered(points: DataFrame) -> DataFrame:
     own = centroids(points)
-    whole = points.agg(Summarizer.mean(array_to_vector("v")).alias("m")).select(vector_to_array("m").alias("mean"))
+    whole = points.groupBy(F.lit(1)).agg(Summarizer.mean(array_to_vector("v")).alias("m")).select(vector_to_array("m").alias("mean"))
     between = own.join(F.broadcast(whole), F.lit(True)).agg(F.sum(F.col("n") * squared(F.col("center"), F.col("mean"))).alias("between"), F.count("*").alias("k"), F.sum("n").alias("n"))
     within = points.join(F.broadcast(own.select("label", "center")), "label").agg(F.sum(squared(F.col("v"), F.col("center"))).alias("within"))
     return between.join(F.broadcast(within), F.lit(True))

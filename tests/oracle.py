@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,7 +17,7 @@ def connect(sf_dir):
 
 
 def _plain(value):
-    if value is None or value != value:
+    if value is None or pd.isna(value) is True:
         return "-"
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 
