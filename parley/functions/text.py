@@ -67,3 +67,20 @@ def duration(seconds: Column) -> Column:
 def matches(query: str, *columns: Column) -> Column:
     """Whether the query stands in the columns, joined by blanks, whatever the case."""
     return F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(query.lower()))
+
+
+def clamped(c: Column, low: float, high: float, default: float) -> Column:
+    """A number from text, between ``low`` and ``high``; ``default`` if there is none or it is not finite."""
+    number = c.try_cast("double")
+    sound = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
+    return F.when(sound, F.greatest(F.lit(low), F.least(F.lit(high), number))).otherwise(F.lit(default))
+
+
+def ago(seconds: Column) -> Column:
+    """Seconds, minutes, hours or days since: ``5s ago``, ``3m ago``, ``2h ago``, ``4d ago``."""
+    s = F.greatest(F.lit(0), F.floor(seconds)).cast("long")
+    steps = [(60, 1, "s"), (3600, 60, "m"), (86400, 3600, "h")]
+    out = F.concat(F.floor(s / 86400).cast("string"), F.lit("d ago"))
+    for end, unit, name in reversed(steps):
+        out = F.when(s < end, F.concat(F.floor(s / unit).cast("string"), F.lit(f"{name} ago"))).otherwise(out)
+    return out

@@ -196,3 +196,17 @@ def cluster_map(points: DataFrame) -> DataFrame:
     """Mean place, size and concern of each cluster from points (cluster_id, x, y, concerning_score, kept, ord); kept is the first row's."""
     mean = lambda c: F.round(F.avg(c), 6).alias(c)
     return points.groupBy("cluster_id").agg(F.count("*").alias("size"), mean("x"), mean("y"), mean("concerning_score"), F.min_by("kept", "ord").alias("kept"))
+
+
+def map_points(facets: DataFrame, places: DataFrame, assignments: DataFrame, key: str = "conversation_id") -> DataFrame:
+    """Facets with x and y and their cluster, joined by key; without an assignment the cluster is -1 and not kept."""
+    out = facets.join(places.select(key, "x", "y"), key).join(assignments.select(key, "cluster_id", "kept_by_threshold"), key, "left")
+    filled = {"cluster_id": F.coalesce("cluster_id", F.lit(-1)), "kept_by_threshold": F.coalesce("kept_by_threshold", F.lit(False))}
+    return out.withColumns(filled)
+
+
+def preferred_labels(labels: DataFrame, filtered: DataFrame) -> DataFrame:
+    """(cluster_id, name, kept): a label from ``filtered`` where there is one; kept if its final_kept or its kept_by_threshold holds."""
+    better = filtered.select("cluster_id", F.col("name").alias("better"), "final_kept")
+    out = labels.join(better, "cluster_id", "left")
+    return out.select("cluster_id", F.coalesce("better", "name").alias("name"), (F.coalesce("final_kept", F.lit(False)) | F.col("kept_by_threshold")).alias("kept"))

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def assemble(messages: DataFrame) -> DataFrame:
     """conversation_id and messages (role, content) in turn order, from rows (conv_id, turn, role, text)."""
     held = messages.groupBy(F.col("conv_id").alias("conversation_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
@@ -106,3 +105,26 @@ def audit_text(stage: str, df: DataFrame) -> DataFrame:
     return df.select(F.lit(stage).alias("stage"), F.col(df.columns[0]).cast("string").alias("id"), content.alias("content"))
 
 
+def last_of_each(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The last row of each key by ``order``: what counts of partial results that were written again."""
+    names = df.columns
+    return df.groupBy(*key).agg(F.max_by(F.struct(*names), order).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in names])
+
+
+def resumed(partial: DataFrame, expected: DataFrame, key: str, order: str) -> DataFrame:
+    """The last partial row of each key that is still expected."""
+    return last_of_each(partial, [key], order).join(expected.select(key), key, "left_semi")
+
+
+def facet_faults(facets: DataFrame, key: str) -> DataFrame:
+    """(key, fault) of facets outside their contract: language_confidence from 0 to 1, concerning_score from 1 to 5; nulls are faults."""
+    sure, score = F.col("language_confidence"), F.col("concerning_score")
+    wrong = lambda ok: ~F.coalesce(ok, F.lit(False))
+    faults = F.array_compact(F.array(F.when(wrong(sure.between(0, 1)), "language_confidence"), F.when(wrong(score.between(1, 5)), "concerning_score")))
+    return facets.select(key, F.explode(faults).alias("fault"))
+
+
+def first_user_message(messages: DataFrame) -> DataFrame:
+    """(conv_id, text): the first message of the user in each conversation, empty if there is none."""
+    own = F.col("role") == "user"
+    return messages.groupBy("conv_id").agg(F.coalesce(F.min_by(F.when(own, F.col("text")), F.when(own, F.col("turn"))), F.lit("")).alias("text"))

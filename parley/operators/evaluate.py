@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.text import share
+from parley.operators.clustering import kmeans
 
 
 def majority(rows: DataFrame) -> DataFrame:
@@ -41,3 +45,41 @@ def synthetic(spark: SparkSession, n: int = 120) -> DataFrame:
         pick(TOPICS).alias("ground_truth_topic"),
         pick(LANGUAGES).alias("ground_truth_language"),
     )
+
+
+#: Words that count: two letters or more, in the Unicode sense.
+WORD = r"(?U)\b\w\w+\b"
+
+
+def tfidf(df: DataFrame, key: str, text: str, width: int = 256) -> DataFrame:
+    """(key, v): unit vectors of term frequency by inverse document frequency over the ``width`` most frequent words of two letters or more."""
+    held = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("parley_t"))
+    steps = [
+        RegexTokenizer(inputCol="parley_t", outputCol="parley_w", pattern=WORD, gaps=False),
+        CountVectorizer(inputCol="parley_w", outputCol="parley_c", vocabSize=width),
+        IDF(inputCol="parley_c", outputCol="parley_i"),
+        Normalizer(inputCol="parley_i", outputCol="parley_v"),
+    ]
+    return Pipeline(stages=steps).fit(held).transform(held).select(key, vector_to_array("parley_v").alias("v"))
+
+
+def ablation(rows: DataFrame, key: str, texts: list[str], k: int, *, seed: int = 42) -> DataFrame:
+    """(representation, n, accuracy, macro_f1, weighted_f1, error): how well clusters of each of the columns ``texts`` give back the
+    column truth.
+
+    ``key`` is a number; of equally frequent topics of a cluster the one seen first by it counts. A column without any word has
+    an error and scores of 0.
+    """
+    out = None
+    for name in texts:
+        if not rows.where(F.col(name).rlike(WORD)).limit(1).count():
+            zero = [F.lit(0.0).alias(k) for k in ("accuracy", "macro_f1", "weighted_f1")]
+            got = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("representation"), "n", *zero, F.lit("no words").alias("error"))
+            out = got if out is None else out.unionByName(got)
+            continue
+        found = kmeans(tfidf(rows, key, name), k, seed=seed, starts=1).select(key, F.col("label").alias("cluster_id"))
+        placed = rows.select(key, "truth").join(found, key)
+        named = majority(placed.select("cluster_id", F.col("truth").alias("topic"), F.col(key).alias("ord"))).withColumnRenamed("topic", "predicted")
+        got = scores(placed.join(F.broadcast(named), "cluster_id")).select(F.lit(name).alias("representation"), "n", "accuracy", "macro_f1", "weighted_f1", F.lit(None).cast("string").alias("error"))
+        out = got if out is None else out.unionByName(got)
+    return out

@@ -99,3 +99,8 @@ def answered(df: DataFrame, key: str, text: str, task: str, fields: str, fallbac
                 yield pd.DataFrame([{key: k} | r for k, r in zip(part[key], rows, strict=True)])
 
     return df.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"{key} {kind}, {fields}, fallback_used boolean, error string")
+
+
+def next_width(width: int, issues: int, most: int, left: bool = True) -> int:
+    """How many requests the next wave sends at once: one less after any issue, one more after a clean wave while work is left."""
+    return max(1, min(most, width - 1 if issues else width + (1 if left else 0)))

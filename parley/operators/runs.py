@@ -83,3 +83,46 @@ def preflight(summary: DataFrame, *, eval_count: int = 120, concurrency: int = 8
     prompt = (n * F.greatest(F.lit(120.0), 90.0 * F.col("avg_turns"))).cast("double")
     seconds = (n * 2.0 + clusters * 2.0 + clusters * 2.5 + (n + clusters) * 1.8) / concurrency + 4.0 + 1.5 * eval_count / concurrency
     return summary.select((2 * n + 2 * clusters + eval_count).cast("long").alias("requests"), F.round(prompt, 3).alias("prompt_tokens"), F.round(prompt * 0.35, 3).alias("completion_tokens"), F.round(seconds, 3).alias("seconds"))
+
+
+def checkpoint_progress(checkpoints: DataFrame) -> DataFrame:
+    """(run_id, phase, processed, total, percent) from rows (run_id, phase, part, processed, total): the parts of a phase are summed.
+
+    percent is null where no total is known.
+    """
+    out = checkpoints.groupBy("run_id", "phase").agg(F.sum("processed").alias("processed"), F.sum("total").alias("total"))
+    return out.withColumn("percent", F.when(F.col("total") > 0, percent(F.col("processed"), F.col("total"))))
+
+
+def phase_counts(events: DataFrame) -> DataFrame:
+    """(run_id, failed, skipped, active, completed): the phases of each run by their status; all that are not skipped are active."""
+    s = F.col("status")
+    return timeline(events).groupBy("run_id").agg(
+        F.count_if(s == "failed").alias("failed"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s != "skipped").alias("active"), F.count_if(s.isin("completed", "resumed")).alias("completed")
+    )
+
+
+def merged_events(*logs: DataFrame) -> DataFrame:
+    """Events of several logs in one, by the names of their columns; columns that a log lacks are null."""
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log, allowMissingColumns=True)
+    return out
+
+
+def usage(metrics: DataFrame) -> DataFrame:
+    """By run: requests, prompt and completion tokens summed over the phases, and their total; nulls count as 0."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = metrics.groupBy("run_id").agg(total("requests").alias("requests"), total("prompt_tokens").alias("prompt_tokens"), total("completion_tokens").alias("completion_tokens"))
+    return out.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
+def merged_manifest(manifests: DataFrame) -> DataFrame:
+    """(run_id, completed_phases, output_files) of manifests (run_id, seq, completed_phases, output_files): the sorted union of phases,
+    and of each file name the path that was written last, as ``name=path``."""
+    phases = manifests.select("run_id", F.explode("completed_phases").alias("phase")).distinct()
+    phases = phases.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list("phase")), ",").alias("completed_phases"))
+    files = manifests.select("run_id", "seq", F.explode("output_files").alias("name", "path")).groupBy("run_id", "name").agg(F.max_by("path", "seq").alias("path"))
+    files = files.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit("="), "path"))), ",").alias("output_files"))
+    out = manifests.select("run_id").distinct().join(phases, "run_id", "left").join(files, "run_id", "left")
+    return out.select("run_id", F.coalesce("completed_phases", F.lit("")).alias("completed_phases"), F.coalesce("output_files", F.lit("")).alias("output_files"))

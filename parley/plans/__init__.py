@@ -560,6 +560,111 @@ def conversation_clusters(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+def checkpoints(spark, sf_dir):
+    """Parts of phases of runs, with what is done and what there is; one phase has no totals."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    phase = F.element_at(F.array(*map(F.lit, runs.PHASES)), (n % 7 + 1).cast("int"))
+    return e.select((F.col("user_id") % 50).alias("run_id"), phase.alias("phase"), (n % 3).alias("part"), (n % 11).alias("processed"), F.when(n % 7 != 4, n % 13 + 10).alias("total"))
+
+
+@query(f"SELECT run_id, phase, processed::BIGINT AS processed, total::BIGINT AS total, CASE WHEN total > 0 THEN round(least(100.0::DOUBLE, 100.0::DOUBLE * processed / total), 1) END AS percent FROM (SELECT user_id % 50 AS run_id, ['{"', '".join(runs.PHASES)}'][event_id % 7 + 1] AS phase, sum(event_id % 11) AS processed, sum(CASE WHEN event_id % 7 <> 4 THEN event_id % 13 + 10 END) AS total FROM events GROUP BY ALL)")
+def checkpoint_progress(spark, sf_dir):
+    return runs.checkpoint_progress(checkpoints(spark, sf_dir))
+
+
+@query(f"WITH {_SPINE} SELECT run_id, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status <> 'skipped') AS active, count(*) FILTER (status IN ('completed', 'resumed')) AS completed FROM line GROUP BY run_id")
+def phase_counts(spark, sf_dir):
+    return runs.phase_counts(run_events(spark, sf_dir))
+
+
+@query("SELECT event_id, event_type AS kind, NULL::BIGINT AS pid, NULL::BIGINT AS processed FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, 'checkpoint', NULL, event_id % 11 FROM events WHERE event_type = 'view' UNION ALL SELECT max(event_id) + 1, 'lock', 4242, NULL FROM events")
+def merged_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    log = e.where("event_type <> 'view'").select("event_id", F.col("event_type").alias("kind"))
+    saved = e.where("event_type = 'view'").select("event_id", F.lit("checkpoint").alias("kind"), (F.col("event_id") % 11).alias("processed"))
+    lock = e.agg((F.max("event_id") + 1).alias("event_id")).select("event_id", F.lit("lock").alias("kind"), F.lit(4242).cast("long").alias("pid"))
+    return runs.merged_events(log, saved, lock)
+
+
+@query("SELECT user_id % 50 AS run_id, count(*) AS requests, sum(event_id % 100)::BIGINT AS prompt_tokens, coalesce(sum(CASE WHEN event_id % 3 <> 0 THEN event_id % 40 END), 0)::BIGINT AS completion_tokens, (sum(event_id % 100) + coalesce(sum(CASE WHEN event_id % 3 <> 0 THEN event_id % 40 END), 0))::BIGINT AS total_tokens FROM events GROUP BY 1")
+def usage_rollup(spark, sf_dir):
+    n = F.col("event_id")
+    return runs.usage(table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run_id"), F.lit(1).cast("long").alias("requests"), (n % 100).alias("prompt_tokens"), F.when(n % 3 != 0, n % 40).alias("completion_tokens")))
+
+
+@query(f"""WITH {_EVENTS}, f AS (SELECT run_id, 'f' || event_id % 9 AS name, arg_max('p' || event_id, event_id) AS path FROM ev GROUP BY ALL)
+ SELECT run_id, (SELECT string_agg(DISTINCT phase, ',' ORDER BY phase) FROM ev WHERE ev.run_id = r.run_id) AS completed_phases, (SELECT string_agg(name || '=' || path, ',' ORDER BY name) FROM f WHERE f.run_id = r.run_id) AS output_files FROM (SELECT DISTINCT run_id FROM ev) AS r""")
+def manifest_merge(spark, sf_dir):
+    n = F.col("event_id")
+    file = F.create_map(F.concat(F.lit("f"), (n % 9).cast("string")), F.concat(F.lit("p"), n.cast("string")))
+    return runs.merged_manifest(run_events(spark, sf_dir).select("run_id", n.alias("seq"), F.array("phase").alias("completed_phases"), file.alias("output_files")))
+
+
+@query("SELECT user_id AS key, arg_max(event_type, event_id) AS event_type FROM events WHERE user_id % 3 <> 0 GROUP BY user_id")
+def resume_partial(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "event_type")
+    return conversations.resumed(e, e.where("key % 3 <> 0").select("key").distinct(), "key", "event_id").select("key", "event_type")
+
+
+@query("SELECT event_id, unnest(list_filter([CASE WHEN (value BETWEEN 0 AND 1) IS NOT TRUE THEN 'language_confidence' END, CASE WHEN event_id % 7 NOT BETWEEN 1 AND 5 THEN 'concerning_score' END], lambda z: z IS NOT NULL)) AS fault FROM events")
+def facet_contract(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("language_confidence"), (F.col("event_id") % 7).alias("concerning_score"))
+    return conversations.facet_faults(e, "event_id")
+
+
+@query("SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS text FROM conversations GROUP BY conv_id")
+def first_user_message(spark, sf_dir):
+    return conversations.first_user_message(messages(spark, sf_dir))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y, (CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END)::INTEGER AS cluster_id, vec_id % 4 <> 0 AND label % 2 = 0 AS kept_by_threshold FROM embeddings")
+def map_points(spark, sf_dir):
+    p = points(spark, sf_dir)
+    places = p.select("vec_id", F.round(F.col("v")[0], 6).alias("x"), F.round(F.col("v")[1], 6).alias("y"))
+    given = p.where("vec_id % 4 <> 0").select("vec_id", F.col("label").alias("cluster_id"), (F.col("label") % 2 == 0).alias("kept_by_threshold"))
+    return clustering.map_points(p.select("vec_id"), places, given, "vec_id")
+
+
+@query("SELECT DISTINCT label::INTEGER AS cluster_id, CASE WHEN label % 3 = 0 THEN 'safe' ELSE 'k' END || label AS name, label % 2 = 0 OR (label % 3 = 0 AND label > 5) AS kept FROM embeddings")
+def preferred_labels(spark, sf_dir):
+    c = points(spark, sf_dir).select(F.col("label").alias("cluster_id")).distinct()
+    name = lambda x: F.concat(F.lit(x), F.col("cluster_id").cast("string")).alias("name")
+    own = c.select("cluster_id", name("k"), (F.col("cluster_id") % 2 == 0).alias("kept_by_threshold"))
+    return clustering.preferred_labels(own, c.where("cluster_id % 3 = 0").select("cluster_id", name("safe"), (F.col("cluster_id") > 5).alias("final_kept")))
+
+
+_CASES = ", ".join(f"('{a}', '{b}', {c}, {d})" for a, b, c, d in privacy.CASES)
+
+
+@query(f"SELECT count(*) AS cases, round(avg(CASE WHEN r BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS in_range_rate, round(avg(abs(r - round_even((lo + hi) / 2, 0))), 6) AS mean_error FROM (SELECT {_RATED} AS r, lo, hi FROM (VALUES {_CASES}) AS c(id, x, lo, hi))")
+def auditor_cases(spark, sf_dir):
+    return privacy.auditor_score(privacy.cases(spark).withColumn("rating", privacy.rule_rating(F.col("content"))))
+
+
+@query("SELECT event_type AS stage, count(*) AS audits, count(*) FILTER (event_id % 4 = 0) AS fallbacks FROM events GROUP BY event_type")
+def fallback_counts(spark, sf_dir):
+    return privacy.fallback_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), (F.col("event_id") % 4 == 0).alias("fallback_used")))
+
+
+@query("SELECT event_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS ago FROM (SELECT event_id, event_id * event_id % 400000 AS s FROM events)")
+def relative_times(spark, sf_dir):
+    n = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", text.ago(n * n % 400000).alias("ago"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(value, 6))) END AS share FROM events")
+def clamped_numbers(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 4 == 0, "soon").when(F.col("event_id") % 4 == 1, "Infinity").otherwise(F.round("value", 6).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", text.clamped(raw, 0.0, 1.0, 0.5).alias("share"))
+
+
+@query()
+def ablation(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("truth"), "text", F.concat_ws(" ", F.lit("source"), "source").alias("named"))
+    return evaluate.ablation(d, "doc_id", ["text", "named"], 8)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations to facets, embeddings and clusters, and the clusters' sizes against the thresholds."""
     held = conversations.assemble(messages(spark, sf_dir)).select("conversation_id", conversations.transcript(F.col("messages")).alias("t"))

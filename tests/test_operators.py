@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import clustering, conversations, hierarchy, privacy, providers, vectors
-from parley.sources import jsonl
+from parley.operators import clustering, conversations, evaluate, hierarchy, privacy, providers, vectors
+from parley.sources import jsonl, tables
 
 GOOD = {"conversation_id": "a", "user_id": "u", "timestamp": "2025-01-01T00:00:00Z", "messages": [{"role": "user", "content": "hi"}]}
 
@@ -147,3 +147,28 @@ def test_empty_inputs(spark):
 def test_snapshot_has_no_user(spark):
     held = conversations.assemble(spark.createDataFrame([(1, 2, "user", "b"), (1, 1, "user", "a")], "conv_id long, turn long, role string, text string"))
     assert held.columns == ["conversation_id", "messages"] and [m.content for m in held.first().messages] == ["a", "b"]
+
+
+def test_tables_of_a_run(spark, tmp_path):
+    folder, schema = str(tmp_path), "id long, name string"
+    assert tables.read_or_empty(spark, f"{folder}/none", schema).count() == 0
+    for k in range(2):
+        tables.append(spark.createDataFrame([(k, None if k else "a")], schema), f"{folder}/partial")
+    assert tables.promote(spark, f"{folder}/partial", f"{folder}/final", schema) == 2
+    tables.write_lines(spark.read.parquet(f"{folder}/final"), f"{folder}/lines")
+    held = jsonl.read_lines(spark, f"{folder}/lines")
+    assert sorted(r.line for r in held.collect()) == ['{"id":0,"name":"a"}', '{"id":1}']
+    assert [r.line_number for r in tables.tail(spark.range(1, 31).select(F.col("id").alias("line_number")), 1).collect()] == list(range(11, 31))
+
+
+def test_widths_follow_waves():
+    assert [providers.next_width(4, i, 5, left) for i, left in ((0, True), (2, True), (0, False))] == [5, 3, 4]
+    assert providers.next_width(5, 0, 5) == 5 and providers.next_width(1, 1, 5) == 1
+
+
+def test_ablation_tells_texts_apart(spark):
+    rows = [(i, "cat", "purr meow purr", "same words", "x y") if i % 2 else (i, "dog", "bark woof bark", "same words", "x y") for i in range(20)]
+    got = {r.representation: r for r in evaluate.ablation(spark.createDataFrame(rows, "id long, truth string, good string, bad string, none string"), "id", ["good", "bad", "none"], 2).collect()}
+    assert got["good"].macro_f1 == 1.0 and got["bad"].macro_f1 < 0.6 and got["good"].n == 20
+    assert (got["none"].n, got["none"].accuracy, got["none"].error, got["good"].error) == (20, 0.0, "no words", None)
+    assert [r.line for r in tables.report_lines(spark.createDataFrame([got["good"]], "representation string, n long, accuracy double, macro_f1 double, weighted_f1 double, error string")).collect()] == ["| good | 20 | 1.0000 | 1.0000 | 1.0000 |"]
