@@ -212,3 +212,24 @@ def test_one_of_each_keeps_null_ids(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (6, ""), (6, "z")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in one_of_each(docs).collect()) == ["1", "6", "6", "None"]
+
+
+def test_urls_with_nulls_repeats_long_texts_and_clashing_columns(spark):
+    rows = [(1, "http://a.net/"), (1, "http://a.net/"), (None, None), (2, ""), (3, "http://b.net/" + "x" * 100_000), (4, "no host")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({k: F.lit(7) for k in ("host", "path", "key", "rule", "verdict", "row", "suffix")})
+    got = filter_urls(pages, Q.RULES).collect()
+    assert len(got) == len(rows)
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got if r.page_id in (None, 2, 4)] == [("", "", None, "allow")] * 3
+    assert {r.verdict for r in got if r.page_id in (1, 3)} == {"block"}
+    assert filter_urls(pages.limit(0), Q.RULES).count() == 0
+
+
+def test_filters_of_the_pipeline_drop_what_their_operators_reject(spark):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{SF}/{k}.parquet") for k in ("documents", "labels"))
+    scored = {r.doc_id for r in quality_scores(docs, labels).where("predicted = 1").collect()}
+    assert {r.doc_id for r in corpus_pipeline.classify(spark, docs, SF).collect()} == scored
+    kept = {r.doc_id for r in quality_rules(docs).where("kept").collect()}
+    assert {r.doc_id for r in corpus_pipeline.filter_rules(spark, docs, SF).collect()} == kept
+    assert 0 < len(scored) < docs.count() and 0 < len(kept) < docs.count()
