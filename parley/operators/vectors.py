@@ -50,14 +50,16 @@ def _scattered(points: DataFrame) -> DataFrame:
     own = centroids(points)
     whole = points.groupBy(F.lit(1)).agg(Summarizer.mean(array_to_vector("v")).alias("m")).select(vector_to_array("m").alias("mean"))
     between = own.join(F.broadcast(whole), F.lit(True)).agg(F.sum(F.col("n") * squared(F.col("center"), F.col("mean"))).alias("between"), F.count("*").alias("k"), F.sum("n").alias("n"))
-    within = points.join(F.broadcast(own.select("label", "center")), "label").agg(F.sum(squared(F.col("v"), F.col("center"))).alias("within"))
+    within = points.join(own.select("label", "center"), "label").agg(F.sum(squared(F.col("v"), F.col("center"))).alias("within"))
     return between.join(F.broadcast(within), F.lit(True))
 
 
 def davies_bouldin(points: DataFrame) -> DataFrame:
-    """One row (score): the mean over clusters of the worst (spread + spread) / distance; centers are few and pair in one join."""
+    """One row (score): the mean over clusters of the worst (spread + spread) / distance; centers are of checked number and pair in one join."""
     own = centroids(points)
-    spread = points.join(F.broadcast(own.select("label", "center")), "label").groupBy("label").agg(F.avg(F.sqrt(squared(F.col("v"), F.col("center")))).alias("s"))
+    if own.limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    spread = points.join(own.select("label", "center"), "label").groupBy("label").agg(F.avg(F.sqrt(squared(F.col("v"), F.col("center")))).alias("s"))
     held = own.join(spread, "label").select("label", "center", "s")
     other = held.select(F.col("label").alias("l2"), F.col("center").alias("c2"), F.col("s").alias("s2"))
     pairs = held.join(F.broadcast(other), F.col("label") != F.col("l2")).groupBy("label").agg(F.max((F.col("s") + F.col("s2")) / F.sqrt(squared(F.col("center"), F.col("c2")))).alias("r"))
