@@ -3,6 +3,9 @@
 The reference of a language is the sum of the histograms of all its documents that pass the base rules. A document is compared
 by Jensen-Shannon distance (base 2, so 0 to 1). Languages with fewer words than ``min_reference`` in all are compared with the
 reference of the whole corpus. Guards: texts shorter than ``min_words`` words are not compared.
+
+Most words of any text are not common ones, so even a text without a common word is at a word distance of only about 0.4. The
+limit of word distances is therefore the upper fence of the distances that the documents of the language have themselves.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (part(p) + part(q)) / 2))
 
 
+#: Documents that a fence needs, and the least that it stands above the upper quartile.
+FENCE_ROWS, FENCE_MARGIN = 30, 0.05
 KEPT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -54,6 +59,7 @@ def quality_rules(
     lang_col: str = "lang",
     max_chars: float = 0.25,
     max_words: float = 0.75,
+    word_fence: float | None = 1.5,
     min_words: int = 40,
     min_reference: int = 2000,
     keep: tuple[str, ...] = (),
@@ -62,7 +68,10 @@ def quality_rules(
     row. With ``keep``, these columns of the rows that are kept.
 
     base_failed: fewer than 10 words, or more than a fifth of the words in 5-word windows that the text repeats. kept is false
-    for those, and for texts of ``min_words`` words or more with a distance above ``max_chars`` or ``max_words``.
+    for those, and for texts of ``min_words`` words or more with a distance above ``max_chars`` or ``max_words``, or with a word
+    distance beyond the upper quartile of its language by more than ``word_fence`` times the distance of the quartiles. Quartiles
+    are counted over all texts compared with the same reference that pass the other rules; below FENCE_ROWS of them, and with
+    ``word_fence`` None, there is no fence. Up to a quarter of a language may be odd without moving its fence much.
     Null and empty texts have no words and fail the base rules. A null language is a language of its own. Ids may be null or
     repeat. Other columns are not read and may have any name. An empty table gives an empty result.
     """
@@ -83,14 +92,25 @@ def quality_rules(
     # One row of sums over the whole corpus: a broadcast of known size.
     everything = F.broadcast(reference(by_lang.agg(*[F.sum(c).alias(c) for c in by_lang.columns if c not in ("lang", "weight")]), name="all"))
     own = bounded(reference(by_lang.where(F.col("weight") >= min_reference), "lang"))
+    compared = F.when(F.col("ref_common").isNotNull(), F.concat(F.lit("own "), "lang")).otherwise("all").alias("compared")
     near = found.join(own, "lang", "left").join(everything, how="left")
     # Without a single document that passes the base rules there is no reference: every text is its own, at distance 0.
     filled = [F.coalesce(f"ref_{k}", F.when(F.element_at(f"all_{k}", 1).isNotNull(), F.col(f"all_{k}")), F.transform(k, lambda x: x.cast("long"))).alias(f"ref_{k}") for k in ("chars", "common")]
-    names = [*KEPT, *carried]
-    schema = T.StructType([T.StructField(k, near.schema[k].dataType) for k in names]).add("char_distance", T.DoubleType()).add("word_distance", T.DoubleType())
-    out = near.select(*names, "chars", "common", *filled).mapInArrow(_distances(names), schema)
+
+    def measured(df: DataFrame, names: list[str]) -> DataFrame:
+        df = df.select("*", compared).select(*names, "compared", "chars", "common", *filled)
+        schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in [*names, "compared"]]).add("char_distance", T.DoubleType()).add("word_distance", T.DoubleType())
+        return df.mapInArrow(_distances([*names, "compared"]), schema)
+
+    out = measured(near, [*KEPT, *carried])
     judged = F.col("n_words") >= min_words
     odd = judged & ((F.col("char_distance") > max_chars) | (F.col("word_distance") > max_words))
+    if word_fence is not None:
+        usual = measured(near.where(judged & ~F.col("base_failed")), []).where((F.col("char_distance") <= max_chars) & (F.col("word_distance") <= max_words))
+        fences = usual.groupBy("compared").agg(F.count("*").alias("n"), F.percentile_approx("word_distance", [0.25, 0.75]).alias("q")).where(F.col("n") >= FENCE_ROWS)
+        fence = F.col("q")[1] + F.greatest(F.lit(FENCE_MARGIN), word_fence * (F.col("q")[1] - F.col("q")[0]))
+        out = out.join(bounded(stage(fences.select("compared", fence.alias("fence")), "fences")), "compared", "left")
+        odd = odd | (judged & F.coalesce(F.col("word_distance") > F.col("fence"), F.lit(False)))
     out = out.withColumn("kept", ~F.col("base_failed") & ~odd)
     if keep:
         return out.where("kept").select(*back)

@@ -233,3 +233,24 @@ def test_filters_of_the_pipeline_drop_what_their_operators_reject(spark):
     kept = {r.doc_id for r in quality_rules(docs).where("kept").collect()}
     assert {r.doc_id for r in corpus_pipeline.filter_rules(spark, docs, SF).collect()} == kept
     assert 0 < len(scored) < docs.count() and 0 < len(kept) < docs.count()
+
+
+def test_rules_reject_texts_by_word_distance_alone(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    common = {"en": "the of and to in is that for was with".split(), "de": "der die und den von zu mit nicht ein eine".split()}
+
+    def text(lang, n=120):
+        other = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(n)]
+        return " ".join(rng.choice(common[lang]) if lang and rng.random() < 0.27 else w for w in other)
+
+    rows = [(i, text(lang), lang, "s") for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(1000, text(None), "en", "s"), (1001, text("de"), "en", "s"), (1002, text("en"), "de", "s"), (1003, text(None), "de", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert not any(got[i].kept or got[i].base_failed or got[i].char_distance > 0.25 for i in range(1000, 1004))
+    assert sum(got[i].kept for i in range(120)) >= 117
+    assert {r.doc_id for r in corpus_pipeline.filter_rules(spark, docs, SF).collect()} == {i for i in got if got[i].kept}
+    fixed = {r.doc_id for r in quality_rules(docs, word_fence=None).where("kept").collect()}
+    assert {1000, 1001, 1002, 1003} <= fixed
