@@ -5,13 +5,15 @@ dimension after the other, round after round, until all three marginals hold. A
 budget times its cell's share over the tokens of the cell; the whole part is given to each document, the rest by a draw that
 depends only on the id and the seed.
 
-Cells are few and are all that iterates; their shares are kept in the shared folder between the rounds.
+Cells are few and are all that iterates; their shares are kept in the shared folder between the rounds. Where documents are drawn
+once each, no cell can give more tokens than it has: the driver then rakes the cells, of checked number, within that bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from parley.llm.common import bounded, stage
 from parley.llm.profile import kept_columns
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Cells that a driver may hold.
+MOST_CELLS = 200_000
 
 
 def token_weight(text: Column) -> Column:
@@ -50,15 +54,20 @@ def targets(cells: DataFrame, dimension: str, wanted: Mapping[str, float] | None
     return own.select(dimension, (F.col("raw") / F.col("sum")).alias(f"{dimension}_target"))
 
 
+def _with_targets(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], temper: float) -> DataFrame:
+    found = cells
+    for d in DIMENSIONS:
+        found = found.join(bounded(targets(cells, d, wanted.get(d), temper)), d)
+    return found
+
+
 def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], *, temper: float = 0.5, rounds: int = 12, each: int = 4) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with ``share``: the calibrated share of each cell, after ``rounds`` rounds.
 
     A round is one window over each dimension; every ``each`` rounds the shares are written to the shared folder. Cells without
     tokens do not occur. After the last round the topic marginals hold exactly, the others as near as the rounds bring them.
     """
-    found = cells
-    for d in DIMENSIONS:
-        found = found.join(bounded(targets(cells, d, wanted.get(d), temper)), d)
+    found = _with_targets(cells, wanted, temper)
     found = stage(found.withColumn("share", F.col("tokens").cast("double")), "cells")
     for k in range(rounds):
         for d in DIMENSIONS:
@@ -68,6 +77,58 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], *,
     return found.select(*DIMENSIONS, "tokens", "share")
 
 
+def raked_within(own: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], budget: float, sweeps: int = 300) -> np.ndarray:
+    """Shares of cells with ``goals`` as marginals, no cell's share above ``own`` / ``budget``.
+
+    ``own`` are the cells' shares of all tokens, ``codes`` the place of each cell's value in the goals of a dimension. A goal that
+    its value has too few tokens for is lowered to those, and the other goals of the dimension are raised. Then each step scales
+    the cells of a value by one factor and holds them at their bound: what a full cell cannot give comes from the others.
+    """
+    bound = own / budget
+    goals = list(goals)
+    for d, code in enumerate(codes):
+        most = np.bincount(code, bound, len(goals[d]))
+        over = np.zeros(len(most), bool)
+        while (more := ~over & (goals[d] > most * (1 + 1e-9))).any():
+            over |= more
+            rest = goals[d][~over].sum()
+            goals[d] = np.where(over, most, goals[d] * ((1 - most[over].sum()) / rest if rest > 0 else 1))
+    share = np.minimum(own, bound)
+    for _ in range(sweeps):
+        for code, goal in zip(codes, goals, strict=True):
+            full = np.zeros(len(own), bool)
+            while True:
+                held, free = (np.bincount(code, np.where(x, y, 0), len(goal)) for x, y in ((full, np.where(full, bound, 0)), (~full, share)))
+                scaled = share * (np.maximum(goal - held, 0) / np.where(free > 0, free, 1))[code]
+                more = ~full & (scaled > bound)
+                if not more.any():
+                    break
+                full |= more
+            share = np.where(full, bound, scaled)
+        if max(float(abs(np.bincount(code, share, len(goal)) - goal).max()) for code, goal in zip(codes, goals, strict=True)) < 1e-5:
+            break
+    return share
+
+
+def _rates_once(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], temper: float, budget: float) -> DataFrame:
+    """(source, lang, topic, share, rate) with rates of at most 1."""
+    rows = stage(_with_targets(cells, wanted, temper), "cells").limit(MOST_CELLS + 1).collect()
+    if len(rows) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
+    rows.sort(key=lambda r: tuple(r[d] for d in DIMENSIONS))
+    codes, goals = [], []
+    for d in DIMENSIONS:
+        values, first, code = np.unique(np.array([r[d] for r in rows], object), return_index=True, return_inverse=True)
+        codes.append(code)
+        goals.append(np.array([rows[i][f"{d}_target"] for i in first]))
+    tokens = np.array([r["tokens"] for r in rows], float)
+    own = tokens / max(tokens.sum(), 1)
+    share = raked_within(own, codes, goals, budget) if rows and budget > 0 else np.zeros(len(rows))
+    rate = np.minimum(share * budget / np.maximum(own, 1e-300), 1.0)
+    held = [(*(r[d] for d in DIMENSIONS), float(a), float(b)) for r, a, b in zip(rows, share, rate, strict=True)]
+    return cells.sparkSession.createDataFrame(held, "source string, lang string, topic string, share double, rate double")
+
+
 def draw(doc_id: Column, seed: int) -> Column:
     """A number from 0 to 1 that depends only on the id and the seed; 32 bits of MD5."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
@@ -87,7 +148,8 @@ def mix(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, source, lang, topic, tokens, share (of the cell), expected and copies, a row for each row; or, with ``keep``, these
-    columns of the rows that are drawn, once each.
+    columns of the rows that are drawn, once each: then no rate is above 1, and full cells leave their excess to the others. The
+    budget (up to 1) stays: a value with fewer tokens than its target asks for gives all that it has.
 
     ``wanted`` maps source, lang and topic to target weights; None tempers the shares that the values have (power ``temper``).
     ``budget`` is the number of tokens to draw, as a share of those there are. copies may be 0, or more than 1 where a cell must
@@ -107,8 +169,12 @@ def mix(
     )
     cells = stage(found.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("cell_tokens")), "sums")
     total = cells.agg(F.coalesce(F.sum("cell_tokens"), F.lit(0))).first()[0]
-    raked = rake(cells.withColumnRenamed("cell_tokens", "tokens"), wanted, temper=temper, rounds=rounds)
-    rates = raked.select(*DIMENSIONS, "share", (F.col("share") * F.lit(budget * total) / F.col("tokens")).alias("rate"))
+    cells = cells.withColumnRenamed("cell_tokens", "tokens")
+    if keep:
+        rates = _rates_once(cells, wanted, temper, budget)
+    else:
+        raked = rake(cells, wanted, temper=temper, rounds=rounds)
+        rates = raked.select(*DIMENSIONS, "share", (F.col("share") * F.lit(budget * total) / F.col("tokens")).alias("rate"))
     placed = found.join(bounded(rates), list(DIMENSIONS))
     whole = F.floor("rate")
     copies = (whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")).alias("copies")

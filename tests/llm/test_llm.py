@@ -254,3 +254,26 @@ def test_rules_reject_texts_by_word_distance_alone(spark):
     assert {r.doc_id for r in corpus_pipeline.filter_rules(spark, docs, SF).collect()} == {i for i in got if got[i].kept}
     fixed = {r.doc_id for r in quality_rules(docs, word_fence=None).where("kept").collect()}
     assert {1000, 1001, 1002, 1003} <= fixed
+
+
+def test_rows_drawn_once_meet_all_targets(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(12_000):
+        lang = rng.choices(["en", "de", "fr", "es"], [0.7, 0.12, 0.12, 0.06])[0]
+        form = rng.choices(["w" * 40, "w" * 37 + " | ", "w" * 39 + "1"], [0.9, 0.03, 0.07])[0]
+        rows.append((i, form, lang, rng.choices("abc", [0.9, 0.08, 0.02])[0]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = {**Q.WANTED, "source": {"a": 0.8, "b": 0.15, "c": 0.05}}
+    got = mix(docs, wanted, budget=0.25, keep=("doc_id", "source", "lang", "text")).toPandas()
+    assert got["doc_id"].is_unique and abs(len(got) / len(rows) - 0.25) < 0.02
+    got["topic"] = ["tabular" if " | " in t else "numeric" if "1" in t else "prose" for t in got["text"]]
+    for d, goal in wanted.items():
+        shares = got[d].value_counts(normalize=True)
+        assert all(abs(shares[v] - w) < 0.03 for v, w in goal.items()), (d, shares)
+    # es has 0.06 of the tokens and would need 0.16: all of it is drawn, and the others make up the budget in their proportions
+    full = mix(docs, wanted, budget=0.8, keep=("lang",)).toPandas()["lang"].value_counts() / len(rows)
+    assert abs(full.sum() - 0.8) < 0.02 and abs(full["es"] - 0.06) < 0.01 and full["de"] > 0.115 and full["fr"] > 0.115
+    # a value of one short text does not shrink the corpus
+    rare = spark.createDataFrame([(i, "w" * 40 + (" | " if i == 0 else ""), "en", "a") for i in range(2_000)], docs.schema)
+    assert abs(mix(rare, Q.WANTED, budget=0.8, keep=("doc_id",)).count() / 2_000 - 0.8) < 0.05
