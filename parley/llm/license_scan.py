@@ -6,6 +6,10 @@ overlap - is ceil(threshold * t), and a block that matches must hold one of the
 the templates at all (length filter), and from its first common word on must have enough words left on both sides (positional
 filter). Candidates are made by an index join on prefix words, each pair only at its first common word, and then verified.
 
+A notice may be wrapped. From each line a run of lines reaches as far as a notice can that begins in it: its inner lines hold
+fewer words than the longest template, and a line without words ends it. Runs are blocks of the same join; a run counts for a
+template only if none of its lines matches that template by itself.
+
 Templates are a parameter of bounded size, so their index is broadcast and texts are never shuffled: only counts of the
 templates' words and one row of results for each document are.
 """
@@ -13,9 +17,10 @@ templates' words and one row of results for each document are.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import stage
@@ -67,8 +72,6 @@ def _starts(words: Column) -> Column:
 
 
 def _template_words(templates: Mapping[str, str]) -> dict[str, list[str]]:
-    import re
-
     found = {k: sorted(set(re.findall(WORD, v.lower()))) for k, v in templates.items()}
     if any(not w for w in found.values()) or sum(map(len, found.values())) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"templates need words, and {MOST_TEMPLATE_WORDS} in all at most")
@@ -80,11 +83,12 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     n_base counts all places where PHRASES stand, first_word and last_word are the first and last of them (null without any).
     labels holds the labels of phrases and of the templates that a block matches; n_blocks counts those blocks. score is the
-    largest containment of a matched template, 1 where a phrase stands, else 0. Null and empty texts have no words. Ids may be
+    largest containment of a matched template (runs that overlap are one block), 1 where a phrase stands, else 0. Null and empty texts have no words. Ids may be
     null or repeat; rows that agree in all of their columns each keep a row. Other columns are not read and may have any name.
     An empty table gives an empty result.
     """
     held = _template_words(templates)
+    longest = max(len(re.findall(WORD, v.lower())) for v in templates.values())
     vocabulary = sorted({w for ws in held.values() for w in ws})
     known = F.array(*[F.lit(w) for w in vocabulary])
     text = lowered(F.col(text_col))
@@ -97,8 +101,11 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         some = some | joined.contains(f" {phrase} ")
     base = read.withColumn("some", some).withColumn("starts", F.when(F.col("some"), _starts(F.col("words"))).otherwise(F.array().cast("array<int>")))
     labels = F.array(*[F.when(F.col("some") & joined.contains(f" {p} "), F.lit(label)) for p, label in PHRASES.items()])
-    blocks = F.transform(F.split("text", f"\\Q{separator}\\E"), lambda b: F.array_intersect(F.array_distinct(words_of(b)), known))
-    blocks = F.filter(blocks, lambda b: F.size(b) >= least)
+    lines = F.transform(F.split("text", f"\\Q{separator}\\E"), lambda b: _line(words_of(b), known))
+    # Only documents that hold enough words of some template at all can have a block that does.
+    enough = F.lit(False)
+    for ws in held.values():
+        enough = enough | (F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in ws]))) >= math.ceil(threshold * len(ws) - 1e-9))
     base = base.select(
         "row",
         "doc_id",
@@ -107,11 +114,13 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.array_min("starts").cast("long").alias("first_word"),
         F.array_max("starts").cast("long").alias("last_word"),
         F.array_compact(labels).alias("base"),
-        # Blocks of a document that hold the same template words are one, with their number.
-        F.when(F.size("words") >= least, blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
+        F.when(enough, lines).alias("lines"),
     )
-    base = stage(base, "licenses")
-    placed = base.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "held"))
+    runs = F.transform("lines", lambda _, i: _run(F.slice("lines", i + 1, longest + 1), i, longest))
+    single = F.transform("lines", lambda x, i: F.struct(i.alias("first"), i.alias("last"), x["held"].alias("held")))
+    blocks = F.filter(F.concat(single, F.filter(runs, lambda x: x["last"] > x["first"])), lambda x: F.size(x["held"]) >= least)
+    base = stage(base.withColumn("blocks", F.coalesce(blocks, F.array().cast("array<struct<first:int,last:int,held:array<string>>>"))).drop("lines"), "licenses")
+    placed = base.where(F.size("blocks") > 0).select("row", F.explode("blocks").alias("b")).select("row", F.struct("b.first", "b.last").alias("block"), "b.held")
     counts = stage(placed.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "counts")
     ordered, index, whole = _index(counts, held, threshold)
     placed = placed.join(F.broadcast(ordered), F.lit(True)).select("row", "block", F.filter("words", lambda w: F.array_contains("held", w)).alias("held"))
@@ -122,6 +131,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     met = met.where((F.size("held") >= F.col("a")) & (left >= F.col("a")) & (F.size(earlier) == 0))
     met = met.join(F.broadcast(whole), "template").withColumn("both", F.size(F.array_intersect("held", "all")))
     met = met.where(F.col("both") >= F.col("a")).select("row", "block", "template", (F.col("both") / F.col("t")).alias("share"))
+    met = _matched(met)
     found = met.groupBy("row").agg(F.array_sort(F.collect_set("template")).alias("found"), F.max("share").alias("share"), F.count_distinct("block").alias("n_blocks"))
     out = base.drop("blocks").join(found, "row", "left")
     all_labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
@@ -138,6 +148,37 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _line(words: Column, known: Column) -> Column:
+    return F.struct(F.size(words).alias("n"), F.array_intersect(F.array_distinct(words), known).alias("held"))
+
+
+def _run(lines: Column, first: Column, longest: int) -> Column:
+    """The run from the first of ``lines`` on: first and last line, and the template words that it holds."""
+    start = F.struct(F.lit(-1).alias("inner"), (first - 1).alias("last"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("held"))
+
+    def step(a: Column, x: Column) -> Column:
+        # inner: the words of all lines after the first, -1 before it
+        done = a["done"] | (x["n"] == 0) | (a["inner"] >= longest - 1)
+        inner = F.when(a["inner"] < 0, 0).otherwise(a["inner"] + x["n"])
+        more = F.struct(inner.alias("inner"), (a["last"] + 1).alias("last"), F.lit(False).alias("done"), F.array_union(a["held"], x["held"]).alias("held"))
+        return F.when(done, F.struct(a["inner"].alias("inner"), a["last"].alias("last"), F.lit(True).alias("done"), a["held"].alias("held"))).otherwise(more)
+
+    return F.aggregate(lines, start, step, lambda a: F.struct(first.alias("first"), a["last"].alias("last"), a["held"].alias("held")))
+
+
+def _matched(met: DataFrame) -> DataFrame:
+    """Lines that match, and runs that do without a line of theirs; runs of a template that overlap are one block."""
+    own = met.where("block.first = block.last").groupBy("row", "template").agg(F.collect_set("block.first").alias("own"))
+    met = met.join(own, ["row", "template"], "left")
+    inside = F.exists("own", lambda x: (x >= F.col("block.first")) & (x <= F.col("block.last")))
+    met = met.where((F.col("block.first") == F.col("block.last")) | ~F.coalesce(inside, F.lit(False)))
+    earlier = Window.partitionBy("row", "template").orderBy("block.first", "block.last").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("start", F.when(F.coalesce(F.max("block.last").over(earlier) < F.col("block.first"), F.lit(True)), F.col("block.first")))
+    met = met.withColumn("start", F.last("start", True).over(Window.partitionBy("row", "template").orderBy("block.first", "block.last")))
+    # The last of the runs begins where the notice does.
+    return met.select("row", F.max("block.first").over(Window.partitionBy("row", "template", "start")).alias("block"), "template", "share")
+
+
 def _index(counts: DataFrame, held: Mapping[str, list[str]], threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All template words in order of frequency (one row); the index word -> template of prefix words; the templates' words."""
     spark = counts.sparkSession

@@ -277,3 +277,15 @@ def test_rows_drawn_once_meet_all_targets(spark):
     # a value of one short text does not shrink the corpus
     rare = spark.createDataFrame([(i, "w" * 40 + (" | " if i == 0 else ""), "en", "a") for i in range(2_000)], docs.schema)
     assert abs(mix(rare, Q.WANTED, budget=0.8, keep=("doc_id",)).count() / 2_000 - 0.8) < 0.05
+
+
+def test_wrapped_notices_match(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy */"
+    narrow = "text\n" + "\n".join("Released under the MIT License".split()) + "\nmore"
+    apart = "released under\n\nthe mit license"
+    both = "Released under the MIT License.\nother words\nLicensed under the Apache\nLicense, Version 2.0"
+    texts = [bsd, mpl, narrow, apart, both, "first line\n" + bsd + "\nlast line"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.n_blocks) for r in license_scan(docs).collect()}
+    assert got == {0: ("bsd", 1), 1: ("mpl-2.0", 1), 2: ("mit", 1), 3: ("", 0), 4: ("apache-2.0,mit", 2), 5: ("bsd", 1)}
