@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parley.operators.vectors import assigned, centroids
 
-#: Points that density clusters are fitted on, at most; the others go to the nearest cluster's center.
+#: Points that density clusters are fitted on, at most; the others go by the nearest of them.
 DENSITY_SAMPLE = 4000
 
 
@@ -126,24 +126,43 @@ def density_labels(x: np.ndarray, min_size: int = 12, min_samples: int = 6) -> n
 
 
 def density(points: DataFrame, *, key: str = "vec_id", vector: str = "v", min_size: int = 12, min_samples: int = 6, sample: int = DENSITY_SAMPLE) -> DataFrame:
-    """Adds label by density clusters. They are fitted on ``sample`` points at most, by a hash of the key; points beyond the
-    sample get the label of the nearest cluster center."""
+    """Adds label by density clusters. They are fitted on ``sample`` points at most, by a hash of the key. A point beyond the
+    sample gets the label of the nearest point of the sample if that is within the reach of its cluster - the largest distance
+    from a member to its ``min_samples``-th neighbour in the sample - and else is noise, -1."""
     taken = points.orderBy(F.xxhash64(key), key).limit(sample)
 
     def run(frame):
         import pandas as pd
 
         frame = frame.sort_values(key)
-        return pd.DataFrame({key: frame[key], "label": density_labels(np.stack(frame[vector].to_numpy()), min_size, min_samples)})
+        x = np.stack(frame[vector].to_numpy())
+        labels = density_labels(x, min_size, min_samples)
+        core = np.array([np.sqrt(np.partition(((x - p) ** 2).sum(axis=1), min_samples - 1)[min_samples - 1]) for p in x])
+        reach = {k: core[labels == k].max() for k in set(labels.tolist())}
+        return pd.DataFrame({key: frame[key], "label": labels, "reach": [reach[k] for k in labels.tolist()]})
 
     kind = points.schema[key].dataType.simpleString()
-    fitted = taken.select(key, vector, F.lit(0).alias("g")).groupBy("g").applyInPandas(run, f"{key} {kind}, label int")
-    joined = points.join(F.broadcast(fitted), key, "left")
-    centers = centroids(joined.where("label >= 0"), "label", vector)
-    if not centers.limit(1).count():
-        return joined.withColumn("label", F.coalesce("label", F.lit(-1)))
-    near = assigned(joined.withColumnRenamed("label", "own"), centers, "label", vector)
-    return near.withColumn("label", F.coalesce("own", "nearest").cast("int")).drop("own", "nearest", "distance2")
+    fitted = taken.select(key, vector, F.lit(0).alias("g")).groupBy("g").applyInPandas(run, f"{key} {kind}, label int, reach double")
+    held = taken.select(key, vector).join(F.broadcast(fitted), key).toPandas()  # at most ``sample`` rows
+    labels = points.sparkSession.createDataFrame([(k, int(v)) for k, v in zip(held[key].tolist(), held["label"], strict=True)], f"{key} {kind}, label int")
+    if points.limit(sample + 1).count() > sample:
+        x, label, reach = np.stack(held[vector].to_numpy()), held["label"].to_numpy(), held["reach"].to_numpy()
+        norms = (x**2).sum(axis=1)
+
+        def nearest(frames):
+            for frame in frames:
+                for at in range(0, len(frame), 1000):
+                    part = frame.iloc[at : at + 1000]
+                    v = np.stack(part[vector].to_numpy())
+                    near = (norms - 2 * (v @ x.T)).argmin(axis=1)
+                    within = np.sqrt(((v - x[near]) ** 2).sum(axis=1)) <= reach[near]
+                    part = part[[key]].copy()
+                    part["label"] = np.where(within, label[near], -1).astype(np.int32)
+                    yield part
+
+        rest = points.join(F.broadcast(labels), key, "left_anti").select(key, vector)
+        labels = labels.unionByName(rest.mapInPandas(nearest, f"{key} {kind}, label int"))
+    return points.join(labels, key, "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 def with_noise(points: DataFrame, policy: str, *, order: str = "vec_id", vector: str = "v") -> DataFrame:

@@ -172,3 +172,17 @@ def test_ablation_tells_texts_apart(spark):
     assert got["good"].macro_f1 == 1.0 and got["bad"].macro_f1 < 0.6 and got["good"].n == 20
     assert (got["none"].n, got["none"].accuracy, got["none"].error, got["good"].error) == (20, 0.0, "no words", None)
     assert [r.line for r in tables.report_lines(spark.createDataFrame([got["good"]], "representation string, n long, accuracy double, macro_f1 double, weighted_f1 double, error string")).collect()] == ["| good | 20 | 1.0000 | 1.0000 | 1.0000 |"]
+
+
+def test_density_beyond_the_sample_keeps_noise(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 0.1, (1500, 2)), rng.normal(5, 0.1, (1500, 2)), rng.uniform(20, 1000, (60, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    got = np.array([r.label for r in clustering.density(df, sample=600).orderBy("vec_id").collect()])
+    assert len(got) == len(x) and (got[3000:] == -1).all()
+    whole = clustering.density_labels(x)
+    agreement = np.mean([(a == -1) == (b == -1) for a, b in zip(got, whole, strict=True)])
+    print("noise agreement", agreement)
+    assert agreement > 0.9
+    kept = got[:3000][got[:3000] >= 0]
+    assert len(kept) > 2700
