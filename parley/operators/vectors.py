@@ -66,9 +66,9 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
     return pairs.agg(F.round(F.avg("r"), 6).alias("score"))
 
 
-def silhouette(points: DataFrame, sample: int = 2000, order: str = "vec_id") -> DataFrame:
-    """One row (score) over at most ``sample`` points, the first in ``order``: each task compares its points with that bounded sample."""
-    taken = points.orderBy(order).limit(sample).select(F.col(order).alias("i"), "label", "v")
+def silhouette(points: DataFrame, sample: int = 2000, order: str = "vec_id", seed: int = 42) -> DataFrame:
+    """One row (score) over at most ``sample`` points, the first by a seeded hash of ``order``: each task compares its points with that bounded sample."""
+    taken = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string"))), order).limit(sample).select(F.col(order).alias("i"), "label", "v")
     other = F.broadcast(taken.select(F.col("i").alias("j"), F.col("label").alias("other"), F.col("v").alias("w")))
     near = taken.join(other, F.col("i") != F.col("j")).groupBy("i", "label", "other").agg(F.avg(F.sqrt(squared(F.col("v"), F.col("w")))).alias("d"))
     sides = near.groupBy("i").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("d"))).alias("b"))

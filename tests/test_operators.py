@@ -186,3 +186,9 @@ def test_density_beyond_the_sample_keeps_noise(spark):
     assert agreement > 0.9
     kept = got[:3000][got[:3000] >= 0]
     assert len(kept) > 2700
+
+
+def test_silhouette_sample_is_not_a_prefix(spark):
+    rows = [(i, int(i >= 300), [float(i >= 300), (i % 7) / 100]) for i in range(600)]
+    points = spark.createDataFrame(rows, "vec_id long, label int, v array<double>")
+    assert vectors.silhouette(points, sample=300).first().score > 0.9
