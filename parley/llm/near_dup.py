@@ -35,6 +35,8 @@ from parley.llm.components import components
 
 #: Nodes of a bucket, and of a family, that one group handles.
 PART, BLOCK = 1024, 512
+#: Rounds over leaders before those that are left are compared by blocks.
+LEADER_ROUNDS = 20
 #: Jaccard similarity that ties families, and the share of equal MinHash values that covers a text.
 FAMILY, COVER = 0.6, 0.9
 
@@ -184,7 +186,7 @@ def _families(signed: DataFrame, bands: int, rows: int, tolerance: float) -> Dat
     placed = stage(signed.select("node", "sig").mapInArrow(_bands(bands, rows), "bucket long, node long"), "bands")
     small = stage(signed.select("node", F.expr("cast(sig as binary)").alias("sig")).mapInArrow(_low_bytes, "node long, sig binary"), "low")
     links, seen = None, None
-    for _ in range(20):
+    for _ in range(LEADER_ROUNDS):
         shared = stage(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
         members = placed.join(shared, "bucket").select("bucket", "node", "n")
         dealt = members.withColumn("parts", F.ceil(F.col("n") / PART)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
@@ -199,7 +201,7 @@ def _families(signed: DataFrame, bands: int, rows: int, tolerance: float) -> Dat
         if seen is not None and now >= seen:  # the parts hold nothing but leaders: compare them by blocks
             return links.union(_by_blocks(left, small, tolerance)).distinct()
         placed, seen = left, now
-    return links.distinct()
+    return links.union(_by_blocks(left, small, tolerance)).distinct()
 
 
 def _by_blocks(left: DataFrame, small: DataFrame, tolerance: float) -> DataFrame:

@@ -289,3 +289,15 @@ def test_wrapped_notices_match(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.n_blocks) for r in license_scan(docs).collect()}
     assert got == {0: ("bsd", 1), 1: ("mpl-2.0", 1), 2: ("mit", 1), 3: ("", 0), 4: ("apache-2.0,mit", 2), 5: ("bsd", 1)}
+
+
+def test_leaders_left_after_the_rounds_are_compared(spark, monkeypatch):
+    from parley.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(near_dup, "PART", 1)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([*words[:140], *(f"x{i}y{k}" for k in range(8))])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert got == {i: c for i, (c, _) in brute_classes(rows).items()} and set(got.values()) == {0}
