@@ -7,6 +7,8 @@ is longer, which bounds a task's memory.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,24 +18,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 18
-#: Rows of whole texts in one Arrow batch, at most.
-BATCH_ROWS = 1000
+#: Rows of whole texts, and bytes, in one Arrow batch, at most (a single longer text is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 24
 #: Rows that may be broadcast: about 64 bytes each, so 64 MB at most.
 BROADCAST_ROWS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one under /tmp where that is unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset a local session gets one of its own;
+    on a cluster that is an error, since a machine's own folder is not shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or "/tmp/checkpoints").rstrip("/")
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    return folder.rstrip("/")
 
 
 def small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, in a session whose Arrow batches hold BATCH_ROWS rows at most: ten thousand whole texts are too many for a task."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """``docs``, in a session whose Arrow batches hold BATCH_ROWS rows and BATCH_BYTES bytes at most, as ten thousand whole texts are
+    too many for a task. Results are lazy and Spark reads these settings when it plans them, so they stay set in the session."""
+    conf = docs.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = conf.get(key, None)  # none where this Spark has no such setting
+        if held is not None and not 0 < int(re.match(r"-?[0-9]+", held)[0]) <= most:
+            conf.set(key, str(most))
     return docs
 
 
@@ -44,6 +54,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that no later result reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if "/parley-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` marked for broadcast if it is counted to have at most ``rows`` rows; else as it is, for a shuffle join."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small

@@ -29,20 +29,29 @@ from parley.llm.common import stage
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose words must stand one after the other, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Short notices of well-known licenses.
+#: Notices of well-known licenses, as they stand at the head of files.
 TEMPLATES = {
     "agpl-3.0": "licensed under the gnu affero general public license version 3",
     "apache-2.0": "licensed under the apache license version 2.0",
+    "boost-1.0": "distributed under the boost software license version 1.0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
     "cc-by-4.0": "licensed under cc by 4.0",
     "cc-by-nc-4.0": "licensed under cc by-nc 4.0",
     "cc-by-sa-4.0": "licensed under cc by-sa 4.0",
+    "cc0-1.0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0",
+    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl-3.0": "licensed under the gnu lesser general public license version 3",
     "mit": "released under the mit license",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
+    "odbl-1.0": "made available under the open database license",
     "proprietary": "confidential and proprietary no license is granted",
     "public-domain": "this work is released into the public domain",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
 }
 MOST_TEMPLATE_WORDS = 10_000
 
@@ -78,17 +87,22 @@ def _template_words(templates: Mapping[str, str]) -> dict[str, list[str]]:
     return found
 
 
+def longest_template(templates: Mapping[str, str]) -> int:
+    """The words of the longest template."""
+    return max(len(re.findall(WORD, v.lower())) for v in templates.values())
+
+
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, separator: str = "\n") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks; a row for each row of ``docs``.
 
     n_base counts all places where PHRASES stand, first_word and last_word are the first and last of them (null without any).
     labels holds the labels of phrases and of the templates that a block matches; n_blocks counts those blocks. score is the
-    largest containment of a matched template (runs that overlap are one block), 1 where a phrase stands, else 0. Null and empty texts have no words. Ids may be
-    null or repeat; rows that agree in all of their columns each keep a row. Other columns are not read and may have any name.
-    An empty table gives an empty result.
+    largest containment of a matched template (runs that overlap are one block), 1 where a phrase stands, else 0. Null and empty
+    texts have no words; very long ones are scanned whole. Ids may be null or repeat; rows that agree in all of their columns each
+    keep a row. Other columns are not read and may have any name. An empty table gives an empty result.
     """
     held = _template_words(templates)
-    longest = max(len(re.findall(WORD, v.lower())) for v in templates.values())
+    longest = longest_template(templates)
     vocabulary = sorted({w for ws in held.values() for w in ws})
     known = F.array(*[F.lit(w) for w in vocabulary])
     text = lowered(F.col(text_col))
@@ -103,9 +117,10 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     labels = F.array(*[F.when(F.col("some") & joined.contains(f" {p} "), F.lit(label)) for p, label in PHRASES.items()])
     lines = F.transform(F.split("text", f"\\Q{separator}\\E"), lambda b: _line(words_of(b), known))
     # Only documents that hold enough words of some template at all can have a block that does.
+    base = base.withColumn("known", F.array_intersect("words", known))
     enough = F.lit(False)
     for ws in held.values():
-        enough = enough | (F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in ws]))) >= math.ceil(threshold * len(ws) - 1e-9))
+        enough = enough | (F.size(F.array_intersect("known", F.array(*[F.lit(w) for w in ws]))) >= math.ceil(threshold * len(ws) - 1e-9))
     base = base.select(
         "row",
         "doc_id",

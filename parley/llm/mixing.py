@@ -3,26 +3,28 @@
 Documents are summed to cells (source, language, topic). Raking scales the cells' shares of tokens to the targets of one
 dimension after the other, round after round, until all three marginals hold. A document's expected number of copies is the
 budget times its cell's share over the tokens of the cell; the whole part is given to each document, the rest by a draw that
-depends only on the id and the seed.
+depends only on the id and the seed. Where documents are drawn once each, no expected number may exceed 1: a full cell stays
+full, and what it cannot give comes from the other cells of its source, language or topic.
 
-Cells are few and are all that iterates; their shares are kept in the shared folder between the rounds. Where documents are drawn
-once each, no cell can give more tokens than it has: the driver then rakes the cells, of checked number, within that bound.
+The share of a cell is its tokens by a factor of its source and one of its kind (language and topic). Sources may be millions, so
+their factors are solved for source by source in Spark, and what a round shuffles is a sum for each kind, combined before the
+shuffle. Kinds are few, and checked to be: the driver holds a number for each, and scales these to languages and topics.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import bounded, stage
 from parley.llm.profile import kept_columns
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Cells that a driver may hold.
-MOST_CELLS = 200_000
+#: Pairs of language and topic that the driver may hold.
+MOST_KINDS = 20_000
 
 
 def token_weight(text: Column) -> Column:
@@ -36,97 +38,97 @@ def topic_of(text: Column) -> Column:
     return F.when(text.contains(" | "), "tabular").when(text.rlike("[0-9]"), "numeric").otherwise("prose")
 
 
-def targets(cells: DataFrame, dimension: str, wanted: Mapping[str, float] | None, temper: float) -> DataFrame:
-    """(dimension, target) with a sum of 1: ``wanted`` among the values that occur, or their own shares to the power ``temper``.
-
-    Values that ``wanted`` leaves out keep their own share.
-    """
-    own = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens"))
-    own = own.join(F.broadcast(own.agg(F.sum("tokens").alias("all"))), F.lit(True)).withColumn("share", F.col("tokens") / F.col("all"))
+def targets(values: DataFrame, dimension: str, wanted: Mapping[str, float] | None, temper: float) -> DataFrame:
+    """``values`` (dimension, own: their shares) with target, of sum 1: ``wanted`` among the values that occur, or their own shares
+    to the power ``temper``. Values that ``wanted`` leaves out keep their own share."""
     if wanted is None:
-        own = own.withColumn("raw", F.pow("share", F.lit(temper)))
+        raw = F.pow("own", F.lit(temper))
     else:
         given = F.lit(None).cast("double")
         for value, weight in wanted.items():
             given = F.when(F.col(dimension) == value, F.lit(float(weight))).otherwise(given)
-        own = own.withColumn("raw", F.coalesce(given, F.col("share")))
-    own = own.join(F.broadcast(own.agg(F.sum("raw").alias("sum"))), F.lit(True))  # one row
-    return own.select(dimension, (F.col("raw") / F.col("sum")).alias(f"{dimension}_target"))
+        raw = F.coalesce(given, F.col("own"))
+    return values.withColumn("target", raw / F.lit(float(values.agg(F.sum(raw)).first()[0])))
 
 
-def _with_targets(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], temper: float) -> DataFrame:
-    found = cells
-    for d in DIMENSIONS:
-        found = found.join(bounded(targets(cells, d, wanted.get(d), temper)), d)
-    return found
+def within_reach(goals: DataFrame, budget: float) -> DataFrame:
+    """Targets that ``own`` can give at ``budget`` without repeats: those beyond are lowered to it, the others raised by one factor."""
+    bound, by = F.col("own") / budget, 1.0
+    while True:
+        full = F.col("target") * by >= bound
+        held, free = goals.agg(F.sum(F.when(full, bound).otherwise(0.0)), F.sum(F.when(~full, F.col("target")).otherwise(0.0))).first()
+        more = (1.0 - held) / free if free > 0 else by
+        if more <= by * (1 + 1e-12):
+            return goals.withColumn("target", F.least(F.col("target") * by, bound))
+        by = more  # it only rises, and each rise fills at least one value more
 
 
-def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], *, temper: float = 0.5, rounds: int = 12, each: int = 4) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``share``: the calibrated share of each cell, after ``rounds`` rounds.
+def _shares(by_source: DataFrame, factors: list[float], budget: float | None) -> DataFrame:
+    """(source, kind, share) of each cell by the kinds' ``factors`` and the factor of each source that meets its target.
 
-    A round is one window over each dimension; every ``each`` rounds the shares are written to the shared folder. Cells without
-    tokens do not occur. After the last round the topic marginals hold exactly, the others as near as the rounds bring them.
+    Without a bound that is the target over the sum of own * by. With one, cells fill up in the order of their kinds' factors: the
+    cells are taken from the largest factor on, and each that the source's factor would overfill gives what it has.
     """
-    found = _with_targets(cells, wanted, temper)
-    found = stage(found.withColumn("share", F.col("tokens").cast("double")), "cells")
-    for k in range(rounds):
-        for d in DIMENSIONS:
-            found = found.withColumn("share", F.col("share") * F.col(f"{d}_target") / F.sum("share").over(Window.partitionBy(d)))
-        if k % each == each - 1 or k == rounds - 1:
-            found = stage(found, "raked")
-    return found.select(*DIMENSIONS, "tokens", "share")
-
-
-def raked_within(own: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], budget: float, sweeps: int = 300) -> np.ndarray:
-    """Shares of cells with ``goals`` as marginals, no cell's share above ``own`` / ``budget``.
-
-    ``own`` are the cells' shares of all tokens, ``codes`` the place of each cell's value in the goals of a dimension. A goal that
-    its value has too few tokens for is lowered to those, and the other goals of the dimension are raised. Then each step scales
-    the cells of a value by one factor and holds them at their bound: what a full cell cannot give comes from the others.
-    """
-    bound = own / budget
-    goals = list(goals)
-    for d, code in enumerate(codes):
-        most = np.bincount(code, bound, len(goals[d]))
-        over = np.zeros(len(most), bool)
-        while (more := ~over & (goals[d] > most * (1 + 1e-9))).any():
-            over |= more
-            rest = goals[d][~over].sum()
-            goals[d] = np.where(over, most, goals[d] * ((1 - most[over].sum()) / rest if rest > 0 else 1))
-    share = np.minimum(own, bound)
-    for _ in range(sweeps):
-        for code, goal in zip(codes, goals, strict=True):
-            full = np.zeros(len(own), bool)
-            while True:
-                held, free = (np.bincount(code, np.where(x, y, 0), len(goal)) for x, y in ((full, np.where(full, bound, 0)), (~full, share)))
-                scaled = share * (np.maximum(goal - held, 0) / np.where(free > 0, free, 1))[code]
-                more = ~full & (scaled > bound)
-                if not more.any():
-                    break
-                full |= more
-            share = np.where(full, bound, scaled)
-        if max(float(abs(np.bincount(code, share, len(goal)) - goal).max()) for code, goal in zip(codes, goals, strict=True)) < 1e-5:
-            break
-    return share
+    by = F.from_json(F.lit(json.dumps(factors)), "array<double>")  # folded to one constant
+    placed = by_source.withColumn("cells", F.sort_array(F.transform("cells", lambda c: F.struct(F.get(by, c["kind"]).alias("by"), c["own"].alias("own"), c["kind"].alias("kind"))), asc=False))
+    free = F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["own"] * c["by"])
+    if budget is None:
+        placed = placed.withColumn("factor", F.coalesce(F.try_divide("target", free), F.lit(0.0)))
+        share = F.col("c.own") * F.col("c.by") * F.col("factor")
+    else:
+        most = F.lit(1.0 / budget)
+        start = F.struct(F.lit(0.0).alias("held"), free.alias("free"))
 
+        def filled(s: Column, c: Column) -> Column:
+            full = (F.col("target") - s["held"]) * c["by"] >= most * s["free"]
+            return F.struct((s["held"] + F.when(full, most * c["own"]).otherwise(0.0)).alias("held"), (s["free"] - F.when(full, c["own"] * c["by"]).otherwise(0.0)).alias("free"))
 
-def _rates_once(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], temper: float, budget: float) -> DataFrame:
-    """(source, lang, topic, share, rate) with rates of at most 1."""
-    rows = stage(_with_targets(cells, wanted, temper), "cells").limit(MOST_CELLS + 1).collect()
-    if len(rows) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells")
-    rows.sort(key=lambda r: tuple(r[d] for d in DIMENSIONS))
-    codes, goals = [], []
+        placed = placed.withColumn("s", F.aggregate("cells", start, filled))
+        placed = placed.withColumn("factor", F.when(F.col("s.free") > 1e-15, F.greatest(F.lit(0.0), F.col("target") - F.col("s.held")) / F.col("s.free")).otherwise(F.lit(1e300)))
+        share = F.col("c.own") * F.least(most, F.col("c.by") * F.col("factor"))
+    placed = placed.select("source", "factor", F.explode("cells").alias("c"))
+    return placed.select("source", "c.kind", share.alias("share"))
+
+
+def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], *, budget: float | None = None, temper: float = 0.5, rounds: int = 24, tolerance: float = 1e-12) -> tuple[DataFrame, float]:
+    """``cells`` (source, lang, topic, tokens) with ``share``: the calibrated share of each cell; and the largest change that the
+    last round made to a factor of a kind.
+
+    A round scales to the sources, the languages and the topics; sources come once more at the end, so their marginals hold, the
+    others as near as the rounds bring them. Rounds end once the change is below ``tolerance``, after ``rounds`` at most. Cells
+    without tokens do not occur. With ``budget`` no share exceeds the cell's own share of all tokens over the budget.
+    """
+    kinds = cells.select("lang", "topic").distinct().limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} pairs of language and topic")
+    if not kinds:
+        return cells.select(*DIMENSIONS, F.lit(0.0).alias("share")), 0.0
+    kinds = sorted((k["lang"], k["topic"]) for k in kinds)
+    numbers = cells.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(kinds)], "lang string, topic string, kind int")
+    own = F.col("tokens") / F.lit(float(cells.agg(F.sum("tokens")).first()[0]))
+    goals = {}
     for d in DIMENSIONS:
-        values, first, code = np.unique(np.array([r[d] for r in rows], object), return_index=True, return_inverse=True)
-        codes.append(code)
-        goals.append(np.array([rows[i][f"{d}_target"] for i in first]))
-    tokens = np.array([r["tokens"] for r in rows], float)
-    own = tokens / max(tokens.sum(), 1)
-    share = raked_within(own, codes, goals, budget) if rows and budget > 0 else np.zeros(len(rows))
-    rate = np.minimum(share * budget / np.maximum(own, 1e-300), 1.0)
-    held = [(*(r[d] for d in DIMENSIONS), float(a), float(b)) for r, a, b in zip(rows, share, rate, strict=True)]
-    return cells.sparkSession.createDataFrame(held, "source string, lang string, topic string, share double, rate double")
+        goals[d] = stage(targets(cells.groupBy(d).agg(F.sum("tokens").alias("tokens")).select(d, own.alias("own")), d, wanted.get(d), temper), "goals")
+        if budget is not None:
+            goals[d] = within_reach(goals[d], budget)
+    by_source = cells.join(F.broadcast(numbers), ["lang", "topic"]).groupBy("source").agg(F.collect_list(F.struct("kind", own.alias("own"))).alias("cells"))
+    by_source = stage(by_source.join(goals["source"].select("source", "target"), "source"), "by_source")
+    goals = {d: {r[d]: r["target"] for r in goals[d].select(d, "target").collect()} for d in ("lang", "topic")}
+    factors, moved = [1.0] * len(kinds), 0.0
+    for _ in range(rounds):
+        sums = {r["kind"]: r["sum"] for r in _shares(by_source, factors, budget).groupBy("kind").agg(F.sum("share").alias("sum")).collect()}
+        up = [1.0] * len(kinds)
+        for at, d in enumerate(("lang", "topic")):
+            held: dict[str, float] = {}
+            for i, k in enumerate(kinds):
+                held[k[at]] = held.get(k[at], 0.0) + sums[i] * up[i]
+            up = [u * (goals[d][k[at]] / held[k[at]] if held[k[at]] > 0 else 1.0) for u, k in zip(up, kinds, strict=True)]
+        factors = [f * u for f, u in zip(factors, up, strict=True)]
+        moved = max(abs(u - 1) for u in up)
+        if moved < tolerance:
+            break
+    found = _shares(by_source, factors, budget).join(F.broadcast(numbers), "kind")
+    return found.select(*DIMENSIONS, "share"), moved
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -142,9 +144,10 @@ def mix(
     budget: float = 0.5,
     seed: int = 11,
     temper: float = 0.5,
-    rounds: int = 12,
+    rounds: int = 24,
     id_col: str = "doc_id",
     text_col: str = "text",
+    tokens_col: str | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, source, lang, topic, tokens, share (of the cell), expected and copies, a row for each row; or, with ``keep``, these
@@ -153,29 +156,30 @@ def mix(
 
     ``wanted`` maps source, lang and topic to target weights; None tempers the shares that the values have (power ``temper``).
     ``budget`` is the number of tokens to draw, as a share of those there are. copies may be 0, or more than 1 where a cell must
-    be repeated. Null sources and languages count as the value ''. Null and empty texts weigh one token. Rows that repeat an
-    id get the same draw; ids may be null. Columns other than id, text, source, lang and ``keep`` are not read. An empty table
-    gives an empty result.
+    be repeated. ``tokens_col`` names a column of token counts, such as an exact tokenizer's; without it four characters make a
+    token. Null counts, and null and empty texts, weigh one token. Null sources and languages count as the value ''. Rows that
+    repeat an id get the same draw; ids may be null. Columns other than id, text, source, lang, tokens and ``keep`` are not read and
+    may have any name. Texts of any length are weighed whole. An empty table gives an empty result.
     """
+    if budget <= 0 or (keep and budget > 1):
+        raise ValueError("the budget is positive, and 1 at most where rows are drawn once")
     there, back = kept_columns(docs, keep)
     fill = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    weight = F.greatest(F.lit(1).cast("long"), F.coalesce(F.col(tokens_col).cast("long"), F.lit(1).cast("long"))) if tokens_col else token_weight(F.col(text_col))
     found = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         fill("source").alias("source"),
         fill("lang").alias("lang"),
         topic_of(F.col(text_col)).alias("topic"),
-        token_weight(F.col(text_col)).alias("tokens"),
+        weight.alias("tokens"),
         *there,
     )
-    cells = stage(found.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("cell_tokens")), "sums")
-    total = cells.agg(F.coalesce(F.sum("cell_tokens"), F.lit(0))).first()[0]
-    cells = cells.withColumnRenamed("cell_tokens", "tokens")
-    if keep:
-        rates = _rates_once(cells, wanted, temper, budget)
-    else:
-        raked = rake(cells, wanted, temper=temper, rounds=rounds)
-        rates = raked.select(*DIMENSIONS, "share", (F.col("share") * F.lit(budget * total) / F.col("tokens")).alias("rate"))
-    placed = found.join(bounded(rates), list(DIMENSIONS))
+    cells = stage(found.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "sums")
+    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    shares, _ = rake(cells, wanted, budget=budget if keep else None, temper=temper, rounds=rounds)
+    rate = F.col("share") * F.lit(budget * total) / F.col("tokens")
+    rates = cells.join(bounded(shares), list(DIMENSIONS)).select(*DIMENSIONS, "share", (F.least(F.lit(1.0), rate) if keep else rate).alias("rate"))
+    placed = found.join(bounded(stage(rates, "rates")), list(DIMENSIONS))
     whole = F.floor("rate")
     copies = (whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")).alias("copies")
     found = placed.select("doc_id", *DIMENSIONS, "tokens", "share", F.col("rate").alias("expected"), copies, *[f"keep_{i}" for i in range(len(keep))])

@@ -3,7 +3,8 @@
 Texts are sets of word shingles (five words by default; letters, digits and all beyond ASCII make words, A-Z count as a-z).
 
 1. One pass over the texts makes, for each row, a key of its shingle set and a MinHash signature. Rows of equal sets are one
-   node from here on, whatever their number.
+   node from here on, whatever their number. Keys have 64 bits; a second key of 64 bits shows whether two different sets ever
+   share one, and then all is keyed anew with another seed.
 2. Signatures are cut into bands; nodes that agree in a band share a bucket. With 25 bands of 4 a pair at Jaccard 0.8 shares
    none with probability 2e-6.
 3. In each bucket a few leaders cover the rest: MinHash values are compared block by block, and a pair is dropped when the
@@ -11,9 +12,11 @@ Texts are sets of word shingles (five words by default; letters, digits and all
    is within 0.1 of its leader, all that is within 0.2 of the text is within 0.3 of the leader, so the leader's links at 0.6
    or more tie together every pair that can reach 0.8. A bucket gives a number of links in proportion to its nodes, not to its
    pairs. Large buckets are dealt into parts of ``PART`` nodes; the leaders of the parts meet again in the next round.
-4. Components of those links are families. Within a family all pairs are compared in blocks of ``BLOCK`` nodes, again pruned
-   by posterior, and what is left is verified by the exact intersection of the shingle sets. A block gives a spanning forest
-   of its verified links and the number of links of each node, never the pairs.
+4. Components of those links are families. The node with the smallest key is a family's head; the other sets are written as what
+   they have and what they lack against the head's set, which for copies with a few edits is little. These differences are dealt
+   in pairs of blocks of ``BLOCK`` nodes or ``BLOCK_SHINGLES`` shingles, with the head's set beside them. Within a pair of
+   blocks pairs are pruned by posterior, and what is left is verified by the exact intersection of the shingle sets. It gives a
+   spanning forest of its verified links and the number of links of each node, never the pairs.
 5. Components of the forest are the classes.
 
 Pruning and banding are probabilistic by the nature of the method, with the tolerances named; every link reported is exact.
@@ -27,14 +30,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import bounded, by_group, LOWERED, mixed, slices, small_batches, stage, window_hashes, word_hashes, WORDLIKE
+from parley.llm.common import bounded, by_group, drop_staged, LOWERED, mixed, slices, small_batches, stage, window_hashes, word_hashes, WORDLIKE
 from parley.llm.components import components
 
-#: Nodes of a bucket, and of a family, that one group handles.
-PART, BLOCK = 1024, 512
+#: Nodes of a bucket, and nodes or shingles of a family, that one group handles (a single larger set is a block of its own).
+PART, BLOCK, BLOCK_SHINGLES = 1024, 160, 1 << 20
 #: Rounds over leaders before those that are left are compared by blocks.
 LEADER_ROUNDS = 20
 #: Jaccard similarity that ties families, and the share of equal MinHash values that covers a text.
@@ -56,9 +59,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
     return out
 
 
-def set_key(found: np.ndarray) -> int:
+def set_key(found: np.ndarray, seed: int = 0) -> int:
     """A 64-bit key of a set of shingles."""
-    one = int(mixed(found).sum(dtype=np.uint64)) + len(found) * 0x9E3779B97F4A7C15
+    one = int(mixed(found + np.uint64(seed)).sum(dtype=np.uint64)) + len(found) * 0x9E3779B97F4A7C15
     return int(mixed(np.array([one % (1 << 64)], np.uint64)).view(np.int64)[0])
 
 
@@ -103,7 +106,7 @@ def likely(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float, ste
     return i, j, same
 
 
-def _signatures(width: int, bands: int, rows: int):
+def _signatures(width: int, bands: int, rows: int, seed: int):
     minhash = MinHash(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +116,13 @@ def _signatures(width: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, end - start),
-                        pa.array([set_key(x) if len(x) else None for x in found], pa.int64()),
+                        pa.array([set_key(x, seed) if len(x) else None for x in found], pa.int64()),
+                        pa.array([set_key(x, seed + 1) if len(x) else None for x in found], pa.int64()),
+                        pa.array([len(x) for x in found], pa.int64()),
                         pa.array([minhash(x).tobytes() if len(x) else None for x in found], pa.binary()),
                         batch.column("mark").slice(start, end - start),
                     ],
-                    names=["doc_id", "node", "sig", "mark"],
+                    names=["doc_id", "node", "check", "size", "sig", "mark"],
                 )
 
     return run
@@ -181,10 +186,9 @@ def _cover(tolerance: float, last: bool = False):
     return run
 
 
-def _families(signed: DataFrame, bands: int, rows: int, tolerance: float) -> DataFrame:
-    """Links (a, b) between nodes whose components are families."""
+def _families(signed: DataFrame, small: DataFrame, bands: int, rows: int, tolerance: float) -> DataFrame:
+    """Links (a, b) between nodes whose components are families; ``small``: the nodes with one byte of each MinHash value."""
     placed = stage(signed.select("node", "sig").mapInArrow(_bands(bands, rows), "bucket long, node long"), "bands")
-    small = stage(signed.select("node", F.expr("cast(sig as binary)").alias("sig")).mapInArrow(_low_bytes, "node long, sig binary"), "low")
     links, seen = None, None
     for _ in range(LEADER_ROUNDS):
         shared = stage(placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -219,18 +223,22 @@ def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sigs, pa.binary())], names=["node", "sig"])
 
 
-def _verify(threshold: float, tolerance: float, values: int):
+def _verify(threshold: float, tolerance: float):
     """Of one pair of blocks of a family: each node's forest parent and the number of rows its verified links lead to."""
-    minhash = MinHash(values)
 
-    def run(part: pa.Table) -> pa.RecordBatch:
+    def run(part: pa.Table) -> pa.RecordBatch | None:
         part = part.sort_by([("block", "ascending"), ("node", "ascending")])
         nodes, block = part.column("node").to_numpy(), part.column("block").to_numpy()
-        once = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))  # rows that repeat an id and a text
+        once = np.flatnonzero(np.append(True, (nodes[1:] != nodes[:-1]) | (block[1:] != block[:-1])))  # rows may repeat an id and a text
         nodes, block, copies = nodes[once], block[once], part.column("copies").to_numpy()[once]
-        found = part.column("found").to_pylist()
-        sets = [np.frombuffer(found[x], np.uint64) for x in once]
-        sigs = np.stack([minhash(x) for x in sets])
+        more, less, sigs = (part.column(k).take(pa.array(once)).to_pylist() for k in ("more", "less", "sig"))
+        items = lambda x: np.frombuffer(x, np.uint64)
+        head = items(more[0])  # block -1: it is here to read the others by, and takes part as a member of its own block
+        nodes, block, copies, more, less, sigs = (x[1:] for x in (nodes, block, copies, more, less, sigs))
+        if not len(nodes):  # no node fell into these two blocks
+            return None
+        sets = [items(m) if s is None else np.union1d(np.setdiff1d(head, items(s), assume_unique=True), items(m)) for m, s in zip(more, less, strict=True)]
+        sigs = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(nodes), -1)
         size, links = np.array([len(x) for x in sets]), np.zeros(len(nodes), np.int64)
         find, join = _forest(len(nodes))
         low, high = part.column("low")[0].as_py(), part.column("high")[0].as_py()
@@ -241,9 +249,9 @@ def _verify(threshold: float, tolerance: float, values: int):
             rest = rest[likely(sigs[i : i + 1], sigs[rest], threshold, tolerance)[1]]
             if not len(rest):
                 continue
-            items = np.concatenate([sets[x] for x in rest])
-            at = np.minimum(np.searchsorted(sets[i], items), size[i] - 1)
-            both = np.add.reduceat((sets[i][at] == items).astype(np.int64), np.cumsum(size[rest]) - size[rest])
+            found = np.concatenate([sets[x] for x in rest])
+            at = np.minimum(np.searchsorted(sets[i], found), size[i] - 1)
+            both = np.add.reduceat((sets[i][at] == found).astype(np.int64), np.cumsum(size[rest]) - size[rest])
             for x in rest[both >= threshold * (size[rest] + size[i] - both) - 1e-9].tolist():
                 links[i] += copies[x]
                 links[x] += copies[i]
@@ -254,23 +262,76 @@ def _verify(threshold: float, tolerance: float, values: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, seed: int):
+    """The shingle sets of texts; of the rows of a partition that agree in id and set one is given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
             for start, end, data, offsets in slices(batch.column("text")):
-                found = shingles(data, offsets, width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(start, end - start),
-                        pa.array([set_key(x) if len(x) else None for x in found], pa.int64()),
-                        pa.array([x.tobytes() for x in found], pa.binary()),
-                    ],
-                    names=["doc_id", "node", "found"],
-                )
+                rows = []
+                for i, found in zip(ids[start:end], shingles(data, offsets, width), strict=True):
+                    if len(found) and (key := (i, set_key(found, seed))) not in seen:
+                        seen.add(key)
+                        rows.append((*key, found.tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "node", "found"])
 
     return run
 
 
+def _member_sets(docs: DataFrame, members: DataFrame, width: int, seed: int) -> DataFrame:
+    """``members`` with ``found``, read again from a row that has the node's first id; a null first id is looked for among null ids."""
+    wanted = bounded(members.select(F.coalesce("first", F.lit(-(2**63))).alias("want")))
+    texts = docs.withColumn("want", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, "want", "left_semi")
+    sets = texts.select("doc_id", "text").mapInArrow(_sets(width, seed), "doc_id long, node long, found binary")
+    sets = sets.select(F.col("node").alias("of"), F.col("doc_id").alias("read"), "found")
+    return sets.join(bounded(members), (F.col("of") == F.col("node")) & F.col("read").eqNullSafe(F.col("first"))).drop("of", "read")
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("node"), F.col("blocks"))
+
+
+def _apart(docs: DataFrame, members: DataFrame, width: int, seed: int) -> DataFrame:
+    """(component, node, more, less) of all members. The head's set is joined by block, so that a large family is many keys."""
+    held = _member_sets(docs, members, width, seed).withColumn("block", _block())
+    heads = _member_sets(docs, members.where("node = component"), width, seed)
+    heads = heads.select("component", F.col("node").alias("its"), F.col("found").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    both = held.join(heads, ["component", "block"]).select("component", "node", "found", F.when(F.col("node") != F.col("its"), F.col("head")).alias("head"))
+    return both.mapInArrow(_against_head, "component long, node long, more binary, less binary")
+
+
+def _against_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets (found) beside the head's set (head; null for the head itself): what they have more and less, or all they have if that is shorter."""
+    for batch in batches:
+        more, less = [], []
+        for found, head in zip(batch.column("found").to_pylist(), batch.column("head").to_pylist(), strict=True):
+            more.append(found)
+            less.append(None)
+            if head is not None:
+                a, b = np.frombuffer(found, np.uint64), np.frombuffer(head, np.uint64)
+                plus, minus = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+                if len(plus) + len(minus) < len(a):
+                    more[-1], less[-1] = plus.tobytes(), minus.tobytes()
+        columns = [batch.column(k) for k in ("component", "node")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(more, pa.binary()), pa.array(less, pa.binary())], names=["component", "node", "more", "less"])
+
+
+def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, node, mark), nodes (node, first, copies, size, sig), and the seed with which no two sets share a key."""
+    for seed in range(0, 20, 2):
+        signed = docs.withColumn("mark", F.xxhash64("text"))
+        signed = stage(small_batches(signed).mapInArrow(_signatures(width, bands, rows, seed), "doc_id long, node long, check long, size long, sig binary, mark long"), "signed")
+        keys = [F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig"), (F.min("check") != F.max("check")).alias("shared")]
+        nodes = stage(signed.where("node is not null").groupBy("node").agg(*keys), "nodes")
+        if not nodes.where("shared").limit(1).count():
+            return signed.select("doc_id", "node", "mark"), nodes.drop("shared"), seed
+        drop_staged(signed, nodes)
+    raise RuntimeError("different sets share a key with every seed")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, bands: int = 25, rows: int = 4) -> DataFrame:
     """(doc_id, class_id, class_size, n_links, mark) for every row of ``docs``; mark is a hash of the text.
 
@@ -284,25 +345,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if threshold < 0.8:
         raise ValueError("families are only proven to hold links at 0.8 or more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = small_batches(docs.withColumn("mark", F.xxhash64("text"))).mapInArrow(_signatures(width, bands, rows), "doc_id long, node long, sig binary, mark long")
-    signed = stage(signed, "signed")
-    nodes = stage(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "nodes")
-    families = components(_families(nodes, bands, rows, tolerance))
-    sizes = families.groupBy("component").agg(F.count("*").alias("n"))
+    signed, nodes, seed = _signed(docs, width, bands, rows)
+    small = stage(nodes.select("node", "sig").mapInArrow(_low_bytes, "node long, sig binary"), "low")
+    families = components(_families(nodes, small, bands, rows, tolerance))
+    sizes = families.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
     members = families.join(stage(sizes, "sizes"), "component").join(nodes.select("node", "first", "copies"), "node")
-    members = stage(members.select("component", "node", "first", "copies", F.ceil(F.col("n") / BLOCK).alias("blocks")), "members")
-    # A node's text is read again from a row that has the node's first id; a null first id is looked for among null ids.
-    wanted = bounded(members.select(F.coalesce("first", F.lit(-(2**63))).alias("want")))
-    texts = docs.withColumn("want", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, "want", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, node long, found binary")
-    members = bounded(members)
-    sets = sets.select(F.col("node").alias("of"), F.col("doc_id").alias("read"), "found")
-    held = sets.join(members, (F.col("of") == F.col("node")) & F.col("read").eqNullSafe(F.col("first"))).select(
-        "component", "node", "copies", "found", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
-    )
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "copies", "found", "block")
-    forest = stage(by_group(dealt, ["component", "low", "high"], _verify(threshold, tolerance, bands * rows), "a long, b long, links long"), "forest")
+    members = stage(members.select("component", "node", "first", "copies", blocks), "members")
+    apart = stage(_apart(docs, members, width, seed), "apart")
+    placed = apart.join(members.select("node", "copies", "blocks"), "node").join(small, "node")
+    dealt = placed.withColumn("block", _block()).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "copies", "more", "less", "sig", "block")
+    # The head's set goes to every pair of blocks, as block -1.
+    heads = placed.where("node = component").withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    heads = heads.withColumn("high", F.explode(F.sequence(F.col("low"), F.col("blocks") - 1)))
+    heads = heads.select("component", "low", "high", F.lit(-(2**63)).alias("node"), "copies", "more", "less", "sig", F.lit(-1).cast("long").alias("block"))
+    dealt = dealt.unionByName(heads)
+    forest = stage(by_group(dealt, ["component", "low", "high"], _verify(threshold, tolerance), "a long, b long, links long"), "forest")
     classes = components(forest.select("a", "b"))
     links = forest.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = nodes.select("node", "first", "copies").join(stage(classes.join(links, "node"), "classed"), "node", "left")

@@ -6,8 +6,8 @@ document goes to the first bin in that order with enough room whose bitmaps do n
 until this tightest compatible bin is found, and a new bin is opened if there is none.
 
 Texts of more than ``capacity`` tokens are cut into pieces of that size and a rest; every piece is an item. Items are dealt by a
-hash of their id into shards of about ``shard_items``, so that a hot source is spread evenly; each shard is packed on its own,
-the largest item first.
+hash of their row into shards of about ``shard_items``, so that a hot source, copies and rows without an id are spread evenly;
+each shard is packed on its own, the largest item first.
 """
 
 from __future__ import annotations
@@ -85,12 +85,13 @@ def _packed(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = 2048, shard_items: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, tokens_col: str | None = None, capacity: int = 2048, shard_items: int = 2000) -> DataFrame:
     """(doc_id, piece, tokens, source, bin, offset, bin_tokens): where each piece of each row of ``docs`` lies.
 
     Pieces count from 0; only the last may be shorter than ``capacity``. bin numbers are unique over all shards, offset is the
-    number of tokens before the piece in its bin, bin_tokens what the bin holds. ``cluster_col`` names duplicate clusters;
-    without it equal texts are a cluster. Texts without words are one piece of 0 tokens and take part like others. Null sources
+    number of tokens before the piece in its bin, bin_tokens what the bin holds. ``tokens_col`` names a column of token counts, such
+    as an exact tokenizer's (null and negative: 0); without it words between white space are tokens. ``cluster_col`` names
+    duplicate clusters; without it equal texts are a cluster. Texts without words are one piece of 0 tokens and take part like others. Null sources
     and clusters conflict with nothing. Ids may be null or repeat; every row is packed. Other columns are not read and may have
     any name. An empty table gives an empty result.
     """
@@ -99,13 +100,15 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     cluster = F.xxhash64(cluster_col) if cluster_col else F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))
     if cluster_col:
         cluster = F.when(F.col(cluster_col).isNotNull(), cluster)
-    items = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), n_tokens(F.col(text_col)).alias("n"))
+    n = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col(tokens_col).cast("long"), F.lit(0).cast("long"))) if tokens_col else n_tokens(F.col(text_col))
+    # Row numbers are written down with the items, so a lost executor cannot change them.
+    items = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), n.alias("n"))
     items = stage(items, "items")
     shards = max(1, -(-items.count() // shard_items))
     last = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("n") / capacity) - 1)
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     items = items.select(
-        F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(shards)).alias("shard"),
         "doc_id",
         "piece",
         F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("tokens"),

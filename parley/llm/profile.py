@@ -46,7 +46,12 @@ def _hash_of(word: str) -> int:
     return int(span_hashes(data.astype(np.uint64) + np.uint64(1), np.array([0]), np.array([len(data)]), _BYTES)[0])
 
 
-_VOCABULARY = np.array(sorted((_hash_of(w), i) for i, w in enumerate(COMMON)), dtype=np.uint64)
+def vocabulary(words: list[str]) -> np.ndarray:
+    """(hash, place in ``words``) of each word, sorted by hash."""
+    return np.array(sorted((_hash_of(w), i) for i, w in enumerate(words)), dtype=np.uint64).reshape(-1, 2)
+
+
+_VOCABULARY = vocabulary(COMMON)
 
 LONGS = ("n_words", "word_chars", "n_chars", "n_symbols", "n_bars", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words")
 
@@ -77,7 +82,7 @@ def _distinct(keys: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def profile(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """LONGS, and the histograms chars and common, of every row."""
+    """LONGS, and the histogram chars, of every row."""
     n = len(offsets) - 1
     inside, lead = UNSPACED[data], (data & 0xC0) != 0x80
     words, rows = word_hashes(data, offsets, UNSPACED)
@@ -101,24 +106,40 @@ def profile(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     width = len(CLASSES) + 1
     kinds = np.bincount(np.repeat(np.arange(n) * width, np.diff(offsets)) + _CLASS[data], minlength=n * width).reshape(n, width)
     out["chars"] = kinds[:, :-1]
-    plain, plain_rows = word_hashes(LOWERED[data], offsets, WORDLIKE)
-    at = np.minimum(np.searchsorted(_VOCABULARY[:, 0], plain), len(COMMON) - 1)
-    known = np.where(_VOCABULARY[at, 0] == plain, _VOCABULARY[at, 1].astype(np.int64), len(COMMON))
-    width = len(COMMON) + 1
-    out["common"] = np.bincount(np.repeat(np.arange(n) * width, np.diff(plain_rows)) + known, minlength=n * width).reshape(n, width)
     return out
 
 
+def common_counts(data: np.ndarray, offsets: np.ndarray, held: list[np.ndarray], kinds: np.ndarray, size: int) -> np.ndarray:
+    """How often each row has each of ``size`` common words, and other words: row i counts by the vocabulary ``held[kinds[i]]``."""
+    n = len(offsets) - 1
+    words, rows = word_hashes(LOWERED[data], offsets, WORDLIKE)
+    row = np.repeat(np.arange(n), np.diff(rows))
+    known = np.full(len(words), size)
+    for kind in np.unique(kinds):
+        table = held[kind]
+        if len(table):
+            mine = np.flatnonzero(kinds[row] == kind) if len(held) > 1 else slice(None)
+            at = np.minimum(np.searchsorted(table[:, 0], words[mine]), len(table) - 1)
+            known[mine] = np.where(table[at, 0] == words[mine], table[at, 1].astype(np.int64), size)
+    return np.bincount(row * (size + 1) + known, minlength=n * (size + 1)).reshape(n, size + 1)
+
+
 def data_not_newline() -> np.ndarray:
     """Bytes that belong to a line."""
     return ~byte_table((10, 10))
 
 
-def _profiles(keep: list[str]):
+def _profiles(keep: list[str], lists: dict[str, list[str]] | None, by: str | None):
+    held = [_VOCABULARY] if lists is None else [vocabulary(x) for x in lists.values()]
+    size = len(COMMON) if lists is None else max(map(len, lists.values()), default=0)
+    place = {k: i for i, k in enumerate(lists or {})}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            of = np.array([place[x] for x in batch.column(by).to_pylist()], int) if by else np.zeros(batch.num_rows, int)
             for start, end, data, offsets in slices(batch.column("text")):
                 found = profile(data, offsets)
+                found["common"] = common_counts(data, offsets, held, of[start:end], size)
                 columns = [batch.column(k).slice(start, end - start) for k in keep]
                 columns += [pa.array(found[k].astype(np.int64)) for k in LONGS]
                 for k in ("chars", "common"):
@@ -129,15 +150,16 @@ def _profiles(keep: list[str]):
     return run
 
 
-def profiles(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The profile of column ``text`` of each row, beside the columns ``keep``, which may include ``text``."""
+def profiles(docs: DataFrame, keep: list[str], *, lists: dict[str, list[str]] | None = None, by: str | None = None) -> DataFrame:
+    """The profile of column ``text`` of each row, beside the columns ``keep``, which may include ``text``. Common words are COMMON, or
+    those that ``lists`` has for the value of column ``by``, one of ``keep``."""
     fields = [docs.schema[k] for k in keep]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
     for k in LONGS:
         schema.add(k, T.LongType())
     for k in ("chars", "common"):
         schema.add(k, T.ArrayType(T.IntegerType()))
-    return small_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(_profiles(keep), schema)
+    return small_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(_profiles(keep, lists, by), schema)
 
 
 def kept_columns(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list, list]:

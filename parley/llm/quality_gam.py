@@ -147,13 +147,14 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, coarse: int = 8, rounds
 
 
 def taught_model(texts: DataFrame, labels: DataFrame, sample: int) -> Additive:
-    """The model fitted on labelled rows of ``texts`` (doc_id, text); only their texts are looked at."""
+    """The model fitted on labelled rows of ``texts`` (doc_id, text), of ``sample`` ids at most; only their texts are looked at. Of rows
+    that repeat an id that with the smallest hash of its text counts."""
     named = list(features().values())
     taught = labels.where("doc_id is not null and y is not null").where(crc_of_id(F.col("doc_id")) % 3 != 1).groupBy("doc_id").agg(F.max("y").alias("y"))
     # At most ``sample`` pairs of numbers: a broadcast of known size.
     taught = F.broadcast(taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = profiles(texts.join(taught, "doc_id"), ["doc_id", "y"]).select("doc_id", "y", F.array(*named).alias("x"))
-    rows = rows.limit(2 * sample).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    rows = profiles(texts.withColumn("h", F.xxhash64("text")).join(taught, "doc_id"), ["doc_id", "y", "h"]).select("doc_id", "y", "h", F.array(*named).alias("x"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("x", "h").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     return fit(np.array(rows["x"].tolist(), float).reshape(len(rows), len(named)), rows["y"].to_numpy(float))
 
 

@@ -1,11 +1,12 @@
 """Quality rules: how far a document's characters and common words diverge from those of its language.
 
-The reference of a language is the sum of the histograms of all its documents that pass the base rules. A document is compared
-by Jensen-Shannon distance (base 2, so 0 to 1). Languages with fewer words than ``min_reference`` in all are compared with the
-reference of the whole corpus. Guards: texts shorter than ``min_words`` words are not compared.
+The common words of a language are the ``n_common`` words that most of its texts hold. The reference of a language is the sum of
+the histograms of its documents that pass the base rules. A document is compared by Jensen-Shannon distance (base 2, so 0 to
+1). Languages of fewer than ``min_documents`` documents, and those beyond the ``most_languages`` largest, are taken together as
+one. Guards: texts shorter than ``min_words`` words are not compared.
 
-Most words of any text are not common ones, so even a text without a common word is at a word distance of only about 0.4. The
-limit of word distances is therefore the upper fence of the distances that the documents of the language have themselves.
+Most words of any text are not common ones, so even a text without a common word is at a word distance well below 1. The limit of
+word distances is therefore the upper fence of the distances that the documents of the language have themselves.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import bounded, stage
-from parley.llm.profile import CLASSES, COMMON, kept_columns, profiles
+from parley.llm.common import stage
+from parley.llm.license_scan import lowered, words_of
+from parley.llm.profile import CLASSES, kept_columns, profiles
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -40,17 +42,51 @@ FENCE_ROWS, FENCE_MARGIN = 30, 0.05
 KEPT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def _distances(names: list[str]):
+def _distances(names: list[str], references: dict[str, tuple[np.ndarray, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                wide = {k: shares(batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1)) for k in ("chars", "common", "ref_chars", "ref_common")}
-                found = [pa.array(jensen_shannon(wide[k], wide[f"ref_{k}"])) for k in ("chars", "common")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *found], names=[*names, "char_distance", "word_distance"])
+            if not batch.num_rows:
+                continue
+            groups = np.array(batch.column("group").to_pylist(), object)
+            found = np.zeros((2, batch.num_rows))
+            for at, k in enumerate(("chars", "common")):
+                own = shares(batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1))
+                for g in set(groups.tolist()):
+                    if g in references:
+                        found[at, groups == g] = jensen_shannon(own[groups == g], references[g][at][None])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *(pa.array(x) for x in found)], names=[*names, "char_distance", "word_distance"])
 
     return run
 
 
+def _grouped(docs: DataFrame, min_documents: int, most_languages: int) -> DataFrame:
+    """``docs`` with group: ``=`` and the language, or nothing for the languages that are taken together."""
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_documents)
+    own = sizes.orderBy(F.desc("rows"), "lang").limit(most_languages).select("lang", F.concat(F.lit("="), "lang").alias("own"))
+    return docs.join(F.broadcast(own), "lang", "left").withColumn("group", F.coalesce("own", F.lit(""))).drop("own")
+
+
+def common_words(docs: DataFrame, n: int) -> dict[str, list[str]]:
+    """The ``n`` words that most texts (group, text) of each group hold, of equals the first by their letters."""
+    counts = docs.select("group", F.explode(F.array_distinct(words_of(lowered(F.col("text"))))).alias("word")).groupBy("group", "word").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= n)
+    found: dict[str, list[str]] = {r["group"]: [] for r in docs.select("group").distinct().collect()}  # most_languages and one, at most
+    for r in sorted(ranked.select("group", "rank", "word").collect(), key=lambda r: r["rank"]):
+        found[r["group"]].append(r["word"])
+    return found
+
+
+def _fences(usual: DataFrame, width: float) -> DataFrame:
+    """(group, fence) from rows (group, d): the upper quartile and ``width`` times the distance of the quartiles; d has four digits, so
+    what is sorted is at most 10,001 counts of a group."""
+    counts = usual.groupBy("group", "d").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("group")
+    ranked = counts.withColumns({"upto": F.sum("n").over(w.orderBy("d")), "all": F.sum("n").over(w)}).where(F.col("all") >= FENCE_ROWS)
+    quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("d")))
+    q1, q3 = quartile(0.25), quartile(0.75)
+    return ranked.groupBy("group").agg((q3 + F.greatest(F.lit(FENCE_MARGIN), width * (q3 - q1))).alias("fence"))
+
+
 def quality_rules(
     docs: DataFrame,
     *,
@@ -61,7 +97,9 @@ def quality_rules(
     max_words: float = 0.75,
     word_fence: float | None = 1.5,
     min_words: int = 40,
-    min_reference: int = 2000,
+    n_common: int = 100,
+    min_documents: int = 30,
+    most_languages: int = 1000,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance; a row for each
@@ -69,48 +107,41 @@ def quality_rules(
 
     base_failed: fewer than 10 words, or more than a fifth of the words in 5-word windows that the text repeats. kept is false
     for those, and for texts of ``min_words`` words or more with a distance above ``max_chars`` or ``max_words``, or with a word
-    distance beyond the upper quartile of its language by more than ``word_fence`` times the distance of the quartiles. Quartiles
-    are counted over all texts compared with the same reference that pass the other rules; below FENCE_ROWS of them, and with
-    ``word_fence`` None, there is no fence. Up to a quarter of a language may be odd without moving its fence much.
-    Null and empty texts have no words and fail the base rules. A null language is a language of its own. Ids may be null or
-    repeat. Other columns are not read and may have any name. An empty table gives an empty result.
+    distance, to four digits, beyond the upper quartile of its language by more than ``word_fence`` times the distance of the
+    quartiles (FENCE_MARGIN at least). Quartiles are counted over all texts of the language that pass the other rules; below
+    FENCE_ROWS of them, and with ``word_fence`` None, there is no fence. Up to a quarter of a language may be odd without moving
+    its fence much.
+    Null and empty texts have no words and fail the base rules. A null language is a language of its own, the same as ''. Very long
+    texts are counted whole. Ids may be null or repeat; rows that agree are judged alike. Other columns are not read and may have
+    any name. An empty table gives an empty result.
     """
     there, back = kept_columns(docs, keep)
     carried = [f"keep_{i}" for i in range(len(keep))]
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), *there)
-    found = profiles(docs, ["doc_id", "lang", *carried])
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"), *there)
+    docs = _grouped(docs, min_documents, most_languages)
+    lists = common_words(docs.select("group", "text"), n_common)
+    found = profiles(docs, ["doc_id", "group", *carried], lists=lists, by="group")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    found = found.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common", failed.alias("base_failed"), *carried)
+    found = found.select("group", *KEPT[:-1], "chars", "common", failed.alias("base_failed"), *carried)
     found = stage(found, "rules")
-    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(COMMON) + 1)]
-    by_lang = stage(found.where("not base_failed").groupBy("lang").agg(F.sum("n_words").alias("weight"), *sums), "by_lang")
-
-    def reference(df: DataFrame, *more: str, name: str = "ref") -> DataFrame:
-        kinds = (("chars", "c", len(CLASSES)), ("common", "w", len(COMMON) + 1))
-        return df.select(*more, *[F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"{name}_{k}") for k, c, n in kinds])
-
-    # One row of sums over the whole corpus: a broadcast of known size.
-    everything = F.broadcast(reference(by_lang.agg(*[F.sum(c).alias(c) for c in by_lang.columns if c not in ("lang", "weight")]), name="all"))
-    own = bounded(reference(by_lang.where(F.col("weight") >= min_reference), "lang"))
-    compared = F.when(F.col("ref_common").isNotNull(), F.concat(F.lit("own "), "lang")).otherwise("all").alias("compared")
-    near = found.join(own, "lang", "left").join(everything, how="left")
-    # Without a single document that passes the base rules there is no reference: every text is its own, at distance 0.
-    filled = [F.coalesce(f"ref_{k}", F.when(F.element_at(f"all_{k}", 1).isNotNull(), F.col(f"all_{k}")), F.transform(k, lambda x: x.cast("long"))).alias(f"ref_{k}") for k in ("chars", "common")]
+    size = max(map(len, lists.values()), default=0) + 1
+    sums = [F.array(*[F.sum(F.col(k)[i]) for i in range(n)]).alias(k) for k, n in (("chars", len(CLASSES)), ("common", size))]
+    rows = found.where("not base_failed").groupBy("group").agg(*sums).collect()  # most_languages and one, at most
+    references = {r["group"]: tuple(shares(np.array([r[k]], float))[0] for k in ("chars", "common")) for r in rows}
 
     def measured(df: DataFrame, names: list[str]) -> DataFrame:
-        df = df.select("*", compared).select(*names, "compared", "chars", "common", *filled)
-        schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in [*names, "compared"]]).add("char_distance", T.DoubleType()).add("word_distance", T.DoubleType())
-        return df.mapInArrow(_distances([*names, "compared"]), schema)
+        schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in names]).add("char_distance", T.DoubleType()).add("word_distance", T.DoubleType())
+        return df.select(*names, "chars", "common", *([] if "group" in names else ["group"])).mapInArrow(_distances(names, references), schema)
 
-    out = measured(near, [*KEPT, *carried])
+    out = measured(found, ["group", *KEPT, *carried])
     judged = F.col("n_words") >= min_words
     odd = judged & ((F.col("char_distance") > max_chars) | (F.col("word_distance") > max_words))
     if word_fence is not None:
-        usual = measured(near.where(judged & ~F.col("base_failed")), []).where((F.col("char_distance") <= max_chars) & (F.col("word_distance") <= max_words))
-        fences = usual.groupBy("compared").agg(F.count("*").alias("n"), F.percentile_approx("word_distance", [0.25, 0.75]).alias("q")).where(F.col("n") >= FENCE_ROWS)
-        fence = F.col("q")[1] + F.greatest(F.lit(FENCE_MARGIN), word_fence * (F.col("q")[1] - F.col("q")[0]))
-        out = out.join(bounded(stage(fences.select("compared", fence.alias("fence")), "fences")), "compared", "left")
-        odd = odd | (judged & F.coalesce(F.col("word_distance") > F.col("fence"), F.lit(False)))
+        digits = F.round("word_distance", 4)
+        usual = measured(found.where(judged & ~F.col("base_failed")), ["group"]).where((F.col("char_distance") <= max_chars) & (F.col("word_distance") <= max_words))
+        fences = stage(_fences(usual.select("group", digits.alias("d")), word_fence), "fences")
+        out = out.join(F.broadcast(fences), "group", "left")  # most_languages and one, at most
+        odd = odd | (judged & F.coalesce(digits > F.round("fence", 6), F.lit(False)))
     out = out.withColumn("kept", ~F.col("base_failed") & ~odd)
     if keep:
         return out.where("kept").select(*back)

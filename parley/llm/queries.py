@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import fingerprint, language_id, license_scan, mixing, near_dup, packing, quality_gam, quality_rules, token_count, url_filter
-from parley.llm.profile import CLASSES, COMMON, SYMBOLS
+from parley.llm.profile import CLASSES, SYMBOLS
 
 #: Rules of the url query.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Target weights of the mixing query; sources are tempered.
 WANTED = {"source": None, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": {"prose": 0.85, "tabular": 0.05, "numeric": 0.1}}
-BUDGET, SEED, ROUNDS = 0.5, 11, 12
+BUDGET, SEED, ROUNDS = 0.5, 11, 24
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -34,8 +34,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL of this query knows only the fixed limit of word distances; the pipeline's stage has the fence as well.
-    found = quality_rules.quality_rules(table(spark, sf_dir, "documents"), word_fence=None)
+    found = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return found.withColumns({k: F.round(k, 6) for k in ("char_distance", "word_distance")})
 
 
@@ -90,17 +89,27 @@ def license_sql() -> str:
     places = " OR ".join(f"({phrase(p)})" for p in license_scan.PHRASES)
     labels = " UNION ALL ".join(f"SELECT r, {_quoted(v)} AS label FROM w WHERE len(list_filter(range(0, len(ws)), lambda i: {phrase(p)})) > 0" for p, v in license_scan.PHRASES.items())
     templates = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license_scan.TEMPLATES.items())
+    longest = license_scan.longest_template(license_scan.TEMPLATES)
     return rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, x, regexp_extract_all(x, '{license_scan.WORD}') AS ws
            FROM (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x FROM documents)),
 b AS (SELECT r, doc_id, len(ws) AS n_words, list_filter(range(0, len(ws)), lambda i: {places}) AS p FROM w),
 labelled AS ({labels}),
 t AS (SELECT k, list_distinct(regexp_extract_all(lower(v), '{license_scan.WORD}')) AS tw FROM (VALUES {templates}) AS v(k, v)),
-blocks AS (SELECT r, block, list_distinct(regexp_extract_all(line, '{license_scan.WORD}')) AS bw
-           FROM (SELECT r, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS block FROM w)),
-met AS (SELECT r, block, k, len(list_intersect(bw, tw)) / len(tw) AS share FROM blocks, t
+line AS (SELECT r, i, regexp_extract_all(line, '{license_scan.WORD}') AS lw
+         FROM (SELECT r, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM w)),
+summed AS (SELECT r, i, lw, len(lw) AS n, sum(len(lw)) OVER o AS words, count(*) FILTER (len(lw) = 0) OVER o AS blank FROM line WINDOW o AS (PARTITION BY r ORDER BY i)),
+reach AS (SELECT a.r, a.i AS first, max(b.i) AS last FROM summed AS a JOIN summed AS b ON a.r = b.r AND b.i BETWEEN a.i + 1 AND a.i + {longest}
+          WHERE a.n > 0 AND b.blank = a.blank AND b.words - b.n - a.words < {longest - 1} GROUP BY ALL),
+blocks AS (SELECT r, i AS first, i AS last, list_distinct(lw) AS bw FROM line
+           UNION ALL SELECT r, first, last, list_distinct(flatten(list(lw))) FROM reach JOIN line USING (r) WHERE i BETWEEN first AND last GROUP BY r, first, last),
+fit AS (SELECT r, first, last, k, len(list_intersect(bw, tw)) / len(tw) AS share FROM blocks, t
         WHERE len(list_intersect(bw, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
-found AS (SELECT r, max(share) AS share, count(DISTINCT block) AS n_blocks FROM met GROUP BY r),
+met AS (SELECT * FROM fit AS a WHERE first = last OR NOT EXISTS (FROM fit AS b WHERE a.r = b.r AND a.k = b.k AND b.first = b.last AND b.first BETWEEN a.first AND a.last)),
+apart AS (SELECT *, CASE WHEN coalesce(max(last) OVER (PARTITION BY r, k ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < first, true) THEN first END AS start FROM met),
+island AS (SELECT *, last_value(start IGNORE NULLS) OVER (PARTITION BY r, k ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM apart),
+placed AS (SELECT r, share, max(first) OVER (PARTITION BY r, k, island) AS block FROM island),
+found AS (SELECT r, max(share) AS share, count(DISTINCT block) AS n_blocks FROM placed GROUP BY r),
 every AS (SELECT r, label FROM labelled UNION SELECT r, k FROM met),
 listed AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY r),
 base AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM labelled GROUP BY r)
@@ -128,7 +137,7 @@ def mix_sql(source: str = "documents", budget: float = BUDGET) -> str:
         raw = "power(share, 0.5)" if wanted is None else f"CASE {' '.join(f'WHEN {d} = {_quoted(v)} THEN {x}::DOUBLE' for v, x in wanted.items())} ELSE share END"
         ctes.append(f"t_{d} AS (SELECT {d}, raw / sum(raw) OVER () AS {d}_target FROM (SELECT {d}, {raw} AS raw FROM (SELECT {d}, sum(tokens) / sum(sum(tokens)) OVER () AS share FROM cells GROUP BY {d})))")
     ctes.append("c0 AS MATERIALIZED (SELECT *, tokens::DOUBLE AS share FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
-    for k in range(ROUNDS * 3):
+    for k in range(ROUNDS * 3 + 1):  # sources come once more at the end
         d = mixing.DIMENSIONS[k % 3]
         ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT * REPLACE (share * {d}_target / sum(share) OVER (PARTITION BY {d}) AS share) FROM {last})")
         last = f"c{k + 1}"
@@ -150,7 +159,6 @@ def rules_sql() -> str:
     chars = [f"c_{k}" for k in CLASSES]
     one = ", ".join(f"{v}::DOUBLE AS c_{k}" for k, v in counted.items())
     mark = "length(x) - " + " - ".join(f"c_{k}" for k in counted)
-    vocabulary = ", ".join(f"({_quoted(w)})" for w in COMMON)
 
     def distance(pairs: str) -> str:
         return f"sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) FROM {pairs}"
@@ -167,23 +175,28 @@ f AS (SELECT t.r, doc_id, lang, len(ws)::BIGINT AS n_words, coalesce(list_sum(li
              coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
              len(ws) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(ws) AS base_failed
       FROM t JOIN w USING (r) JOIN c USING (r) LEFT JOIN line USING (r) LEFT JOIN rep USING (r)),
+big AS (SELECT lang FROM t GROUP BY lang HAVING count(*) >= 30),
+g AS (SELECT r, CASE WHEN lang IN (FROM big) THEN '=' || lang ELSE '' END AS grp FROM t),
+tok AS (SELECT r, grp, unnest(regexp_extract_all(translate(x, '{_UPPER}', '{_LOWER}'), '{license_scan.WORD}')) AS word FROM t JOIN g USING (r)),
+df AS (SELECT grp, word, count(DISTINCT r) AS texts FROM tok GROUP BY ALL),
+vocabulary AS (SELECT grp, word AS v FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY texts DESC, word) AS n FROM df) WHERE n <= 100),
 h AS (SELECT r, 'c' AS kind, k, n FROM (UNPIVOT (SELECT r, {", ".join(chars)} FROM c) ON {", ".join(chars)} INTO NAME k VALUE n)
       UNION ALL
-      SELECT r, 'w', coalesce(v, chr(0)), count(*)::DOUBLE FROM (SELECT r, unnest(regexp_extract_all(translate(x, '{_UPPER}', '{_LOWER}'), '{license_scan.WORD}')) AS word FROM t)
-             LEFT JOIN (VALUES {vocabulary}) AS vocabulary(v) ON word = v GROUP BY r, coalesce(v, chr(0))),
-own AS (SELECT lang, kind, k, sum(n) AS n FROM h JOIN f USING (r) WHERE NOT base_failed GROUP BY ALL),
-big AS (SELECT lang FROM f WHERE NOT base_failed GROUP BY lang HAVING sum(n_words) >= 2000),
-ref AS (SELECT l.lang, kind, k, n FROM (SELECT DISTINCT lang FROM f) AS l JOIN own ON own.lang = l.lang AND l.lang IN (FROM big)
-        UNION ALL SELECT l.lang, kind, k, sum(n) FROM (SELECT DISTINCT lang FROM f) AS l, own WHERE l.lang NOT IN (FROM big) GROUP BY ALL),
-refs AS (SELECT lang, kind, k, n / sum(n) OVER (PARTITION BY lang, kind) AS q FROM ref),
+      SELECT r, 'w', coalesce(v, chr(0)), count(*)::DOUBLE FROM tok LEFT JOIN vocabulary ON word = v AND tok.grp = vocabulary.grp GROUP BY r, coalesce(v, chr(0))),
+ref AS (SELECT grp, kind, k, sum(n) AS n FROM h JOIN f USING (r) JOIN g USING (r) WHERE NOT base_failed GROUP BY ALL),
+refs AS (SELECT grp, kind, k, n / sum(n) OVER (PARTITION BY grp, kind) AS q FROM ref),
 shares AS (SELECT r, kind, k, n / sum(n) OVER (PARTITION BY r, kind) AS p FROM h WHERE n > 0),
-side AS (SELECT r, kind, k, p, 0.0::DOUBLE AS q FROM shares UNION ALL SELECT r, kind, k, 0, q FROM f JOIN refs USING (lang)),
+side AS (SELECT r, kind, k, p, 0.0::DOUBLE AS q FROM shares UNION ALL SELECT r, kind, k, 0, q FROM g JOIN refs USING (grp)),
 pair AS (SELECT r, kind, k, sum(p) AS p, sum(q) AS q FROM side GROUP BY ALL),
-far AS (SELECT r, kind, {distance("pair")} GROUP BY r, kind)
+far AS (SELECT r, kind, {distance("pair")} GROUP BY r, kind),
+d AS (SELECT f.*, grp, coalesce(a.col2, 0) AS cd, coalesce(b.col2, 0) AS wd FROM f JOIN g USING (r) LEFT JOIN far AS a(r, kind, col2) ON f.r = a.r AND a.kind = 'c' LEFT JOIN far AS b(r, kind, col2) ON f.r = b.r AND b.kind = 'w'),
+u AS (SELECT grp, round(wd, 4) AS v, count(*) AS n FROM d WHERE NOT base_failed AND n_words >= 40 AND cd <= 0.25 AND wd <= 0.75 GROUP BY ALL),
+k AS (SELECT grp, v, sum(n) OVER (PARTITION BY grp ORDER BY v) AS upto, sum(n) OVER (PARTITION BY grp) AS total FROM u),
+q AS (SELECT grp, min(v) FILTER (upto >= 0.25::DOUBLE * total) AS q1, min(v) FILTER (upto >= 0.75::DOUBLE * total) AS q3 FROM k WHERE total >= 30 GROUP BY grp)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (n_words >= 40 AND (a.col2 > 0.25 OR b.col2 > 0.75)) AS kept,
-       CASE WHEN n_words >= 40 THEN round(a.col2, 6) END AS char_distance, CASE WHEN n_words >= 40 THEN round(b.col2, 6) END AS word_distance
-FROM f LEFT JOIN far AS a(r, kind, col2) ON f.r = a.r AND a.kind = 'c' LEFT JOIN far AS b(r, kind, col2) ON f.r = b.r AND b.kind = 'w'"""
+       NOT base_failed AND NOT (n_words >= 40 AND (cd > 0.25 OR wd > 0.75 OR coalesce(round(wd, 4) > round(q3 + greatest(0.05::DOUBLE, 1.5::DOUBLE * (q3 - q1)), 6), false))) AS kept,
+       CASE WHEN n_words >= 40 THEN round(cd, 6) END AS char_distance, CASE WHEN n_words >= 40 THEN round(wd, 6) END AS word_distance
+FROM d LEFT JOIN q USING (grp)"""
 
 
 def oracle_sql() -> dict[str, str]:
