@@ -148,27 +148,47 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return texts.mapInArrow(run, "doc_id long, fingerprint string")
 
 
+#: Code points by which the rows of one hot id are told apart.
+PREFIX = 64
+
+
 def _dealt(texts: DataFrame, parts: int) -> DataFrame:
-    """Rows dealt into ranges of falling doc_id, each range with a copy (guest) of the rows that follow its last one.
+    """Rows dealt into ranges of falling doc_id and text, each range with a copy (guest) of the rows that follow its last one.
 
-    Only ids are read to find the ranges; of them, one row for each of at most ``parts`` ranges is gathered.
+    Ranges are cut at quantiles of the ids. An id that fills a range or more, as null may, is cut again by the beginnings of its
+    texts, at quantiles of a sample of 20 rows for each range. One row for each range is gathered.
     """
+    spark = texts.sparkSession
     ids = texts.select(F.col("order").cast("double").alias("at"))
     cuts = ids.stat.approxQuantile("at", [i / parts for i in range(1, parts)], 0.5 / parts) if parts > 1 else []
     splits = [float("-inf"), *sorted({0.0, *cuts}), float("inf")]
-    cut = lambda df: Bucketizer(splits=splits, inputCol="at", outputCol="range").transform(df.withColumn("at", F.col("order").cast("double"))).withColumn("range", F.col("range").cast("int"))
-    heads = sorted(cut(texts.select("order")).groupBy("range").agg(F.max("order").alias("head")).collect(), reverse=True)
+    placed = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(texts.withColumn("at", F.col("order").cast("double"))).withColumn("bucket", F.col("bucket").cast("int"))
+    placed = placed.withColumn("start", F.substring("text", 1, PREFIX))
+    hot = sorted({x for x in cuts if cuts.count(x) > 1})
+    if hot:
+        rows = placed.where(F.col("at").isin(hot)).select("bucket", "at", "start").orderBy(F.xxhash64("doc_id", "text")).limit(20 * parts).collect()
+        marks = []
+        for x in hot:
+            mine = sorted(r["start"] for r in rows if r["at"] == x)
+            if mine:
+                n = cuts.count(x)
+                marks.append((next(r["bucket"] for r in rows if r["at"] == x), x, sorted({mine[len(mine) * i // n] for i in range(1, n)})))
+        placed = placed.join(F.broadcast(spark.createDataFrame(marks, "bucket int, hot double, marks array<string>")), "bucket", "left")
+        below = F.when(F.col("at") > F.col("hot"), F.size("marks")).when(F.col("at") == F.col("hot"), F.size(F.filter("marks", lambda m: m <= F.col("start")))).otherwise(0)
+        placed = placed.withColumn("range", F.col("bucket").cast("long") * parts + F.coalesce(below, F.lit(0)))
+    else:
+        placed = placed.withColumn("range", F.col("bucket").cast("long"))
+    placed = placed.select("doc_id", "order", "text", "start", "range")
+    heads = placed.groupBy("range").agg(F.max(F.struct("order", "start")).alias("head")).select("range", "head.order", "head.start").collect()
+    heads.sort(key=lambda r: r["range"], reverse=True)
     if not heads:
-        return texts.withColumn("range", F.lit(0)).withColumn("guest", F.lit(False))
+        return texts.withColumn("range", F.lit(0).cast("long")).withColumn("guest", F.lit(False))
     # The head of each range is a guest of the range before; the first head follows the last row of all.
-    hosts = {(r["range"], r["head"]): heads[i - 1]["range"] for i, r in enumerate(heads)}
-    spark = texts.sparkSession
-    table = spark.createDataFrame([(a, b, c) for (a, b), c in hosts.items()], "range int, order long, host int")
-    own = cut(texts).drop("at")
-    placed = own.join(F.broadcast(table), ["range", "order"], "left")
-    both = F.when(F.col("host").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest")))).otherwise(
-        F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("range"), F.lit(True).alias("guest")))
-    )
+    hosts = [(r["range"], r["order"], r["start"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
+    table = spark.createDataFrame(hosts, "range long, order long, start string, host long")
+    placed = placed.join(F.broadcast(table), ["range", "order", "start"], "left")
+    own, guest = (F.struct(F.col(c).alias("range"), F.lit(g).alias("guest")) for c, g in (("range", False), ("host", True)))
+    both = F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, guest))
     return placed.withColumn("to", F.explode(both)).select("doc_id", "order", "text", "to.range", "to.guest")
 
 
@@ -217,7 +237,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     The edited text is the text with its last floor(n/3) code points replaced by the first as many (or all) of the next
     document by falling doc_id; after the last comes the first. Null texts count as empty. Rows that repeat an id follow each
     other by falling text; null ids come last. A single row is its own next document. Other columns are not read and may have
-    any name. An empty table gives an empty result.
+    any name. Texts of any length are read whole. An empty table gives an empty result.
 
     Texts are shuffled once, into ranges of ids that are sorted and streamed; a task holds one Arrow batch.
     """
