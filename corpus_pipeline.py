@@ -1,63 +1,5 @@
-"""A training corpus from documents: classify, filter by rules, drop near duplicates, mix sources, pack.
+"""A training corpus from documents; the stages and what they promise are in parley.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns of
-documents. ``run`` writes each stage's rows to the shared folder and reads them again.
-"""
+from parley.llm.pipeline import ORACLE_SQL, run, STAGES
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from parley.llm.common import stage
-from parley.llm.mixing import mix
-from parley.llm.near_dup import one_of_each
-from parley.llm.packing import pack
-from parley.llm.quality_gam import quality_scores
-from parley.llm.quality_rules import quality_rules
-from parley.llm.queries import ROUNDS, SEED, WANTED, table
-
-#: The share of tokens that the mix draws from what is left.
-BUDGET = 0.8
-
-
-def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is fitted on labelled documents of the input."""
-    return quality_scores(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-
-
-def filter_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs, keep=tuple(docs.columns))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return one_of_each(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by calibrated probabilities, once each."""
-    return mix(docs, WANTED, budget=BUDGET, seed=SEED, rounds=ROUNDS, keep=tuple(docs.columns))
-
-
-def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies."""
-    return pack(docs)
-
-
-STAGES = [
-    ("quality_classifier", classify),
-    ("quality_rules", filter_rules),
-    ("near_duplicates", drop_near_duplicates),
-    ("source_mix", mix_sources),
-    ("best_fit_packing", pack_bins),
-]
-#: Boosting, near-duplicate classes and packing are not expressible in SQL; tests hold the stages against plain Python.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
