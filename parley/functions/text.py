@@ -84,3 +84,13 @@ def ago(seconds: Column) -> Column:
     for end, unit, name in reversed(steps):
         out = F.when(s < end, F.concat(F.floor(s / unit).cast("string"), F.lit(f"{name} ago"))).otherwise(out)
     return out
+
+
+def compact(c: Column) -> Column:
+    """A number with at most one decimal and K, M, B or T from a thousand on; ``n/a`` if it is not finite."""
+    out = F.regexp_replace(F.regexp_replace(c.cast("double").cast("decimal(38,6)").cast("string"), r"0+$", ""), r"\.$", "")
+    for k, name in enumerate(("K", "M", "B", "T"), 1):
+        scaled = F.round(c / F.lit(1000.0**k), 1)
+        text = F.regexp_replace(F.format_string("%.1f", scaled), r"\.0$", "")
+        out = F.when(F.round(c / F.lit(1000.0 ** (k - 1)), 1) >= 1000, F.concat(text, F.lit(name))).otherwise(out)
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit("n/a")).otherwise(out)

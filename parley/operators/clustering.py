@@ -7,13 +7,16 @@ import math
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.conversations import batches, joined_or_error, numbered_within
+from parley.operators.graph import components
 from parley.operators.vectors import assigned, centroids
+from parley.sources.store import stage
 
-#: Points that density clusters are fitted on, at most; the others go by the nearest of them.
-DENSITY_SAMPLE = 4000
+#: Points of a block, about: blocks meet in pairs.
+DENSITY_BLOCK = 1000
 
 
 def leaf_count(n: int, *, mode: str = "auto", requested: int = 20, target_size: int = 25, least: int = 20, most: int = 200) -> tuple[int, int | None]:
@@ -26,9 +29,9 @@ def leaf_count(n: int, *, mode: str = "auto", requested: int = 20, target_size:
     return max(1, min(bounded, n)), bounded
 
 
-def kmeans(points: DataFrame, k: int, *, seed: int = 42, starts: int = 3, vector: str = "v") -> DataFrame:
+def kmeans(points: DataFrame, k: int, *, seed: int = 42, starts: int = 10, vector: str = "v") -> DataFrame:
     """Adds label by the best of ``starts`` runs of k-means; there may be fewer than k clusters."""
-    held = points.withColumn("parley_v", array_to_vector(vector))
+    held = stage(points, "points").withColumn("parley_v", array_to_vector(vector)) if starts > 1 else points.withColumn("parley_v", array_to_vector(vector))
     models = [KMeans(k=max(2, k), seed=seed + i, featuresCol="parley_v", predictionCol="label").fit(held) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     out = best.transform(held).drop("parley_v")
@@ -41,128 +44,81 @@ def bisecting(points: DataFrame, k: int, *, seed: int = 42, vector: str = "v") -
     return BisectingKMeans(k=k, seed=seed, featuresCol="parley_v", predictionCol="label").fit(held).transform(held).drop("parley_v")
 
 
-def density_labels(x: np.ndarray, min_size: int = 12, min_samples: int = 6) -> np.ndarray:
-    """Labels of hierarchical density clusters by excess of mass; -1 is noise. A single cluster is allowed.
+def _paired(points: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Points dealt to every pair of blocks (low, high) that their block is in; a pair holds at most about 2 * DENSITY_BLOCK points."""
+    n = max(1, -(-points.count() // DENSITY_BLOCK))
+    dealt = points.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return dealt.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", key, *columns)
+
+
+def _distances(frame, other, vector: str) -> np.ndarray:
+    a, b = (np.stack(x[vector].to_numpy()) for x in (frame, other))
+    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * (a @ b.T), 0))
+
 
-    Core distances (a point is its own first neighbour), the minimum spanning tree of mutual reachability by Prim's method one
-    row at a time, the tree condensed to clusters of ``min_size`` or more, and the most stable set of clusters. Of n points it
-    holds one row of n distances.
+def core_distances(points: DataFrame, *, key: str = "vec_id", vector: str = "v", min_samples: int = 6) -> DataFrame:
+    """(key, core): the distance of each point to its ``min_samples``-th nearest point, itself the first.
+
+    All blocks of points meet in pairs; of each pair a point keeps its ``min_samples`` smallest distances.
     """
-    n = len(x)
-    if min_samples > n:
-        raise ValueError("fewer points than min_samples")
-    norms = (x**2).sum(axis=1)
-    row = lambda i: np.sqrt(np.maximum(norms + norms[i] - 2 * (x @ x[i]), 0))
-    core = np.array([np.partition(row(i), min_samples - 1)[min_samples - 1] for i in range(n)])
-    best, link, out = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        out[at] = True
-        reach = np.maximum(np.maximum(row(at), core), core[at])
-        closer = ~out & (reach < best)
-        best[closer], link[closer] = reach[closer], at
-        at = int(np.where(out, np.inf, best).argmin())
-        edges.append((float(best[at]), int(link[at]), at))
-    # single linkage: node n + i joins two nodes at the i-th shortest edge
-    root, size, children, height = list(range(2 * n)), [1] * n, {}, {}
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        return a
-
-    for i, (d, a, b) in enumerate(sorted(edges)):
-        a, b = find(a), find(b)
-        root[a] = root[b] = n + i
-        children[n + i], height[n + i] = (a, b), d
-        size.append(size[a] + size[b])
-
-    def points(node: int) -> list[int]:
-        todo, got = [node], []
-        while todo:
-            k = todo.pop()
-            todo.extend(children[k]) if k in children else got.append(k)
-        return got
-
-    top = 2 * n - 2
-    parent, members, stability, subs, birth = {0: None}, {0: []}, {0: 0.0}, {0: []}, {0: 0.0}
-    todo = [(top, 0)] if n > 1 else []
-    while todo:
-        node, c = todo.pop()
-        if node not in children:
-            members[c].append(node)
-            continue
-        a, b = children[node]
-        level = 1 / height[node] if height[node] > 0 else 1e12
-        big = [k for k in (a, b) if size[k] >= min_size]
-        if len(big) == 2:
-            stability[c] += size[node] * (level - birth[c])
-            for k in big:
-                new = len(parent)
-                parent[new], members[new], stability[new], subs[new], birth[new] = c, [], 0.0, [], level
-                subs[c].append(new)
-                todo.append((k, new))
-            continue
-        for k in (a, b):
-            if k in big:
-                todo.append((k, c))
-            else:
-                stability[c] += size[k] * (level - birth[c])
-                members[c].extend(points(k))
-    chosen: dict[int, bool] = {}
-    for c in sorted(parent, reverse=True):
-        below = sum(stability[s] for s in subs[c])
-        chosen[c] = not subs[c] or stability[c] >= below
-        stability[c] = max(stability[c], below)
-    labels, todo2, k = np.full(n, -1), [(0, None)], 0
-    while todo2:
-        c, under = todo2.pop()
-        if under is None and chosen[c]:
-            under, k = k, k + 1
-        if under is not None:
-            labels[members[c]] = under
-        todo2.extend((s, under) for s in reversed(subs[c]))
-    return labels
-
-
-def density(points: DataFrame, *, key: str = "vec_id", vector: str = "v", min_size: int = 12, min_samples: int = 6, sample: int = DENSITY_SAMPLE) -> DataFrame:
-    """Adds label by density clusters. They are fitted on ``sample`` points at most, by a hash of the key. A point beyond the
-    sample gets the label of the nearest point of the sample if that is within the reach of its cluster - the largest distance
-    from a member to its ``min_samples``-th neighbour in the sample - and else is noise, -1."""
-    taken = points.orderBy(F.xxhash64(key), key).limit(sample)
+    dealt = _paired(points.select(key, vector), key, vector)
+    kind = points.schema[key].dataType.simpleString()
 
     def run(frame):
         import pandas as pd
 
-        frame = frame.sort_values(key)
-        x = np.stack(frame[vector].to_numpy())
-        labels = density_labels(x, min_size, min_samples)
-        core = np.array([np.sqrt(np.partition(((x - p) ** 2).sum(axis=1), min_samples - 1)[min_samples - 1]) for p in x])
-        reach = {k: core[labels == k].max() for k in set(labels.tolist())}
-        return pd.DataFrame({key: frame[key], "label": labels, "reach": [reach[k] for k in labels.tolist()]})
+        low = frame["low"].iloc[0]
+        sides = [(frame, frame)] if low == frame["high"].iloc[0] else [(frame[frame["block"] == low], frame[frame["block"] != low])]
+        out = []
+        for a, b in sides + [(b, a) for a, b in sides if a is not b]:
+            if len(a) and len(b):
+                k = min(min_samples, len(b))
+                near = np.partition(_distances(a, b, vector), k - 1, axis=1)[:, :k]
+                out.append(pd.DataFrame({key: np.repeat(a[key].to_numpy(), k), "d": near.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({key: [], "d": []})
 
-    kind = points.schema[key].dataType.simpleString()
-    fitted = taken.select(key, vector, F.lit(0).alias("g")).groupBy("g").applyInPandas(run, f"{key} {kind}, label int, reach double")
-    held = taken.select(key, vector).join(F.broadcast(fitted), key).toPandas()  # at most ``sample`` rows
-    labels = points.sparkSession.createDataFrame([(k, int(v)) for k, v in zip(held[key].tolist(), held["label"], strict=True)], f"{key} {kind}, label int")
-    if points.limit(sample + 1).count() > sample:
-        x, label, reach = np.stack(held[vector].to_numpy()), held["label"].to_numpy(), held["reach"].to_numpy()
-        norms = (x**2).sum(axis=1)
-
-        def nearest(frames):
-            for frame in frames:
-                for at in range(0, len(frame), 1000):
-                    part = frame.iloc[at : at + 1000]
-                    v = np.stack(part[vector].to_numpy())
-                    near = (norms - 2 * (v @ x.T)).argmin(axis=1)
-                    within = np.sqrt(((v - x[near]) ** 2).sum(axis=1)) <= reach[near]
-                    part = part[[key]].copy()
-                    part["label"] = np.where(within, label[near], -1).astype(np.int32)
-                    yield part
-
-        rest = points.join(F.broadcast(labels), key, "left_anti").select(key, vector)
-        labels = labels.unionByName(rest.mapInPandas(nearest, f"{key} {kind}, label int"))
-    return points.join(labels, key, "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    near = dealt.groupBy("low", "high").applyInPandas(run, f"{key} {kind}, d double")
+    return near.groupBy(key).agg(F.get(F.array_sort(F.collect_list("d")), F.lit(min_samples - 1)).alias("core"))
+
+
+def density(points: DataFrame, *, key: str = "vec_id", vector: str = "v", min_size: int = 12, min_samples: int = 6, reach: float | None = None) -> DataFrame:
+    """Adds label by density: points within ``reach`` of each other by mutual reachability - the largest of their distance and their
+    core distances - are linked, what links connect is a cluster if it has ``min_size`` points, and the rest is noise, -1.
+
+    Labels are numbered by the clusters' smallest keys (whole numbers). Without ``reach`` it is the upper fence of the core distances:
+    the upper quartile and one and a half times the distance of the quartiles. All points take part at every size; blocks of
+    points meet in pairs, which takes a number of distances that grows with the square of the points, and of each pair of blocks
+    no more links than points are kept.
+    """
+    if points.limit(min_samples).count() < min_samples:
+        raise ValueError("fewer points than min_samples")
+    core = stage(core_distances(points, key=key, vector=vector, min_samples=min_samples), "core")
+    if reach is None:
+        low, high = core.approxQuantile("core", [0.25, 0.75], 0.001)
+        reach = high + 1.5 * (high - low)
+    dense = points.select(F.col(key).cast("long").alias("node"), vector).join(core.where(F.col("core") <= reach).select(F.col(key).cast("long").alias("node")), "node")
+
+    def run(frame):
+        import pandas as pd
+
+        close = _distances(frame, frame, vector) <= reach
+        np.fill_diagonal(close, True)
+        root = np.arange(len(frame))
+        while True:  # the smallest place that each point reaches
+            low = np.where(close, root[None], len(frame)).min(axis=1)
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        ids = frame["node"].to_numpy()
+        return pd.DataFrame({"a": ids, "b": ids[root]})
+
+    links = _paired(dense, "node", vector).groupBy("low", "high").applyInPandas(run, "a long, b long")
+    found = components(links)
+    big = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size).select("component")
+    named = numbered_within(stage(big, "big"), [], "component").select("component", (F.col("parley_n") - 1).cast("int").alias("label"))
+    labels = found.join(named, "component").select(F.col("node").alias("parley_node"), "label")
+    return points.join(labels, F.col(key).cast("long") == F.col("parley_node"), "left").drop("parley_node").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 def with_noise(points: DataFrame, policy: str, *, order: str = "vec_id", vector: str = "v") -> DataFrame:
@@ -176,35 +132,89 @@ def with_noise(points: DataFrame, policy: str, *, order: str = "vec_id", vector:
     if policy == "nearest" and top >= 0:
         near = assigned(points.withColumnRenamed("label", "own"), centroids(points.where("label >= 0")), "label", vector)
         return near.withColumn("label", F.when(F.col("own") < 0, F.col("nearest")).otherwise(F.col("own"))).drop("own", "nearest", "distance2")
-    from parley.operators.conversations import batches
-
     noise = batches(points.where("label < 0"), order, 1).withColumn("label", (F.lit(top + 1) + F.col("batch")).cast("int")).drop("batch")
     return points.where("label >= 0").withColumn("label", F.col("label").cast("int")).unionByName(noise)
 
 
 def dense_labels(points: DataFrame) -> DataFrame:
-    """Labels renumbered 0, 1, ... in their order; ranks are taken over the distinct labels alone."""
-    ranks = points.select("label").distinct().withColumn("dense", F.dense_rank().over(Window.orderBy("label")) - 1)
+    """Labels renumbered 0, 1, ... in their order; ranks are counted over the distinct labels alone, in ranges of them."""
+    ranks = numbered_within(points.select("label").distinct(), [], "label").select("label", (F.col("parley_n") - 1).cast("int").alias("dense"))
     return points.join(ranks, "label").drop("label").withColumnRenamed("dense", "label")
 
 
+def largest(points: DataFrame) -> DataFrame:
+    """One row (label, n): the label with the most points, the lowest of equals."""
+    sizes = points.groupBy("label").agg(F.count("*").alias("n"))
+    return sizes.agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"), F.max("n").alias("n"))
+
+
+def fit(points: DataFrame, strategy: str, k: int, *, noise: str = "nearest", key: str = "vec_id", vector: str = "v", seed: int = 42, min_size: int = 12, min_samples: int = 6) -> tuple[DataFrame, dict]:
+    """(points with dense labels, report) by kmeans, density or hybrid; the report names what was done about noise, and why a strategy
+    fell back. Vectors must be there, finite and of one width."""
+    if strategy not in ("kmeans", "density", "hybrid") or noise not in ("nearest", "singleton", "drop"):
+        raise ValueError("strategy is kmeans, density or hybrid; noise is nearest, singleton or drop")
+    bad = F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    seen = points.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high")).first()
+    if not seen["n"] or seen["bad"] or seen["low"] != seen["high"] or seen["low"] < 1:
+        raise ValueError("vectors must be there, finite and of one width")
+    k = max(1, min(k, seen["n"]))
+    report = {"strategy": strategy, "requested_k": k, "noise_policy": None, "noise": 0, "fallback": None}
+    if strategy == "kmeans":
+        found = kmeans(points, k, seed=seed, vector=vector)
+    elif strategy == "density":
+        raw = stage(density(points, key=key, vector=vector, min_size=min_size, min_samples=min_samples), "raw")
+        report["noise"] = raw.where("label < 0").count()
+        none = not raw.where("label >= 0").limit(1).count()
+        report["noise_policy"] = {"nearest": "nearest_with_singleton_fallback" if none else "nearest", "drop": "drop_bucket"}.get(noise, noise)
+        found = with_noise(raw, noise, order=key, vector=vector)
+    else:
+        found, report["fallback"] = hybrid(points, k, key=key, vector=vector, seed=seed)
+        report["noise_policy"] = "nearest"
+    found = dense_labels(stage(found, "fitted"))
+    return found, report | {"effective_k": found.select("label").distinct().count()}
+
+
 def hybrid(points: DataFrame, k: int, *, key: str = "vec_id", vector: str = "v", seed: int = 42) -> tuple[DataFrame, str | None]:
     """Density clusters with noise to the nearest, and bisecting until there are k; plain k-means if density finds fewer than two."""
-    found = with_noise(density(points, key=key, vector=vector), "nearest", order=key, vector=vector)
+    found = stage(with_noise(density(points, key=key, vector=vector), "nearest", order=key, vector=vector), "dense")
     n = found.select("label").distinct().count()
     if n < min(2, k):
         return kmeans(points, k, seed=seed, vector=vector), "density found too few clusters"
     for step in range(max(0, k - n)):
-        sizes = found.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()
+        sizes = largest(found).first()
         if sizes["n"] < 2:
             break
         part = kmeans(found.where(F.col("label") == sizes["label"]).withColumnRenamed("label", "was"), 2, seed=seed + step + 1, starts=1, vector=vector)
         split = part.where("label = 1").select(key)
         found = found.join(split.withColumn("moved", F.lit(True)), key, "left").withColumn("label", F.when(F.col("moved"), F.lit(n + step)).otherwise(F.col("label"))).drop("moved")
-        found = found.checkpoint() if (step + 1) % 8 == 0 and points.sparkSession.conf.get("spark.checkpoint.dir", None) else found
+        found = stage(found, "split")
     return found, None
 
 
+def members(assignments: DataFrame, order: str) -> DataFrame:
+    """(cluster_id, position, conversation_id): the conversations of each cluster in their order, a row for each."""
+    return numbered_within(assignments, ["cluster_id"], order).select("cluster_id", F.col("parley_n").alias("position"), "conversation_id")
+
+
+def rolled_up(facets: DataFrame, source: DataFrame, *, min_users: int, min_conversations: int) -> DataFrame:
+    """The rollup of facets (conversation_id, cluster_id) with the users of the input; a facet of an unknown conversation is an error."""
+    known = joined_or_error(facets, source.select("conversation_id", "user_id"), "conversation_id")
+    return rollup(known, min_users=min_users, min_conversations=min_conversations)
+
+
+def kept_split(points: DataFrame, kept: str = "kept_by_threshold") -> tuple[DataFrame, DataFrame]:
+    """(points that are shown as kept, points that are filtered); null counts as filtered."""
+    own = F.coalesce(F.col(kept), F.lit(False))
+    return points.where(own), points.where(~own)
+
+
+def visual_points(places: DataFrame, labels: DataFrame, *, order: str, most: int = 1600) -> DataFrame:
+    """The first ``most`` points (cluster_id, kept_by_threshold, ...) with the names of ``labels`` (cluster_id, name, kept), of which kept counts where there is one."""
+    first = places.orderBy(order).limit(most)
+    named = first.join(labels.select("cluster_id", "name", F.col("kept").alias("own")), "cluster_id", "left")
+    return named.withColumns({"name": F.coalesce("name", F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))), "kept_by_threshold": F.coalesce("own", "kept_by_threshold")}).drop("own")
+
+
 def rollup(assignments: DataFrame, *, min_users: int, min_conversations: int, ids: str = "conversation_id") -> DataFrame:
     """(cluster_id, size, unique_users, kept_by_threshold): clusters below a threshold are marked, never dropped."""
     out = assignments.groupBy("cluster_id").agg(F.count("*").alias("size"), F.count_distinct("user_id").alias("unique_users"))

@@ -36,7 +36,11 @@ def facet_statistics(messages: DataFrame) -> DataFrame:
 
 def dataset_summary(messages: DataFrame, user: Column) -> DataFrame:
     """One row: conversations, users, messages, and the mean, least and most turns; zeros for an empty input."""
-    turns = messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(user).alias("user_id"))
+    return summed_up(messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(user).alias("user_id")))
+
+
+def summed_up(turns: DataFrame) -> DataFrame:
+    """The summary of conversations (n: turns, user_id)."""
     zero = lambda c: F.coalesce(c, F.lit(0))
     return turns.agg(
         F.count("*").alias("conversations"),
@@ -55,21 +59,35 @@ def enriched(conversations: DataFrame, facets: DataFrame, assignments: DataFrame
     return out.select("conversation_id", F.to_json(F.struct(F.col("facets"), cluster.alias("clustering")), {"ignoreNullFields": "true"}).alias("analysis"))
 
 
-def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Adds batch: rows by the numeric column ``order``, ``size`` to a batch.
-
-    Ranks are counted within ranges of values, and then over the counts of the ranges, so no task sees all rows.
-    """
+def _ranged(df: DataFrame, order: str) -> DataFrame:
+    """Adds parley_range: the rank of a range of the numeric column ``order`` that holds about an equal part of the rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = df.select(F.col(order).cast("double").alias("at"))
     cuts = at.stat.approxQuantile("at", [i / parts for i in range(1, parts)], 0.5 / parts) if parts > 1 else []
     splits = [float("-inf"), *sorted({0.0, *cuts}), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="parley_at", outputCol="parley_range").transform(df.withColumn("parley_at", F.col(order).cast("double")))
-    ranged = ranged.withColumn("parley_n", F.row_number().over(Window.partitionBy("parley_range").orderBy(order)))
-    counts = ranged.groupBy("parley_range").agg(F.count("*").alias("n"))  # one row for each of at most ``parts`` ranges
-    before = counts.select("parley_range", (F.sum("n").over(Window.orderBy("parley_range")) - F.col("n")).alias("before"))
-    out = ranged.join(F.broadcast(before), "parley_range").withColumn("batch", F.floor((F.col("before") + F.col("parley_n") - 1) / size))
-    return out.drop("parley_at", "parley_range", "parley_n", "before")
+    return Bucketizer(splits=splits, inputCol="parley_at", outputCol="parley_range").transform(df.withColumn("parley_at", F.col(order).cast("double"))).drop("parley_at")
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds parley_n: the number of a row, from 1, among those with its ``keys`` by the numeric column ``order``.
+
+    Rows are counted within ranges of values, and then over the counts of the ranges, so no task sees all rows of a key.
+    """
+    ranged = _ranged(df, order)
+    ranged = ranged.withColumn("parley_n", F.row_number().over(Window.partitionBy(*keys, "parley_range").orderBy(order)))
+    counts = ranged.groupBy(*[F.col(k).alias(f"parley_{k}") for k in keys], F.col("parley_range").alias("parley_at")).agg(F.count("*").alias("parley_rows"))
+    own = Window.partitionBy(*[f"parley_{k}" for k in keys]).orderBy("parley_at")  # as many rows of a key as there are ranges
+    before = counts.withColumn("parley_before", F.sum("parley_rows").over(own) - F.col("parley_rows")).drop("parley_rows")
+    on = F.col("parley_range") == F.col("parley_at")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"parley_{k}"))
+    out = ranged.join(before, on).withColumn("parley_n", F.col("parley_before") + F.col("parley_n"))
+    return out.drop("parley_range", "parley_at", "parley_before", *[f"parley_{k}" for k in keys])
+
+
+def batches(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Adds batch: rows by the numeric column ``order``, ``size`` to a batch; ranks are counted in ranges, so no task sees all rows."""
+    return numbered_within(df, [], order).withColumn("batch", F.floor((F.col("parley_n") - 1) / size)).drop("parley_n")
 
 
 def reconcile(expected: DataFrame, returned: DataFrame, key: str) -> DataFrame:
@@ -116,6 +134,75 @@ def resumed(partial: DataFrame, expected: DataFrame, key: str, order: str) -> Da
     return last_of_each(partial, [key], order).join(expected.select(key), key, "left_semi")
 
 
+def length_faults(df: DataFrame, key: str, limits: dict[str, tuple[int, int]]) -> DataFrame:
+    """(key, fault) of texts outside their length: ``limits`` maps a column to its least and largest number of characters; nulls are faults."""
+    wrong = [F.when(~F.coalesce(F.length(c).between(low, high), F.lit(False)), F.lit(c)) for c, (low, high) in limits.items()]
+    return df.select(key, F.explode(F.array_compact(F.array(*wrong))).alias("fault"))
+
+
+def limited(df: DataFrame, order: str, n: int | None) -> DataFrame:
+    """The first ``n`` rows by ``order``: what a limit selects before any filter."""
+    return df if n is None else df.orderBy(order).limit(n)
+
+
+def unresolved(errors: DataFrame, succeeded: DataFrame, key: str) -> DataFrame:
+    """Errors whose key did not succeed later."""
+    return errors.join(succeeded.select(key).distinct(), key, "left_anti")
+
+
+def semi_or_all(df: DataFrame, having: DataFrame, key: str) -> DataFrame:
+    """The rows whose key ``having`` knows; all rows if there are none."""
+    found = df.join(having.select(key).distinct(), key, "left_semi")
+    return found if found.limit(1).count() else df
+
+
+def joined_or_error(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right``, of one row for each key; a key that ``right`` lacks is an error when the rows are read."""
+    known = right.withColumn("parley_known", F.lit(True))
+    out = left.join(known, key, "left")
+    there = F.when(F.col("parley_known").isNull(), F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.col(key).cast("string")))).otherwise(F.lit(True))
+    return out.where(there.cast("boolean")).drop("parley_known")
+
+
+def in_order_of(df: DataFrame, ordinals: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds the ordinal that each key had on input, by which results are put in order again."""
+    return df.join(ordinals.select(key, F.col(order).alias("ordinal")), key)
+
+
+def histogram(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
+def detail(conversation_id: object, enriched: DataFrame, facets: DataFrame, assignments: DataFrame, labels: DataFrame, source: DataFrame) -> DataFrame:
+    """What is known of one conversation: facts of the enriched table first, then of facets, assignments, labels and the input.
+
+    ``enriched`` (conversation_id, messages, summary, cluster_id, cluster_name), ``facets`` (conversation_id, summary), ``assignments``
+    (conversation_id, cluster_id, user_id), ``labels`` (cluster_id, name), ``source`` (conversation_id, user_id, messages).
+    """
+    own = lambda df, **names: df.where(F.col("conversation_id") == F.lit(conversation_id)).select("conversation_id", *[F.col(c).alias(n) for n, c in names.items()])
+    out = own(source, source_user="user_id", source_messages="messages").join(own(enriched, messages="messages", own_summary="summary", own_cluster="cluster_id", own_name="cluster_name"), "conversation_id", "full_outer")
+    out = out.join(own(facets, facet_summary="summary"), "conversation_id", "full_outer").join(own(assignments, given="cluster_id", given_user="user_id"), "conversation_id", "full_outer")
+    out = out.withColumn("cluster_id", F.coalesce("own_cluster", "given")).join(labels.select("cluster_id", "name"), "cluster_id", "left")
+    first = lambda *c: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in c])
+    return out.select("conversation_id", first("given_user", "source_user").alias("user_id"), F.coalesce("messages", "source_messages").alias("messages"), first("own_summary", "facet_summary").alias("summary"), "cluster_id", first("own_name", "name").alias("cluster_name"))
+
+
+def cluster_conversations(cluster_id: int, assignments: DataFrame, facets: DataFrame, source: DataFrame) -> DataFrame:
+    """The conversations of a cluster with what facets and the input know of them, the latest first, then by id.
+
+    The user is that of the assignment, or else of the input; parts that are missing are null.
+    """
+    own = assignments.where(F.col("cluster_id") == cluster_id).select("conversation_id", F.col("user_id").alias("given"))
+    out = own.join(facets, "conversation_id", "left").join(source.select("conversation_id", F.col("user_id").alias("known"), "timestamp"), "conversation_id", "left")
+    user = F.coalesce(F.nullif("given", F.lit("")), F.nullif("known", F.lit("")), F.lit(""))
+    kept = [c for c in facets.columns if c != "conversation_id"]
+    return out.select("conversation_id", user.alias("user_id"), "timestamp", *kept).orderBy(F.desc_nulls_last("timestamp"), "conversation_id")
+
+
+#: The least and the largest length of texts that a model gives.
+LENGTHS = {"name": (1, 120), "description": (1, 500), "justification": (1, 1000)}
+
+
 def facet_faults(facets: DataFrame, key: str) -> DataFrame:
     """(key, fault) of facets outside their contract: language_confidence from 0 to 1, concerning_score from 1 to 5; nulls are faults."""
     sure, score = F.col("language_confidence"), F.col("concerning_score")
@@ -124,6 +211,12 @@ def facet_faults(facets: DataFrame, key: str) -> DataFrame:
     return facets.select(key, F.explode(faults).alias("fault"))
 
 
+def representations(corpus: DataFrame) -> DataFrame:
+    """conversation_id and the texts by which topics may be found again: two summaries, and the first message of the user or ''."""
+    first = F.coalesce(F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"], F.lit(""))
+    return corpus.select("conversation_id", "privacy_summary", "non_private_summary", first.alias("raw_user_text"))
+
+
 def first_user_message(messages: DataFrame) -> DataFrame:
     """(conv_id, text): the first message of the user in each conversation, empty if there is none."""
     own = F.col("role") == "user"

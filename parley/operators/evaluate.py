@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import random
+from functools import reduce
+
 from pyspark.ml import Pipeline
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.text import share
-from parley.operators.clustering import kmeans
+from parley.sources.store import stage
 
 
 def majority(rows: DataFrame) -> DataFrame:
@@ -29,21 +32,54 @@ def scores(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return each.groupBy(*by).agg(n.alias("n"), F.round(share(F.sum("tp"), n), 6).alias("accuracy"), F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(share(F.sum(F.col("f1") * F.col("t")), n), 6).alias("weighted_f1"))
 
 
-#: Topics and languages of the synthetic corpus.
-TOPICS = ("billing", "travel", "coding", "health", "cooking", "law", "sports", "education")
-LANGUAGES = ("English", "Spanish", "French", "German", "Portuguese", "Hindi")
-
-
-def synthetic(spark: SparkSession, n: int = 120) -> DataFrame:
-    """Conversations with known topic and language, both in turn; 40 users, five minutes apart."""
-    i = F.col("id")
+#: Topics of the synthetic corpus, their summaries, and what a user asks in the n-th conversation.
+TOPICS = (
+    ("coding_debug", "Debug software defects in backend services", "Debug backend defect case {variant} in payment processing pipeline."),
+    ("writing_marketing", "Draft product marketing and launch communications", "Draft a product launch email for campaign {variant}."),
+    ("education_tutoring", "Teach and explain academic concepts", "Explain calculus integration concept set {variant}."),
+    ("business_strategy", "Analyze strategy and operational planning", "Outline a market entry strategy plan {variant}."),
+    ("translation", "Translate professional and everyday text", "Translate this business update for revision {variant}."),
+    ("roleplay_games", "Run fictional roleplay and game narratives", "Run a fantasy quest session chapter {variant}."),
+    ("health_general", "Provide general health and wellness guidance", "What should I monitor for mild fever day {variant}?"),
+    ("safety_high_risk", "Refuse harmful requests and provide safe alternatives", "How can I bypass security controls scenario {variant}?"),
+)
+LANGUAGES = ("English", "Spanish", "Japanese", "Arabic", "French", "Mandarin Chinese")
+HELP, REFUSAL = "I can help with a clear, safe response and practical next steps.", "I cannot help with harmful activity, but I can provide safe guidance."
+MORE, ADDED = "Please give one concise example for case {variant}.", "Added one concise example and short explanation."
+#: The share of conversations with two more turns, and the brands in turn.
+MORE_SHARE, BRANDS = 0.35, 11
+
+
+def more_turns(n: int, seed: int) -> list[bool]:
+    """Which of ``n`` conversations have two more turns, by Python's seeded generator."""
+    draw = random.Random(seed)
+    return [draw.random() < MORE_SHARE for _ in range(n)]
+
+
+def synthetic(spark: SparkSession, n: int = 120, *, topics: int = 8, languages: int = 5, seed: int = 19) -> DataFrame:
+    """Conversations with known topic and language, both in turn; 40 users, five minutes apart, some with two more turns."""
+    if min(n, topics, languages) < 1:
+        raise ValueError("numbers of conversations, topics and languages are positive")
+    i, variant = F.col("id"), (F.col("id") + 1).cast("string")
+    held = TOPICS[:topics]
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
-    return spark.range(n).select(
-        F.format_string("eval-conv-%04d", i).alias("conversation_id"),
-        F.format_string("eval-user-%03d", i % 40).alias("user_id"),
+    said = lambda text: F.replace(text, F.lit("{variant}"), variant)
+    more = spark.createDataFrame([(k, m) for k, m in enumerate(more_turns(n, seed))], "id long, more boolean")
+    out = spark.range(n).join(more, "id").withColumns({"topic": pick([t[0] for t in held]), "language": pick(LANGUAGES[:languages]), "summary": pick([t[1] for t in held])})
+    asked = F.concat(F.when(F.col("language") == "English", "").otherwise(F.concat(F.lit("["), "language", F.lit("] "))), said(pick([t[2] for t in held])))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    messages = F.array(message("user", asked), message("assistant", F.when(F.col("topic") == "safety_high_risk", REFUSAL).otherwise(HELP)))
+    extra = F.array(message("user", said(F.lit(MORE))), message("assistant", F.lit(ADDED)))
+    brand = F.concat(F.lit("ProjectOrchid"), (i % BRANDS + 1).cast("string"))
+    return out.select(
+        F.format_string("eval-conv-%04d", i + 1).alias("conversation_id"),
+        F.format_string("eval-user-%03d", i % 40 + 1).alias("user_id"),
         (F.to_timestamp(F.lit("2025-02-01T10:00:00Z")) + F.make_dt_interval(mins=(i * 5).cast("int"))).alias("timestamp"),
-        pick(TOPICS).alias("ground_truth_topic"),
-        pick(LANGUAGES).alias("ground_truth_language"),
+        F.col("topic").alias("ground_truth_topic"),
+        F.col("language").alias("ground_truth_language"),
+        F.col("summary").alias("privacy_summary"),
+        F.concat("summary", F.lit(" for "), brand).alias("non_private_summary"),
+        F.when(F.col("more"), F.concat(messages, extra)).otherwise(messages).alias("messages"),
     )
 
 
@@ -52,15 +88,15 @@ WORD = r"(?U)\b\w\w+\b"
 
 
 def tfidf(df: DataFrame, key: str, text: str, width: int = 256) -> DataFrame:
-    """(key, v): unit vectors of term frequency by inverse document frequency over the ``width`` most frequent words of two letters or more."""
+    """(key, v): unit sparse vectors of term frequency by inverse document frequency over the ``width`` most frequent words of two letters or more."""
     held = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("parley_t"))
     steps = [
         RegexTokenizer(inputCol="parley_t", outputCol="parley_w", pattern=WORD, gaps=False),
         CountVectorizer(inputCol="parley_w", outputCol="parley_c", vocabSize=width),
         IDF(inputCol="parley_c", outputCol="parley_i"),
-        Normalizer(inputCol="parley_i", outputCol="parley_v"),
+        Normalizer(inputCol="parley_i", outputCol="v"),
     ]
-    return Pipeline(stages=steps).fit(held).transform(held).select(key, vector_to_array("parley_v").alias("v"))
+    return Pipeline(stages=steps).fit(held).transform(held).select(key, "v")
 
 
 def ablation(rows: DataFrame, key: str, texts: list[str], k: int, *, seed: int = 42) -> DataFrame:
@@ -68,18 +104,17 @@ def ablation(rows: DataFrame, key: str, texts: list[str], k: int, *, seed: int =
     column truth.
 
     ``key`` is a number; of equally frequent topics of a cluster the one seen first by it counts. A column without any word has
-    an error and scores of 0.
+    an error and scores of 0. Vectors and clusters of a column are written to the shared folder, so each text is read once.
     """
-    out = None
+    parts = []
     for name in texts:
         if not rows.where(F.col(name).rlike(WORD)).limit(1).count():
             zero = [F.lit(0.0).alias(k) for k in ("accuracy", "macro_f1", "weighted_f1")]
-            got = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("representation"), "n", *zero, F.lit("no words").alias("error"))
-            out = got if out is None else out.unionByName(got)
+            parts.append(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("representation"), "n", *zero, F.lit("no words").alias("error")))
             continue
-        found = kmeans(tfidf(rows, key, name), k, seed=seed, starts=1).select(key, F.col("label").alias("cluster_id"))
-        placed = rows.select(key, "truth").join(found, key)
+        vectors = stage(tfidf(rows, key, name), "tfidf")
+        model = KMeans(k=max(2, k), seed=seed, featuresCol="v", predictionCol="cluster_id").fit(vectors)
+        placed = stage(rows.select(key, "truth").join(model.transform(vectors).select(key, "cluster_id"), key), "placed")
         named = majority(placed.select("cluster_id", F.col("truth").alias("topic"), F.col(key).alias("ord"))).withColumnRenamed("topic", "predicted")
-        got = scores(placed.join(F.broadcast(named), "cluster_id")).select(F.lit(name).alias("representation"), "n", "accuracy", "macro_f1", "weighted_f1", F.lit(None).cast("string").alias("error"))
-        out = got if out is None else out.unionByName(got)
-    return out
+        parts.append(scores(placed.join(F.broadcast(named), "cluster_id")).select(F.lit(name).alias("representation"), "n", "accuracy", "macro_f1", "weighted_f1", F.lit(None).cast("string").alias("error")))
+    return reduce(DataFrame.unionByName, parts)

@@ -10,49 +10,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import matches, share
-from parley.operators.clustering import kmeans
+from parley.operators.clustering import dense_labels, kmeans
+from parley.operators.conversations import joined_or_error, lead_sample, numbered_within
+from parley.sources.store import stage
 
 MOST_LEVELS = 20
 
 
-def levels(leaves: DataFrame, *, target_group_size: int = 4, most: int = 10, strict: bool = True, seed: int = 42) -> tuple[DataFrame, DataFrame, str]:
-    """(nodes, edges, why it stopped) over leaves (node_id, name, size, v); a parent's vector is the plain mean of its children's."""
+#: Why a tree has no more levels.
+SINGLE_ROOT, NO_REDUCTION, REACHED = "collapsed_to_single_root", "no_reduction_possible", "reached_requested_levels"
+
+
+def two_level(leaves: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of leaves (node_id, name, size) under one node for each group of ``groups`` (node_id, label): ``top-000`` and so on
+    by the groups' labels in their order. A leaf without a group is an error."""
+    ranks = numbered_within(groups.select("label").distinct(), [], "label").select("label", F.format_string("top-%03d", F.col("parley_n") - 1).alias("parent_id"))
+    placed = joined_or_error(leaves, groups.join(ranks, "label"), "node_id")
+    top = placed.groupBy("parent_id").agg(F.sum("size").alias("size"))
+    nodes = leaves.select("node_id", "name", "size", F.lit(0).alias("level")).union(top.select("parent_id", F.concat(F.lit("Group "), "parent_id"), "size", F.lit(1)))
+    return nodes, placed.select("parent_id", F.col("node_id").alias("child_id"))
+
+
+def levels(leaves: DataFrame, *, target_group_size: int = 4, most: int = 10, strict: bool = True, seed: int = 42, label=None) -> tuple[DataFrame, DataFrame, str]:
+    """(nodes, edges, why it stopped) over leaves (node_id, name, size, v); a parent's vector is the plain mean of its children's.
+
+    Each level is written to the shared folder before the next is fitted on it. ``label`` makes (node_id, name) from rows (node_id,
+    text: the names of the children); a node that it leaves out is called ``Group L<level>-<number>``.
+    """
     if target_group_size < 2 or not 2 <= most <= MOST_LEVELS:
         raise ValueError("groups hold two or more, and there are 2 to 20 levels")
-    current = leaves.select("node_id", "name", "size", "v")
-    nodes, edges, why = current.select("node_id", "name", "size", F.lit(0).alias("level")), None, "levels exhausted"
+    current = stage(leaves.select("node_id", "name", "size", "v"), "level")
+    nodes, edges, why = current.select("node_id", "name", "size", F.lit(0).alias("level")), None, REACHED
     for level in range(1, most):
         n = current.count()
         if n <= 1:
-            why = "single root"
+            why = SINGLE_ROOT
             break
         k = math.ceil(n / target_group_size)
         if strict and n > 2:
             k = max(2, min(n - 1, k))
         if k >= n:
-            why = "no further grouping"
+            why = NO_REDUCTION
             break
-        grouped = kmeans(current, k, seed=seed + level, starts=1)
-        parent = F.format_string(f"lvl-{level:02d}-%03d", F.col("label"))
-        edge = grouped.select(parent.alias("parent_id"), F.col("node_id").alias("child_id"))
+        grouped = dense_labels(stage(kmeans(current, k, seed=seed + level, starts=1), "grouped"))
+        grouped = stage(grouped.withColumn("parent", F.format_string(f"lvl-{level:02d}-%03d", F.col("label"))), "grouped")
+        edge = grouped.select(F.col("parent").alias("parent_id"), F.col("node_id").alias("child_id"))
         edges = edge if edges is None else edges.union(edge)
-        up = grouped.groupBy("label").agg(F.sum("size").alias("size"), Summarizer.mean(array_to_vector("v")).alias("m"))
-        current = up.select(parent.alias("node_id"), F.concat(F.lit(f"Group L{level}-"), F.col("label").cast("string")).alias("name"), "size", vector_to_array("m").alias("v"))
+        up = grouped.groupBy("parent", "label").agg(F.sum("size").alias("size"), Summarizer.mean(array_to_vector("v")).alias("m"))
+        up = up.select(F.col("parent").alias("node_id"), F.concat(F.lit(f"Group L{level}-"), F.col("label").cast("string")).alias("given"), "size", vector_to_array("m").alias("v"))
+        if label is not None:
+            below = lead_sample(grouped.select(F.col("parent").alias("node_id"), F.col("node_id").alias("child"), "name"), "node_id", "child", 12)
+            told = below.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), "\n").alias("text"))
+            up = up.join(label(told), "node_id", "left")
+        else:
+            up = up.withColumn("name", F.lit(None).cast("string"))
+        current = stage(up.select("node_id", F.coalesce("name", "given").alias("name"), "size", "v"), "level")
         nodes = nodes.union(current.select("node_id", "name", "size", F.lit(level).alias("level")))
+    else:
+        if current.count() <= 1:
+            why = SINGLE_ROOT
     if edges is None:
         edges = leaves.sparkSession.createDataFrame([], "parent_id string, child_id string")
     return nodes, edges, why
 
 
 def roots(edges: DataFrame, leaves: DataFrame, depth: int = MOST_LEVELS) -> DataFrame:
-    """(node_id, root_id, steps) of each leaf: the recursive way up, at most ``depth`` steps."""
-    edges.createOrReplaceTempView("parley_edges")
-    leaves.select("node_id").createOrReplaceTempView("parley_leaves")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up MAX RECURSION LEVEL {depth + 1} AS (
-            SELECT node_id, node_id AS at, 0 AS steps FROM parley_leaves
-            UNION ALL SELECT up.node_id, parent_id, steps + 1 FROM up JOIN parley_edges ON child_id = up.at)
-        SELECT node_id, max_by(at, steps) AS root_id, max(steps) AS steps FROM up GROUP BY node_id""")
+    """(node_id, root_id, steps) of each leaf: up the edges one level at a time, ``depth`` steps at most; a node has one parent."""
+    edges = edges.select(F.col("child_id").alias("at"), F.col("parent_id").alias("up"))
+    found = leaves.select("node_id", F.col("node_id").alias("at"), F.lit(0).alias("steps"), F.lit(True).alias("open"))
+    for _ in range(depth):
+        moved = found.join(edges, "at", "left")
+        found = stage(moved.select("node_id", F.coalesce("up", "at").alias("at"), (F.col("steps") + F.col("up").isNotNull().cast("int")).alias("steps"), F.col("up").isNotNull().alias("open")), "roots")
+        if not found.where("open").limit(1).count():
+            break
+    return found.select("node_id", F.col("at").alias("root_id"), "steps")
 
 
 def shares(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,16 +97,21 @@ def shares(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def flattened(nodes: DataFrame, edges: DataFrame, root: Column) -> DataFrame:
-    """Nodes below the roots (a condition), depth first, larger children first: with depth and a path that sorts in that order."""
-    nodes.createOrReplaceTempView("parley_nodes")
-    edges.createOrReplaceTempView("parley_edges")
-    nodes.where(root).createOrReplaceTempView("parley_roots")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE down MAX RECURSION LEVEL {MOST_LEVELS} AS (
-            SELECT node_id, size, 0 AS depth, concat(lpad(cast(999999999999 - size AS STRING), 12, '0'), node_id) AS path FROM parley_roots
-            UNION ALL SELECT n.node_id, n.size, depth + 1, concat(path, '/', lpad(cast(999999999999 - n.size AS STRING), 12, '0'), n.node_id)
-            FROM down JOIN parley_edges e ON e.parent_id = down.node_id JOIN parley_nodes n ON n.node_id = e.child_id)
-        SELECT node_id, size, depth, path FROM down""")
+    """Nodes below the roots (a condition), depth first, larger children first: with depth and a path that sorts in that order.
+
+    Goes down one level at a time, MOST_LEVELS at most.
+    """
+    step = lambda c: F.concat(F.lpad((F.lit(999999999999) - F.col("size")).cast("string"), 12, "0"), F.col(c))
+    now = stage(nodes.where(root).select("node_id", "size", F.lit(0).alias("depth"), step("node_id").alias("path")), "flat")
+    found = now
+    for depth in range(1, MOST_LEVELS):
+        below = now.select(F.col("node_id").alias("parent_id"), "path").join(edges, "parent_id").select(F.col("child_id").alias("node_id"), "path")
+        now = below.join(nodes.select("node_id", "size"), "node_id")
+        now = stage(now.select("node_id", "size", F.lit(depth).alias("depth"), F.concat("path", F.lit("/"), step("node_id")).alias("path")), "flat")
+        if not now.limit(1).count():
+            break
+        found = found.union(now)
+    return found
 
 
 def tree_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:

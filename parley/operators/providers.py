@@ -13,13 +13,21 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.conversations import lead_sample
+from parley.sources.store import stage
+
 
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class ProviderError(Exception):
+    """What a model raises if it gives no answer; other errors are mistakes of a program and end the task."""
+
+
 class Answerer(Protocol):
-    def complete(self, task: str, texts: list[str]) -> list[dict]: ...
+    def complete(self, task: str, items: list[tuple[object, str]]) -> list[dict]:
+        """Answers to (id, text) pairs, each with its ``id``."""
 
 
 class HashedEmbedder:
@@ -43,16 +51,21 @@ class HashedEmbedder:
 class RuleAnswerer:
     """Facets, names and ratings by rule."""
 
-    def complete(self, task: str, texts: list[str]) -> list[dict]:
+    def one(self, task: str, text: str) -> dict:
+        words = text.split()
         if task == "facets":
-            return [{"summary": t.strip()[:200] or "empty", "task": (t.split() or ["none"])[0].lower()[:40], "language": "unknown", "language_confidence": 0.8, "concerning_score": 1} for t in texts]
+            return {"summary": text.strip()[:200] or "empty", "task": (words or ["none"])[0].lower()[:40], "language": "unknown", "language_confidence": 0.8, "concerning_score": 1}
         if task == "label":
-            return [{"name": " ".join(t.split()[:4])[:120] or "Unnamed", "description": t.strip()[:500] or "Nothing to describe."} for t in texts]
-        return [{"rating": 1 if re.search(r"[\w.+-]+@[\w-]+\.[\w.]+|\+?\d[\d ().-]{7,}\d", t) else 5, "justification": "contact data" if "@" in t else "rule"} for t in texts]
+            return {"name": " ".join(words[:4])[:120] or "Unnamed", "description": text.strip()[:500] or "Nothing to describe."}
+        return {"rating": 1 if re.search(r"[\w.+-]+@[\w-]+\.[\w.]+|\+?\d[\d ().-]{7,}\d", text) else 5, "justification": "contact data" if "@" in text else "rule"}
+
+    def complete(self, task: str, items: list[tuple[object, str]]) -> list[dict]:
+        return [{"id": k} | self.one(task, text) for k, text in items]
 
 
 def embedded(df: DataFrame, key: str, text: str, provider: Embedder | None = None, batch: int = 32) -> DataFrame:
-    """(key, v): vectors by key, never by position. A batch of the wrong number or width fails the task."""
+    """(key, v): vectors by key, never by position. A batch of the wrong number or width fails the task. Vectors are written to the
+    shared folder once, so fits and actions on them do not ask the model again."""
     provider = provider or HashedEmbedder()
     kind = df.schema[key].dataType.simpleString()
 
@@ -67,20 +80,54 @@ def embedded(df: DataFrame, key: str, text: str, provider: Embedder | None = Non
                     raise ValueError("the provider gave vectors of another number or width")
                 yield pd.DataFrame({key: part[key], "v": vectors})
 
-    return df.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"{key} {kind}, v array<double>")
+    return stage(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"{key} {kind}, v array<double>"), "vectors")
+
+
+def embedded_rest(df: DataFrame, key: str, text: str, saved: DataFrame, provider: Embedder | None = None, batch: int = 32) -> DataFrame:
+    """(key, mark, v): vectors of ``saved`` (the same columns) where the text has not changed since (mark is its hash), the rest from the model."""
+    mark = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    wanted = df.select(key, F.col(text).alias("parley_text"), mark.alias("mark"))
+    rest = wanted.join(saved.select(key, "mark"), [key, "mark"], "left_anti")
+    new = embedded(rest, key, "parley_text", provider, batch).join(rest.select(key, "mark"), key)
+    return saved.join(wanted.select(key, "mark"), [key, "mark"], "left_semi").select(key, "mark", "v").unionByName(new.select(key, "mark", "v"))
+
+
+def reconciled(ids: list, answers: list[dict]) -> tuple[dict, dict]:
+    """(answer by id, error by id) of a batch: the first answer to a known id counts; ids answered twice, unknown or left out are errors."""
+    wanted, found, errors = set(ids), {}, {}
+    for answer in answers:
+        k = answer.get("id")
+        if k in found:
+            errors[k] = "DuplicateConversationIdInBatchOutput"
+        elif k not in wanted:
+            errors[k] = "UnexpectedConversationIdInBatchOutput"
+        else:
+            found[k] = {name: v for name, v in answer.items() if name != "id"}
+    for k in ids:
+        if k not in found:
+            errors[k] = "MissingConversationInBatchOutput"
+    return found, errors
 
 
 def answered(df: DataFrame, key: str, text: str, task: str, fields: str, fallback: dict, provider: Answerer | None = None, batch: int = 8) -> DataFrame:
-    """(key, fields, fallback_used, error): the provider's answers; what fails in a batch is asked again alone, then falls back."""
+    """(key, fields, fallback_used, error): the provider's answers by id, of unique keys. What a batch leaves out, or all of it if the
+    batch fails, is asked again one by one; what fails then gets ``fallback``, in whose texts ``{id}`` stands for the key.
+
+    fallback_used is true for all that the batch did not answer; error is what the batch, or else the single request, gave. Answers
+    are written to the shared folder once, so actions on them do not ask the model again.
+    """
     provider = provider or RuleAnswerer()
     kind = df.schema[key].dataType.simpleString()
 
-    def one(t: str) -> dict:
+    def alone(k: object, t: str, error: str) -> dict:
         try:
-            got = provider.complete(task, [t])
-            return got[0] | {"fallback_used": True, "error": "answered alone"}
-        except Exception as error:  # noqa: BLE001 - any failure of a model falls back
-            return fallback | {"fallback_used": True, "error": str(error)[:500]}
+            found, errors = reconciled([k], provider.complete(task, [(k, t)]))
+            if k in found:
+                return found[k] | {"fallback_used": True, "error": error}
+            error = errors[k]
+        except ProviderError as failed:
+            error = str(failed)[:500]
+        return {n: v.replace("{id}", str(k)) if isinstance(v, str) else v for n, v in fallback.items()} | {"fallback_used": True, "error": error}
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -88,19 +135,46 @@ def answered(df: DataFrame, key: str, text: str, task: str, fields: str, fallbac
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                texts = part["t"].tolist()
+                items = [*zip(part[key].tolist(), part["t"].tolist(), strict=True)]
                 try:
-                    got = provider.complete(task, texts)
-                    if len(got) != len(texts):
-                        raise ValueError("answers of another number")
-                    rows = [x | {"fallback_used": False, "error": None} for x in got]
-                except Exception:  # noqa: BLE001
-                    rows = [one(t) for t in texts]
-                yield pd.DataFrame([{key: k} | r for k, r in zip(part[key], rows, strict=True)])
+                    found, errors = reconciled([k for k, _ in items], provider.complete(task, items))
+                except ProviderError as failed:
+                    found, errors = {}, dict.fromkeys((k for k, _ in items), str(failed)[:500])
+                rows = [{key: k} | (found[k] | {"fallback_used": False, "error": errors.get(k)} if k in found else alone(k, t, errors[k])) for k, t in items]
+                yield pd.DataFrame(rows)
 
-    return df.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"{key} {kind}, {fields}, fallback_used boolean, error string")
+    return stage(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"{key} {kind}, {fields}, fallback_used boolean, error string"), "answers")
+
+
+#: Fields of an answer, by task, and what stands for one that failed; a rating that failed is the lowest.
+FACETS = "summary string, task string, language string, language_confidence double, concerning_score int"
+LABEL, NO_LABEL = "name string, description string", {"name": "Cluster {id}", "description": "Label generation failed."}
+AUDIT, NO_AUDIT = "rating int, justification string", {"rating": 1, "justification": "Audit failed; conservative rating."}
+
+
+def cluster_labels(facets: DataFrame, order: str, provider: Answerer | None = None, sample: int = 12) -> DataFrame:
+    """(cluster_id, name, description, fallback_used, error) from the first ``sample`` summaries of each cluster of facets
+    (cluster_id, summary, order); a cluster without an answer is called ``Cluster <id>``."""
+    first = lead_sample(facets.select("cluster_id", F.col(order).alias("ord"), "summary"), "cluster_id", "ord", sample)
+    told = first.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "summary"))), lambda x: x["summary"]), "\n").alias("t"))
+    return answered(told, "cluster_id", "t", "label", LABEL, NO_LABEL, provider)
+
+
+def audited(texts: DataFrame, provider: Answerer | None = None, batch: int = 12) -> DataFrame:
+    """(stage, id, rating, justification, fallback_used, error) of texts (stage, id, content); an audit that fails rates 1."""
+    keyed = texts.select(F.concat_ws(":", "stage", "id").alias("k"), "content")
+    found = answered(keyed, "k", "content", "audit", AUDIT, NO_AUDIT, provider, batch)
+    return found.select(F.substring_index("k", ":", 1).alias("stage"), F.expr("substring(k, instr(k, ':') + 1)").alias("id"), "rating", "justification", "fallback_used", "error")
 
 
 def next_width(width: int, issues: int, most: int, left: bool = True) -> int:
     """How many requests the next wave sends at once: one less after any issue, one more after a clean wave while work is left."""
     return max(1, min(most, width - 1 if issues else width + (1 if left else 0)))
+
+
+def waves(issues: list[int], start: int, most: int) -> list[int]:
+    """The widths of waves with these numbers of issues, the last one included."""
+    widths = [start]
+    for i, n in enumerate(issues):
+        widths.append(next_width(widths[-1], n, most, i < len(issues) - 1))
+    return widths[:-1]

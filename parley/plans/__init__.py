@@ -91,15 +91,18 @@ def transcript_render(spark, sf_dir):
 
 
 def defective_lines(spark, sf_dir):
-    """Lines of conversations with defects by conv_id % 7."""
-    held = conversations.assemble(messages(spark, sf_dir)).withColumn("k", F.col("conversation_id") % 7)
+    """Lines of conversations with defects by conv_id % 10."""
+    held = conversations.assemble(messages(spark, sf_dir)).withColumn("k", F.col("conversation_id") % 10)
     n, k = F.col("conversation_id"), F.col("k")
-    name = F.concat(F.lit("c-"), F.when(k == 3, n - 6).otherwise(n).cast("string"))
-    row = F.to_json(F.struct(name.alias("conversation_id"), F.when(k != 2, F.lit("u")).alias("user_id"), F.lit("2025-01-01T00:00:00Z").alias("timestamp"), "messages", F.when(k == 5, F.lit("x")).alias("extra")))
+    name = F.when((k == 3) & (n >= 10), n - 4).otherwise(n).cast("string")
+    user = F.when(k == 2, "").otherwise('"user_id":"u",')
+    said = F.when(k == 4, '[{"role":"user","content":5}]').when(k == 7, '[{"role":"user","content":{"k":1}}]').otherwise(F.to_json("messages"))
+    tail = F.when(k == 5, ',"extra":"x"').when(k == 6, ',"metadata":null').when(k == 8, ',"user_id":"v"').otherwise("")
+    row = F.concat(F.lit('{"conversation_id":"c-'), name, F.lit('",'), user, F.lit('"timestamp":"2025-01-01T00:00:00Z","messages":'), said, tail, F.lit("}"))
     return held.select((n + 1).alias("line_number"), F.when(k == 0, F.lit("{not json")).when(k == 1, F.lit("[]")).otherwise(row).alias("line"))
 
 
-_CODES = "SELECT DISTINCT conv_id + 1 AS line_number, CASE WHEN conv_id % 7 = 0 THEN 'invalid_json' WHEN conv_id % 7 = 1 THEN 'non_object_line' WHEN conv_id % 7 IN (2, 5) THEN 'schema_validation_failed' WHEN conv_id % 7 = 3 AND conv_id >= 10 THEN 'duplicate_conversation_id' END AS code FROM conversations"
+_CODES = "SELECT DISTINCT conv_id + 1 AS line_number, CASE WHEN conv_id % 10 = 0 THEN 'invalid_json' WHEN conv_id % 10 = 1 THEN 'non_object_line' WHEN conv_id % 10 IN (2, 4, 5, 6, 7) THEN 'schema_validation_failed' WHEN conv_id % 10 = 3 AND conv_id >= 10 THEN 'duplicate_conversation_id' END AS code FROM conversations"
 
 
 @query(f"SELECT line_number, code FROM ({_CODES}) WHERE code IS NOT NULL ORDER BY line_number LIMIT 100")
@@ -274,11 +277,10 @@ def db_score(spark, sf_dir):
     return vectors.davies_bouldin(points(spark, sf_dir))
 
 
-@query(f"""WITH {_V}, t AS (SELECT * FROM p ORDER BY vec_id LIMIT 300), m AS (SELECT a.vec_id, a.label, b.label AS other, avg(sqrt({_D2.format(a='a.v', b='b.v')})) AS d FROM t AS a JOIN t AS b ON a.vec_id <> b.vec_id GROUP BY ALL),
+@query(f"""WITH {_V}, t AS (SELECT * FROM p ORDER BY md5('42:' || vec_id), vec_id LIMIT 2000), m AS (SELECT a.vec_id, a.label, b.label AS other, avg(sqrt({_D2.format(a='a.v', b='b.v')})) AS d FROM t AS a JOIN t AS b ON a.vec_id <> b.vec_id GROUP BY ALL),
  s AS (SELECT vec_id, max(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM m GROUP BY vec_id) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS score FROM s""")
 def silhouette_sample(spark, sf_dir):
-    # The SQL of this query scores the first 300 ids; the operator samples by a seeded hash, 2,000 points by default.
-    return vectors.silhouette(points(spark, sf_dir).orderBy("vec_id").limit(300), sample=300)
+    return vectors.silhouette(points(spark, sf_dir))
 
 
 @query("SELECT label::INTEGER AS cluster_id, count(*) AS size, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y, round(avg(vec_id % 5 + 1), 6) AS concerning_score, arg_min(vec_id % 2 = 0, vec_id) AS kept FROM embeddings GROUP BY label")
@@ -292,16 +294,34 @@ def label_sample(spark, sf_dir):
     return conversations.lead_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 12)
 
 
-@query()
+_LABELS = r"""lead AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+ told AS (SELECT source AS cluster_id, string_agg(text, chr(10) ORDER BY n) AS t FROM lead WHERE n <= 12 GROUP BY source),
+ named AS (SELECT cluster_id, coalesce(nullif(substr(array_to_string(regexp_extract_all(t, '\S+')[1:4], ' '), 1, 120), ''), 'Unnamed') AS name, coalesce(nullif(substr(regexp_replace(t, '^\s+|\s+$', '', 'g'), 1, 500), ''), 'Nothing to describe.') AS description FROM told)"""
+
+
+@query(f"WITH {_LABELS} SELECT cluster_id, name, md5(description) AS description, false AS fallback_used, NULL::VARCHAR AS error FROM named")
 def label_clusters(spark, sf_dir):
-    first = conversations.first_of_each(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), ["source"], "doc_id")
-    return providers.answered(first, "source", "text", "label", "name string, description string", {"name": "Cluster", "description": "No label."})
+    return source_labels(spark, sf_dir).withColumn("description", F.md5("description"))
 
 
-@query()
+def source_labels(spark, sf_dir):
+    """Labels of sources as clusters, from their first twelve documents."""
+    return providers.cluster_labels(table(spark, sf_dir, "documents").select(F.col("source").alias("cluster_id"), F.col("text").alias("summary"), "doc_id"), "doc_id")
+
+
+_FACETS = r"""said AS (SELECT conv_id, string_agg(n || '. ' || upper(role) || ': ' || text, chr(10) ORDER BY turn) AS t, count(*) AS turn_count FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id),
+ facets AS (SELECT conv_id AS conversation_id, turn_count, substr(regexp_replace(t, '^\s+|\s+$', '', 'g'), 1, 200) AS summary, substr(lower(regexp_extract(t, '\S+')), 1, 40) AS task, 'unknown' AS language FROM said)"""
+
+
+@query(f"WITH {_FACETS} SELECT conversation_id, summary, task, language, 0.8::DOUBLE AS language_confidence, 1 AS concerning_score, false AS fallback_used, NULL::VARCHAR AS error FROM facets")
 def facet_extraction(spark, sf_dir):
+    return extracted(spark, sf_dir)
+
+
+def extracted(spark, sf_dir):
+    """Facets of conversations by the offline provider."""
     held = conversations.assemble(messages(spark, sf_dir)).withColumn("t", conversations.transcript(F.col("messages"), True))
-    return providers.answered(held, "conversation_id", "t", "facets", "summary string, task string, language string, language_confidence double, concerning_score int", {"summary": "", "task": "", "language": "unknown", "language_confidence": 0.0, "concerning_score": 1})
+    return providers.answered(held, "conversation_id", "t", "facets", providers.FACETS, {"summary": "", "task": "", "language": "unknown", "language_confidence": 0.0, "concerning_score": 1})
 
 
 def tree(spark, sf_dir):
@@ -420,22 +440,54 @@ def majority_map(spark, sf_dir):
     return evaluate.majority(rows)
 
 
-@query("SELECT printf('eval-conv-%04d', i) AS conversation_id, printf('eval-user-%03d', i % 40) AS user_id, strftime(TIMESTAMP '2025-02-01 10:00:00' + INTERVAL (i * 5) MINUTE, '%Y-%m-%d %H:%M:%S') AS ts, ['billing', 'travel', 'coding', 'health', 'cooking', 'law', 'sports', 'education'][i % 8 + 1] AS topic, ['English', 'Spanish', 'French', 'German', 'Portuguese', 'Hindi'][i % 6 + 1] AS language FROM range(0, 120) AS r(i)")
+def _synthetic_sql() -> str:
+    lists = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    more = [i for i, m in enumerate(evaluate.more_turns(120, 19)) if m]
+    return f"""c AS (SELECT i, i + 1 AS variant, {lists([t[0] for t in evaluate.TOPICS])}[i % 8 + 1] AS topic, {lists([t[1] for t in evaluate.TOPICS])}[i % 8 + 1] AS summary,
+ {lists(evaluate.LANGUAGES[:5])}[i % 5 + 1] AS language, replace({lists([t[2] for t in evaluate.TOPICS])}[i % 8 + 1], '{{variant}}', (i + 1)::VARCHAR) AS asked, i IN {tuple(more)} AS more FROM range(0, 120) AS r(i)),
+ s AS (SELECT *, CASE WHEN language = 'English' THEN '' ELSE '[' || language || '] ' END || asked AS first, summary || ' for ProjectOrchid' || (i % 11 + 1) AS named FROM c)"""
+
+
+@query(f"""WITH {_synthetic_sql()} SELECT printf('eval-conv-%04d', variant) AS conversation_id, printf('eval-user-%03d', i % 40 + 1) AS user_id, strftime(TIMESTAMP '2025-02-01 10:00:00' + INTERVAL (i * 5) MINUTE, '%Y-%m-%d %H:%M:%S') AS ts, topic, language, summary, named,
+ md5('user|' || first || chr(10) || 'assistant|' || CASE WHEN topic = 'safety_high_risk' THEN '{evaluate.REFUSAL}' ELSE '{evaluate.HELP}' END || CASE WHEN more THEN chr(10) || 'user|' || replace('{evaluate.MORE}', '{{variant}}', variant::VARCHAR) || chr(10) || 'assistant|{evaluate.ADDED}' ELSE '' END) AS said FROM s""")
 def synthetic_corpus(spark, sf_dir):
     c = evaluate.synthetic(spark, 120)
-    return c.select("conversation_id", "user_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("ground_truth_topic").alias("topic"), F.col("ground_truth_language").alias("language"))
+    said = F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("|"), m["content"])), "\n")).alias("said")
+    return c.select("conversation_id", "user_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("ground_truth_topic").alias("topic"), F.col("ground_truth_language").alias("language"), F.col("privacy_summary").alias("summary"), F.col("non_private_summary").alias("named"), said)
+
+
+@query(f"WITH {_synthetic_sql()} SELECT printf('eval-conv-%04d', variant) AS conversation_id, summary AS privacy_summary, named AS non_private_summary, first AS raw_user_text FROM s")
+def eval_representations(spark, sf_dir):
+    return conversations.representations(evaluate.synthetic(spark, 120))
+
+
+@query(f"WITH {_synthetic_sql()} SELECT 'topic' AS kind, topic AS value, count(*) AS n FROM s GROUP BY topic UNION ALL SELECT 'language', language, count(*) FROM s GROUP BY language UNION ALL SELECT 'role', role, count(*) FROM conversations GROUP BY role")
+def histograms(spark, sf_dir):
+    c = evaluate.synthetic(spark, 120)
+    parts = [conversations.histogram(d, k).select(F.lit(name).alias("kind"), "value", "n") for d, k, name in ((c, "ground_truth_topic", "topic"), (c, "ground_truth_language", "language"), (messages(spark, sf_dir), "role", "role"))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def drill(spark, sf_dir):
-    """Conversations with a user, a time and a cluster."""
-    f = conversations.facet_statistics(messages(spark, sf_dir))
-    n = F.col("conv_id")
-    return f.select(n.alias("conversation_id"), F.concat(F.lit("u"), (n % 40).cast("string")).alias("user_id"), (n * 660 % 86400).alias("second"), (n % 10).alias("cluster_id"), "turn_count")
+    """Assignments, facets and the input of conversations: every third assignment has no user, every fourth has no facets, every fifth
+    is not in the input."""
+    f = conversations.facet_statistics(messages(spark, sf_dir)).withColumnRenamed("conv_id", "conversation_id")
+    n = F.col("conversation_id")
+    user = F.concat(F.lit("u"), (n % 40).cast("string"))
+    assignments = f.select("conversation_id", F.when(n % 3 == 0, "").otherwise(user).alias("user_id"), (n % 10).alias("cluster_id"))
+    facets = f.where(n % 4 != 0).select("conversation_id", "turn_count", F.concat(F.lit("s"), n.cast("string")).alias("summary"))
+    source = f.where(n % 5 != 0).select("conversation_id", user.alias("user_id"), (n * 660 % 86400).alias("timestamp"))
+    return assignments, facets, source
+
 
+_DRILL = """b AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), r AS (SELECT conv_id AS conversation_id, CASE WHEN conv_id % 3 <> 0 OR conv_id % 5 <> 0 THEN 'u' || conv_id % 40 ELSE '' END AS user_id,
+ CASE WHEN conv_id % 5 <> 0 THEN conv_id * 660 % 86400 END AS timestamp, CASE WHEN conv_id % 4 <> 0 THEN n END AS turn_count, CASE WHEN conv_id % 4 <> 0 THEN 's' || conv_id END AS summary FROM b WHERE conv_id % 10 = {k})"""
 
-@query("SELECT conv_id AS conversation_id, 'u' || conv_id % 40 AS user_id, conv_id * 660 % 86400 AS second, count(*) AS turn_count FROM conversations WHERE conv_id % 10 = 3 GROUP BY conv_id ORDER BY second DESC, conversation_id LIMIT 50")
+
+@query(f"WITH {_DRILL.format(k=3)} SELECT * FROM r UNION ALL SELECT * FROM (WITH {_DRILL.format(k=5)} SELECT * FROM r)")
 def cluster_drilldown(spark, sf_dir):
-    return drill(spark, sf_dir).where("cluster_id = 3").drop("cluster_id").orderBy(F.desc("second"), "conversation_id").limit(50)
+    parts = drill(spark, sf_dir)
+    return conversations.cluster_conversations(3, *parts).union(conversations.cluster_conversations(5, *parts))
 
 
 @query("SELECT conv_id AS conversation_id, min(turn) AS first_turn FROM conversations WHERE contains(lower(conv_id || ' ' || role || ' ' || text), 'the th') GROUP BY conv_id")
@@ -468,9 +520,15 @@ def phase_timeline(spark, sf_dir):
     return runs.timeline(run_events(spark, sf_dir))
 
 
-@query(f"WITH {_SPINE} SELECT run_id, round(least(100.0::DOUBLE, coalesce(100.0::DOUBLE * (count(*) FILTER (status IN ('completed', 'warning')) + 0.5::DOUBLE * count(*) FILTER (status = 'running')) / nullif(count(*) FILTER (status <> 'skipped'), 0), 0)), 1) AS percent FROM line GROUP BY run_id")
+_REACHED = f"""cp AS (SELECT user_id % 50 AS run_id, ['{"', '".join(runs.PHASES)}'][event_id % 7 + 1] AS phase, sum(event_id % 11) AS processed, sum(CASE WHEN event_id % 7 <> 4 THEN event_id % 13 + 10 END) AS total FROM events GROUP BY ALL),
+ pc AS (SELECT run_id, phase, CASE WHEN total > 0 THEN round(least(100.0::DOUBLE, 100.0::DOUBLE * processed / total), 1) END AS measured FROM cp),
+ pg AS (SELECT run_id, count(*) FILTER (status <> 'skipped') AS active, count(*) FILTER (status IN ('completed', 'resumed')) AS done, (list(measured ORDER BY ordinal) FILTER (status = 'running'))[1] AS running FROM line LEFT JOIN pc USING (run_id, phase) GROUP BY run_id),
+ reached AS (SELECT run_id, CASE WHEN active = 0 THEN 100.0::DOUBLE ELSE round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, (100.0::DOUBLE * done + coalesce(running, 0)) / active)), 1) END AS percent FROM pg)"""
+
+
+@query(f"WITH {_SPINE}, {_REACHED} SELECT * FROM reached")
 def overall_progress(spark, sf_dir):
-    return runs.progress(run_events(spark, sf_dir))
+    return runs.progress(run_events(spark, sf_dir), runs.checkpoint_progress(checkpoints(spark, sf_dir)))
 
 
 @query(f"WITH {_EVENTS} SELECT event_id, run_id, phase, status FROM ev ORDER BY ts DESC, event_id DESC LIMIT 40")
@@ -491,9 +549,13 @@ def fingerprint_diff(spark, sf_dir):
     return runs.settings_drift(d.where("doc_id % 3 <> 0"), after)
 
 
-@query("WITH s AS (SELECT count(*) AS n, round(avg(k), 6) AS t FROM (SELECT count(*) AS k FROM conversations GROUP BY conv_id)), c AS (SELECT *, greatest(1, least(200, ceil(n / 25))) AS k FROM s) SELECT (2 * n + 2 * k + 120)::BIGINT AS requests, round(n * greatest(120.0, 90.0 * t), 3)::DOUBLE AS prompt_tokens, round(n * greatest(120.0, 90.0 * t) * 0.35, 3)::DOUBLE AS completion_tokens, round((n * 2.0 + k * 2.0 + k * 2.5 + (n + k) * 1.8) / 8 + 4.0 + 1.5 * 120 / 8, 3)::DOUBLE AS seconds FROM c")
+@query("""WITH s AS (SELECT count(*) AS n, round(avg(k), 6) AS t FROM (SELECT count(*) AS k FROM conversations GROUP BY conv_id)),
+ c AS (SELECT *, greatest(1, least(greatest(20, least(600, ceil(n / 25))), n))::BIGINT AS k FROM s), h AS (SELECT *, greatest(1, ceil(k / 8))::BIGINT AS h, least(40, n) + n + k + least(20, n) AS p FROM c),
+ t AS (SELECT *, (n * greatest(120, floor(90 * t)) + k * 700 + h * 900 + p * 500 + 3 * 1200)::BIGINT AS prompt FROM h)
+ SELECT k AS clusters, n + k + h + p + 3 AS requests, prompt AS prompt_tokens, floor(prompt * 0.35::DOUBLE)::BIGINT AS completion_tokens, prompt + floor(prompt * 0.35::DOUBLE)::BIGINT AS total_tokens,
+ round(n / 8 * 2.0::DOUBLE + 4.0::DOUBLE + k / 8 * 2.0::DOUBLE + h / 8 * 2.5::DOUBLE + p / 8 * 1.8::DOUBLE + 4.5::DOUBLE, 3) AS seconds, round(prompt / 1e6 * 2.5::DOUBLE + floor(prompt * 0.35::DOUBLE) / 1e6 * 10.0::DOUBLE, 6) AS cost FROM t""")
 def preflight_estimate(spark, sf_dir):
-    return runs.preflight(conversations.dataset_summary(messages(spark, sf_dir), F.col("conv_id") % 40))
+    return runs.preflight(conversations.dataset_summary(messages(spark, sf_dir), F.col("conv_id") % 40), input_cost=2.5, output_cost=10.0)
 
 
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns FROM conversations GROUP BY conv_id")
@@ -526,11 +588,16 @@ def list_runs(spark, sf_dir):
     return runs.states(e).join(seen, "run_id")
 
 
-@query()
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     e = ingest.opened(spark, f"{sf_dir}/events.parquet").select("ts", "event_type")
-    out = ingest.drained(ingest.windowed(e), "windows", "append")
-    return out.select(F.col("window.start").alias("start"), "event_type", "n")
+    out = ingest.drained(ingest.windowed(e), "windows", "complete")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT count(*) AS conversations, count(DISTINCT u) AS users, sum(n)::BIGINT AS messages, round(avg(n), 6) AS avg_turns, min(n) AS min_turns, max(n) AS max_turns FROM (SELECT conv_id, conv_id % 40 AS u, count(*) AS n FROM conversations GROUP BY ALL)")
+def stream_dataset_summary(spark, sf_dir):
+    return ingest.dataset_summary(ingest.opened(spark, f"{sf_dir}/conversations.parquet"), F.col("conv_id") % 40)
 
 
 @query()
@@ -539,9 +606,23 @@ def kmeans_clusters(spark, sf_dir):
     return p.groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query()
+REACH = 0.9
+
+
+def _density_sql(rounds: int = 14) -> str:
+    parts = [_V, f"d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, sqrt({_D2.format(a='a.v', b='b.v')}) AS d FROM p AS a, p AS b)"]
+    parts.append("core AS (SELECT a AS vec_id, max(d) AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS n FROM d) WHERE n <= 6 GROUP BY a)")
+    parts.append(f"e AS MATERIALIZED (SELECT a, b FROM d JOIN core AS x ON x.vec_id = a JOIN core AS y ON y.vec_id = b WHERE greatest(d, x.core, y.core) <= {REACH})")
+    parts.append("l0 AS (SELECT a AS node, min(b) AS label FROM e GROUP BY a)")
+    for i in range(rounds):
+        parts.append(f"l{i + 1} AS MATERIALIZED (SELECT e.a AS node, min(label) AS label FROM e JOIN l{i} ON l{i}.node = e.b GROUP BY e.a)")
+    parts.append(f"big AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM l{rounds} GROUP BY label HAVING count(*) >= 12)")
+    return f"WITH {', '.join(parts)} SELECT vec_id, coalesce(k, -1)::INTEGER AS label FROM p LEFT JOIN l{rounds} AS l ON l.node = vec_id LEFT JOIN big ON big.label = l.label"
+
+
+@query(_density_sql())
 def density_clusters(spark, sf_dir):
-    return clustering.density(points(spark, sf_dir).drop("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return clustering.density(points(spark, sf_dir).drop("label"), reach=REACH).select("vec_id", "label")
 
 
 @query()
@@ -662,8 +743,9 @@ def clamped_numbers(spark, sf_dir):
 
 @query()
 def ablation(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("truth"), "text", F.concat_ws(" ", F.lit("source"), "source").alias("named"))
-    return evaluate.ablation(d, "doc_id", ["text", "named"], 8)
+    c = evaluate.synthetic(spark, 120).withColumn("i", F.substring("conversation_id", 11, 10).cast("long"))
+    c = c.join(conversations.representations(c).select("conversation_id", "raw_user_text"), "conversation_id").withColumnRenamed("ground_truth_topic", "truth")
+    return evaluate.ablation(c, "i", ["privacy_summary", "non_private_summary", "raw_user_text"], 8)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -675,6 +757,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.rollup(labelled, min_users=2, min_conversations=2)
 
 
+from parley.plans import analysis, monitoring, scans  # noqa: E402, F401 - they register their queries here
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -17,6 +17,31 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Tables of a run that a later run may take up again, and the columns of each.
+RESUMABLE = {
+    "facets": "conversation_id string, summary string, task string, language string, language_confidence double, turn_count int, concerning_score int",
+    "base_clusters": "cluster_id int, size long, unique_users long, kept_by_threshold boolean",
+    "labeled_clusters": "cluster_id int, name string, description string, size long, labeling_fallback_used boolean",
+    "hierarchy": "node_id string, level int, name string, size long, parent_id string",
+    "privacy_audit": "stage string, id string, rating int, justification string",
+    "gated_clusters": "cluster_id int, rating int, privacy_kept boolean, final_kept boolean",
+    "evaluation": "representation string, n long, accuracy double, macro_f1 double, weighted_f1 double",
+}
+
+
+def resumable(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the run at ``root``, empty if it was not written."""
+    return read_or_empty(spark, f"{root}/{name}", RESUMABLE[name])
+
+
+def resumable_privacy(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Audits and gated clusters of a run: both, or neither if one is missing."""
+    found = [resumable(spark, root, k) for k in ("privacy_audit", "gated_clusters")]
+    if any(not t.inputFiles() for t in found):
+        return tuple(t.limit(0) for t in found)
+    return tuple(found)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add rows of a partial result; readers see whole files only."""
     df.write.mode("append").parquet(path)
@@ -34,9 +59,19 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=True)
 
 
+def write_object(df: DataFrame, path: str) -> None:
+    """One row as one JSON object, with its nulls; readers see the whole object or none."""
+    df.limit(1).coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+#: The head of the table that ``report_lines`` makes.
+REPORT_HEAD = ("# Evaluation", "", "| representation | n | accuracy | macro F1 | weighted F1 |", "|-|-|-|-|-|")
+
+
 def report_lines(scores: DataFrame) -> DataFrame:
-    """(line) of a Markdown table, a row for each representation of scores; the header is not part of it."""
-    return scores.select(F.format_string("| %s | %d | %.4f | %.4f | %.4f |", "representation", "n", "accuracy", "macro_f1", "weighted_f1").alias("line"))
+    """(line) of a Markdown report: REPORT_HEAD, then a row for each representation of scores."""
+    rows = scores.select(F.format_string("| %s | %d | %.4f | %.4f | %.4f |", "representation", "n", "accuracy", "macro_f1", "weighted_f1").alias("line"))
+    return scores.sparkSession.createDataFrame([(x,) for x in REPORT_HEAD], "line string").union(rows)
 
 
 def tail(lines: DataFrame, n: int) -> DataFrame:
