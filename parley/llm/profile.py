@@ -51,7 +51,7 @@ def vocabulary(words: list[str]) -> np.ndarray:
     return np.array(sorted((_hash_of(w), i) for i, w in enumerate(words)), dtype=np.uint64).reshape(-1, 2)
 
 
-_VOCABULARY = vocabulary(COMMON)
+VOCABULARY = vocabulary(COMMON)
 
 LONGS = ("n_words", "word_chars", "n_chars", "n_symbols", "n_bars", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words")
 
@@ -130,7 +130,7 @@ def data_not_newline() -> np.ndarray:
 
 
 def _profiles(keep: list[str], lists: dict[str, list[str]] | None, by: str | None):
-    held = [_VOCABULARY] if lists is None else [vocabulary(x) for x in lists.values()]
+    held = [VOCABULARY] if lists is None else [vocabulary(x) for x in lists.values()]
     size = len(COMMON) if lists is None else max(map(len, lists.values()), default=0)
     place = {k: i for i, k in enumerate(lists or {})}
 

@@ -16,33 +16,28 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import crc_of_id
-from parley.llm.profile import CLASSES, COMMON, kept_columns, profiles
+from parley.llm.common import crc_of_id, slices, small_batches
+from parley.llm.profile import CLASSES, COMMON, common_counts, kept_columns, profile, VOCABULARY
 
 
-def features() -> dict[str, Column]:
-    """Features of a profiled text; 0 where a count divides by nothing."""
-    c = F.col
+SHARES = ("lower", "upper", "digit", "space", "stop", "mark", "beyond")
+#: Features of a text, in the order of their columns; 0 where a count divides by nothing.
+FEATURES = ("log_words", "word_length", "symbols", "bars", "dup_lines", "repeats", "distinct", "log_line", "common", *SHARES)
 
-    def share(a: Column, b: Column) -> Column:
-        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
-    out = {
-        "log_words": F.log1p(c("n_words")),
-        "word_length": share(c("word_chars"), c("n_words")),
-        "symbols": share(c("n_symbols"), c("n_chars")),
-        "bars": share(c("n_bars"), c("n_chars")),
-        "dup_lines": share(c("n_dup_lines"), c("n_lines")),
-        "repeats": share(c("n_repeat_words"), c("n_words")),
-        "distinct": share(c("n_distinct_words"), c("n_words")),
-        "log_line": F.log1p(share(c("n_words"), c("n_lines"))),
-        "common": F.lit(1.0) - share(c("common")[len(COMMON)].cast("double"), F.aggregate("common", F.lit(0.0), lambda s, x: s + x)),
-    }
-    return out | {k: share(c("chars")[CLASSES.index(k)], c("n_chars")) for k in ("lower", "upper", "digit", "space", "stop", "mark", "beyond")}
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """FEATURES of every row of texts."""
+    p = profile(data, offsets)
+    share = lambda a, b: a / np.where(b > 0, b, 1) * (b > 0)
+    words, chars, lines = p["n_words"], p["n_chars"], p["n_lines"]
+    common = common_counts(data, offsets, [VOCABULARY], np.zeros(len(offsets) - 1, int), len(COMMON))
+    columns = [np.log1p(words), share(p["word_chars"], words), share(p["n_symbols"], chars), share(p["n_bars"], chars), share(p["n_dup_lines"], lines), share(p["n_repeat_words"], words)]
+    columns += [share(p["n_distinct_words"], words), np.log1p(share(words, lines)), 1 - share(common[:, -1], common.sum(axis=1))]
+    return np.stack(columns + [share(p["chars"][:, CLASSES.index(k)], chars) for k in SHARES], axis=1).astype(float)
 
 
 @dataclass
@@ -149,13 +144,20 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, coarse: int = 8, rounds
 def taught_model(texts: DataFrame, labels: DataFrame, sample: int) -> Additive:
     """The model fitted on labelled rows of ``texts`` (doc_id, text), of ``sample`` ids at most; only their texts are looked at. Of rows
     that repeat an id that with the smallest hash of its text counts."""
-    named = list(features().values())
     taught = labels.where("doc_id is not null and y is not null").where(crc_of_id(F.col("doc_id")) % 3 != 1).groupBy("doc_id").agg(F.max("y").alias("y"))
     # At most ``sample`` pairs of numbers: a broadcast of known size.
     taught = F.broadcast(taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = profiles(texts.withColumn("h", F.xxhash64("text")).join(taught, "doc_id"), ["doc_id", "y", "h"]).select("doc_id", "y", "h", F.array(*named).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, data, offsets in slices(batch.column("text")):
+                x = features(data, offsets)
+                places = pa.array(np.arange(end - start + 1, dtype=np.int32) * x.shape[1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in ("doc_id", "y", "h")), pa.ListArray.from_arrays(places, pa.array(x.ravel()))], names=["doc_id", "y", "h", "x"])
+
+    rows = small_batches(texts.withColumn("h", F.xxhash64("text")).join(taught, "doc_id").select("doc_id", "y", "h", "text")).mapInArrow(run, "doc_id long, y int, h long, x array<double>")
     rows = rows.groupBy("doc_id", "y").agg(F.min_by("x", "h").alias("x")).toPandas().sort_values("doc_id", kind="stable")
-    return fit(np.array(rows["x"].tolist(), float).reshape(len(rows), len(named)), rows["y"].to_numpy(float))
+    return fit(np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(float))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -163,7 +165,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     Labels are learnt only from ids whose crc32(id as text) mod 3 is not 1; those with remainder 1 are held_out. Of several
     labels of an id the largest counts; null ids and labels are left out. Null and empty texts are scored like any other, by
-    features that are all 0. Ids may be null or repeat; a null id counts as the empty text. With no labels at all the score is
+    features that are all 0; very long ones are read whole. Ids may be null or repeat; a null id counts as the empty text. With no labels at all the score is
     0.5. With ``keep``, the result is these columns of the rows with a score of 0.5 or more. Other columns are not read and may
     have any name. An empty table gives an empty result.
     """
@@ -171,17 +173,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     carried = [f"keep_{i}" for i in range(len(keep))]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *there)
     model = taught_model(texts.select("doc_id", "text"), labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")), sample)
-    named = list(features().values())
-    width, names = len(named), ["doc_id", *carried]
+    names = ["doc_id", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column("x").flatten().to_numpy().reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(model.scores(values))], names=[*names, "score"])
+            for start, end, data, offsets in slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in names), pa.array(model.scores(features(data, offsets)))], names=[*names, "score"])
 
-    found = profiles(texts, names).select(*names, F.array(*named).alias("x"))
-    schema = T.StructType([T.StructField(k, found.schema[k].dataType) for k in names]).add("score", T.DoubleType())
-    scored = found.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(k, texts.schema[k].dataType) for k in names]).add("score", T.DoubleType())
+    scored = small_batches(texts.select(*names, "text")).mapInArrow(run, schema)
     if keep:
         return scored.where("score >= 0.5").select(*back)
     return scored.select("doc_id", (crc_of_id(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

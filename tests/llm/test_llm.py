@@ -192,7 +192,7 @@ def test_nulls_ties_repeats_long_texts_and_clashing_columns(spark, name):
 
 
 def test_pipeline_stages_keep_the_columns(spark):
-    import corpus_pipeline
+    from parley.llm import pipeline as corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs.count()
@@ -225,7 +225,7 @@ def test_urls_with_nulls_repeats_long_texts_and_clashing_columns(spark):
 
 
 def test_filters_of_the_pipeline_drop_what_their_operators_reject(spark):
-    import corpus_pipeline
+    from parley.llm import pipeline as corpus_pipeline
 
     docs, labels = (spark.read.parquet(f"{SF}/{k}.parquet") for k in ("documents", "labels"))
     scored = {r.doc_id for r in quality_scores(docs, labels).where("predicted = 1").collect()}
@@ -236,7 +236,7 @@ def test_filters_of_the_pipeline_drop_what_their_operators_reject(spark):
 
 
 def test_rules_reject_texts_by_word_distance_alone(spark):
-    import corpus_pipeline
+    from parley.llm import pipeline as corpus_pipeline
 
     rng = random.Random(5)
     common = {"en": "the of and to in is that for was with".split(), "de": "der die und den von zu mit nicht ein eine".split()}
