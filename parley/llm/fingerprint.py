@@ -112,16 +112,14 @@ def sketches(texts: list[bytes]) -> np.ndarray:
 
 def _sketch(data: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
     names, of = [], []
-    last: np.ndarray | None = None
+    done = np.zeros(len(rows) - 1, bool)  # rows that were one name on a level before: other rows of the batch may go on
     for level, (found, cuts) in enumerate(levels(data, rows), 1):
         row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        if level >= LOWEST:
-            names.append(found)
-            of.append(row)
-        elif last is None:  # rows that are one name already on a lower level
-            alone = (np.diff(cuts) == 1)[row]
-            names.append(found[alone])
-            of.append(row[alone])
+        alone = np.diff(cuts) <= 1
+        counts = (~done if level >= LOWEST else alone)[row]
+        names.append(found[counts])
+        of.append(row[counts])
+        done |= alone
     value, row = mixed(np.concatenate(names)), np.concatenate(of)
     slot = row * SLOTS + (value % np.uint64(SLOTS)).astype(np.int64)
     order = np.lexsort((value, slot))
