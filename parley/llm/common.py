@@ -1,4 +1,4 @@
-"""What the training-data operators share: the shared folder, and text kernels that work on whole Arrow batches.
+"""What the training-data operators share: staged tables, and text kernels that work on whole Arrow batches.
 
 The kernels treat the texts of a batch as one byte array, so their cost is a few numpy passes over the bytes instead of
 Python work per word. Null texts count as empty. A slice of a batch holds about ``SLICE_BYTES`` of text, or one text if that
@@ -8,15 +8,15 @@ is longer, which bounds a task's memory.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.store import stage  # noqa: F401 - the operators take it from here
+
 SLICE_BYTES = 1 << 18
 #: Rows of whole texts, and bytes, in one Arrow batch, at most (a single longer text is a batch of its own).
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 24
@@ -25,17 +25,6 @@ BROADCAST_ROWS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset a local session gets one of its own;
-    on a cluster that is an error, since a machine's own folder is not shared."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"{tempfile.gettempdir()}/checkpoints"
-    return folder.rstrip("/")
-
-
 def small_batches(docs: DataFrame) -> DataFrame:
     """``docs``, in a session whose Arrow batches hold BATCH_ROWS rows and BATCH_BYTES bytes at most, as ten thousand whole texts are
     too many for a task. Results are lazy and Spark reads these settings when it plans them, so they stay set in the session."""
@@ -47,13 +36,6 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost no rework."""
-    path = f"{shared_folder(df.sparkSession)}/parley-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_staged(*tables: DataFrame) -> None:
     """Delete staged tables that no later result reads."""
     for table in tables:
@@ -217,4 +199,6 @@ def by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(mapped, schema)
+    # A fixed number of partitions: groups are small in bytes but not in work, and Spark merges partitions by their bytes.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(mapped, schema)

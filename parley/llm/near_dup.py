@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import bounded, by_group, drop_staged, LOWERED, mixed, slices, small_batches, stage, window_hashes, word_hashes, WORDLIKE
-from parley.llm.components import components
+from parley.operators.graph import components
 
 #: Nodes of a bucket, and nodes or shingles of a family, that one group handles (a single larger set is a block of its own).
 PART, BLOCK, BLOCK_SHINGLES = 1024, 160, 1 << 20
@@ -211,7 +211,7 @@ def _families(signed: DataFrame, small: DataFrame, bands: int, rows: int, tolera
 def _by_blocks(left: DataFrame, small: DataFrame, tolerance: float) -> DataFrame:
     """Links between leaders that no further leader covers, for every pair of parts of a bucket."""
     n = left.groupBy("bucket").agg(F.count("*").alias("n"))
-    dealt = left.join(stage(n, "left"), "bucket").withColumn("parts", F.ceil(F.col("n") / PART)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = left.join(stage(n, "left"), "bucket").withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     pairs = dealt.join(small, "node").select("bucket", "node", "sig", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     pairs = pairs.select("bucket", F.least("part", "other").alias("part"), F.greatest("part", "other").alias("other"), "node", "sig")
     return by_group(pairs, ["bucket", "part", "other"], _cover(tolerance, last=True), "a long, b long, bucket long").select("a", "b")
