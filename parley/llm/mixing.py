@@ -25,6 +25,8 @@ from parley.llm.profile import kept_columns
 DIMENSIONS = ("source", "lang", "topic")
 #: Pairs of language and topic that the driver may hold.
 MOST_KINDS = 20_000
+#: With a bound: the most that factors differ by, however far targets are out of reach.
+SPREAD = 1e5
 
 
 def token_weight(text: Column) -> Column:
@@ -77,14 +79,18 @@ def _shares(by_source: DataFrame, factors: list[float], budget: float | None) ->
         share = F.col("c.own") * F.col("c.by") * F.col("factor")
     else:
         most = F.lit(1.0 / budget)
-        start = F.struct(F.lit(0.0).alias("held"), free.alias("free"))
+        start = F.struct(F.lit(0.0).alias("held"), free.alias("free"), F.lit(0).alias("full"))
 
         def filled(s: Column, c: Column) -> Column:
             full = (F.col("target") - s["held"]) * c["by"] >= most * s["free"]
-            return F.struct((s["held"] + F.when(full, most * c["own"]).otherwise(0.0)).alias("held"), (s["free"] - F.when(full, c["own"] * c["by"]).otherwise(0.0)).alias("free"))
+            more = F.struct((s["held"] + most * c["own"]).alias("held"), (s["free"] - c["own"] * c["by"]).alias("free"), (s["full"] + 1).alias("full"))
+            return F.when(full, more).otherwise(s)
 
         placed = placed.withColumn("s", F.aggregate("cells", start, filled))
-        placed = placed.withColumn("factor", F.when(F.col("s.free") > 1e-15, F.greatest(F.lit(0.0), F.col("target") - F.col("s.held")) / F.col("s.free")).otherwise(F.lit(1e300)))
+        # summed again, since little is left of a difference where most cells are full
+        rest = F.aggregate(F.slice("cells", F.col("s.full") + 1, F.size("cells")), F.lit(0.0), lambda s, c: s + c["own"] * c["by"])
+        placed = placed.withColumn("rest", rest)
+        placed = placed.withColumn("factor", F.when(F.col("rest") > 0, F.greatest(F.lit(0.0), F.col("target") - F.col("s.held")) / F.col("rest")).otherwise(F.lit(1e300)))
         share = F.col("c.own") * F.least(most, F.col("c.by") * F.col("factor"))
     placed = placed.select("source", "factor", F.explode("cells").alias("c"))
     return placed.select("source", "c.kind", share.alias("share"))
@@ -96,7 +102,8 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], *,
 
     A round scales to the sources, the languages and the topics; sources come once more at the end, so their marginals hold, the
     others as near as the rounds bring them. Rounds end once the change is below ``tolerance``, after ``rounds`` at most. Cells
-    without tokens do not occur. With ``budget`` no share exceeds the cell's own share of all tokens over the budget.
+    without tokens do not occur. With ``budget`` no share exceeds the cell's own share of all tokens over the budget; as targets may
+    be out of reach together, the round that comes nearest to those of languages and topics counts.
     """
     kinds = cells.select("lang", "topic").distinct().limit(MOST_KINDS + 1).collect()
     if len(kinds) > MOST_KINDS:
@@ -115,19 +122,29 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], *,
     by_source = stage(by_source.join(goals["source"].select("source", "target"), "source"), "by_source")
     goals = {d: {r[d]: r["target"] for r in goals[d].select(d, "target").collect()} for d in ("lang", "topic")}
     factors, moved = [1.0] * len(kinds), 0.0
+    best = float("inf"), factors
     for _ in range(rounds):
         sums = {r["kind"]: r["sum"] for r in _shares(by_source, factors, budget).groupBy("kind").agg(F.sum("share").alias("sum")).collect()}
+        off = 0.0
+        for at, d in enumerate(("lang", "topic")):
+            short = dict(goals[d])
+            for i, k in enumerate(kinds):
+                short[k[at]] -= sums[i]
+            off += sum(map(abs, short.values()))
+        best = min(best, (off, factors), key=lambda x: x[0])
         up = [1.0] * len(kinds)
         for at, d in enumerate(("lang", "topic")):
-            held: dict[str, float] = {}
+            held = dict.fromkeys(goals[d], 0.0)
             for i, k in enumerate(kinds):
-                held[k[at]] = held.get(k[at], 0.0) + sums[i] * up[i]
+                held[k[at]] += sums[i] * up[i]
             up = [u * (goals[d][k[at]] / held[k[at]] if held[k[at]] > 0 else 1.0) for u, k in zip(up, kinds, strict=True)]
         factors = [f * u for f, u in zip(factors, up, strict=True)]
+        if budget is not None:  # the sources' factors make up for a common one; out of reach, factors would part for ever
+            factors = [max(f / max(factors), 1 / SPREAD) for f in factors]
         moved = max(abs(u - 1) for u in up)
         if moved < tolerance:
             break
-    found = _shares(by_source, factors, budget).join(F.broadcast(numbers), "kind")
+    found = _shares(by_source, factors if budget is None else best[1], budget).join(F.broadcast(numbers), "kind")
     return found.select(*DIMENSIONS, "share"), moved
 
 

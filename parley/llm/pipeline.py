@@ -21,7 +21,7 @@ from parley.llm.quality_rules import quality_rules
 from parley.llm.queries import SEED, table, WANTED
 
 #: The share of tokens that the mix draws from what is left, and its rounds at most.
-BUDGET, ROUNDS = 0.8, 60
+BUDGET, ROUNDS = 0.8, 24
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
