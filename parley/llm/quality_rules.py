@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import stage
-from parley.llm.license_scan import lowered, words_of
+from parley.llm.common import _BYTES as BYTE_POWERS
+from parley.llm.common import LOWERED, mixed, slices, small_batches, span_hashes, spans, stage, WORDLIKE
 from parley.llm.profile import CLASSES, kept_columns, profiles
 
 
@@ -66,9 +66,43 @@ def _grouped(docs: DataFrame, min_documents: int, most_languages: int) -> DataFr
     return docs.join(F.broadcast(own), "lang", "left").withColumn("group", F.coalesce("own", F.lit(""))).drop("own")
 
 
+#: Words that a task counts before it gives them on.
+HELD_WORDS = 200_000
+
+
+def _held_by_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, word, n): how many texts (group, text) hold a word, summed over what a task has seen since it last gave counts on."""
+    held: dict[tuple[str, bytes], int] = {}
+
+    def given() -> pa.RecordBatch:
+        columns = [pa.array([g for g, _ in held]), pa.array([w.decode() for _, w in held]), pa.array(list(held.values()), pa.int64())]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["group", "word", "n"])
+
+    for batch in batches:
+        groups = np.array(batch.column("group").to_pylist(), object)
+        for start, end, data, offsets in slices(batch.column("text")):
+            text = LOWERED[data]
+            starts, ends, rows = spans(text, offsets, WORDLIKE)
+            words = span_hashes(text.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_POWERS)
+            row = np.repeat(np.arange(end - start), np.diff(rows))
+            _, once = np.unique(mixed(words + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
+            of, raw = groups[start:end][row[once]], text.tobytes()
+            for g in set(of.tolist()):
+                mine = once[of == g]
+                _, at, counts = np.unique(words[mine], return_index=True, return_counts=True)
+                for k, n in zip(mine[at].tolist(), counts.tolist(), strict=True):
+                    key = g, raw[starts[k] : ends[k]]
+                    held[key] = held.get(key, 0) + n
+            if len(held) > HELD_WORDS:
+                yield given()
+    if held:
+        yield given()
+
+
 def common_words(docs: DataFrame, n: int) -> dict[str, list[str]]:
     """The ``n`` words that most texts (group, text) of each group hold, of equals the first by their letters."""
-    counts = docs.select("group", F.explode(F.array_distinct(words_of(lowered(F.col("text"))))).alias("word")).groupBy("group", "word").agg(F.count("*").alias("n"))
+    counts = small_batches(docs.select("group", "text")).mapInArrow(_held_by_texts, "group string, word string, n long").groupBy("group", "word").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= n)
     found: dict[str, list[str]] = {r["group"]: [] for r in docs.select("group").distinct().collect()}  # most_languages and one, at most
     for r in sorted(ranked.select("group", "rank", "word").collect(), key=lambda r: r["rank"]):
