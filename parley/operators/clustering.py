@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -29,10 +31,15 @@ def leaf_count(n: int, *, mode: str = "auto", requested: int = 20, target_size:
     return max(1, min(bounded, n)), bounded
 
 
-def kmeans(points: DataFrame, k: int, *, seed: int = 42, starts: int = 10, vector: str = "v") -> DataFrame:
-    """Adds label by the best of ``starts`` runs of k-means; there may be fewer than k clusters."""
-    held = stage(points, "points").withColumn("parley_v", array_to_vector(vector)) if starts > 1 else points.withColumn("parley_v", array_to_vector(vector))
-    models = [KMeans(k=max(2, k), seed=seed + i, featuresCol="parley_v", predictionCol="label").fit(held) for i in range(starts)]
+def kmeans(points: DataFrame, k: int, *, seed: int = 42, starts: int = 10, vector: str = "v", at_once: int = 5) -> DataFrame:
+    """Adds label by the best of ``starts`` runs of k-means, ``at_once`` of them at a time; there may be fewer than k clusters."""
+    held = (stage(points, "points") if starts > 1 else points).withColumn("parley_v", array_to_vector(vector))
+
+    def fitted(i: int):
+        return KMeans(k=max(2, k), seed=seed + i, featuresCol="parley_v", predictionCol="label").fit(held)
+
+    with ThreadPool(max(1, min(at_once, starts))) as pool:
+        models = pool.map(inheritable_thread_target(points.sparkSession)(fitted), range(starts), chunksize=1)
     best = min(models, key=lambda m: m.summary.trainingCost)
     out = best.transform(held).drop("parley_v")
     return out.withColumn("label", F.lit(0)) if k == 1 else out

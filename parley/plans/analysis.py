@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.operators import clustering, conversations, hierarchy, providers, runs
-from parley.plans import _FACETS, _LABELS, extracted, messages, points, query, source_labels, table
+from parley.operators import clustering, conversations, hierarchy, privacy, providers, runs, visuals
+from parley.plans import _AUDITS, _FACETS, _LABELS, _TREE, audits, extracted, messages, points, query, source_labels, table, tree
 
 #: The rule by which the offline provider rates 1.
 _CONTACT = r"[\w.+-]+@[\w-]+\.[\w.]+|\+?\d[\d ().-]{7,}\d"
@@ -102,3 +102,13 @@ def embedding_resume(spark, sf_dir):
     saved = d.where("vec_id % 2 = 0").select("vec_id", mark, F.array(F.lit(9.0)).alias("v"))
     found = providers.embedded_rest(d, "vec_id", "text", saved)
     return found.join(d, "vec_id").select("vec_id", F.md5("text").alias("mark"), (F.size("v") == 1).alias("saved"))
+
+
+@query(f"""WITH {_AUDITS}, {_TREE} SELECT 'map' AS part, unnest(['points', 'kept', 'filtered']) AS name, unnest([count(*)::DOUBLE, count(*) FILTER (vec_id % 3 = 0)::DOUBLE, count(*) FILTER (vec_id % 3 <> 0)::DOUBLE]) AS value FROM embeddings
+ UNION ALL SELECT 'hierarchy', unnest(['leaves', 'levels', 'roots']), unnest([(SELECT count(*) FROM leaf)::DOUBLE, 3.0::DOUBLE, (SELECT count(*) FROM top)::DOUBLE])
+ UNION ALL SELECT 'privacy', stage, round(count(*) FILTER (rating >= 3) / count(*), 6)::DOUBLE FROM a GROUP BY stage
+ UNION ALL SELECT 'evaluation', 'labels', 0.75::DOUBLE""")
+def visuals_payload(spark, sf_dir):
+    shown = points(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 3 == 0, True).alias("kept_by_threshold"))
+    evaluation = spark.createDataFrame([("labels", 0.75)], "representation string, accuracy double")
+    return visuals.payload(shown, *tree(spark, sf_dir), privacy.summary(audits(spark, sf_dir)), evaluation)
