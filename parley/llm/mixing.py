@@ -27,6 +27,8 @@ DIMENSIONS = ("source", "lang", "topic")
 MOST_KINDS = 20_000
 #: With a bound: the most that factors differ by, however far targets are out of reach.
 SPREAD = 1e5
+#: With a bound: rounds without coming nearer to the targets, after which no more are tried.
+IDLE = 3
 
 
 def token_weight(text: Column) -> Column:
@@ -122,7 +124,7 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], *,
     by_source = stage(by_source.join(goals["source"].select("source", "target"), "source"), "by_source")
     goals = {d: {r[d]: r["target"] for r in goals[d].select(d, "target").collect()} for d in ("lang", "topic")}
     factors, moved = [1.0] * len(kinds), 0.0
-    best = float("inf"), factors
+    best, idle = (float("inf"), factors), 0
     for _ in range(rounds):
         sums = {r["kind"]: r["sum"] for r in _shares(by_source, factors, budget).groupBy("kind").agg(F.sum("share").alias("sum")).collect()}
         off = 0.0
@@ -131,7 +133,13 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], *,
             for i, k in enumerate(kinds):
                 short[k[at]] -= sums[i]
             off += sum(map(abs, short.values()))
+        if budget is not None and off > best[0] * (1 - 1e-3) + 1e-12:
+            idle += 1
+        else:
+            idle = 0
         best = min(best, (off, factors), key=lambda x: x[0])
+        if idle >= IDLE:
+            break
         up = [1.0] * len(kinds)
         for at, d in enumerate(("lang", "topic")):
             held = dict.fromkeys(goals[d], 0.0)
