@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import fingerprint, language_id, license_scan, mixing, near_dup, packing, quality_gam, quality_rules, token_count, url_filter
+from parley.llm import fill_middle, filter_audit, fingerprint, histogram_packing, language_id, license_scan, mixing, near_dup, packing, quality_gam, quality_rules, token_count, url_filter
 from parley.llm.profile import CLASSES, SYMBOLS
 
 #: Rules of the url query.
@@ -71,9 +71,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("mark")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=42)
+    return made.withColumn("d", fill_middle.digests(F.col("output"), F.col("form"))).drop("output").select("*", "d.*").drop("d")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_license_scan, op2_quality_rules, op3_best_fit_packing, op4_fingerprints, op5_quality_classifier]
     own += [op6_near_duplicates, op7_token_counts, op8_source_mix, op9_url_filters, op10_language_id]
+    own += [op11_filter_audit, op12_histogram_packing, op13_fill_in_middle]
     return {f.__name__: f for f in own}
 
 
@@ -199,7 +213,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM d LEFT JOIN q USING (grp)"""
 
 
+def audit_sql() -> str:
+    fails = {f: f"(m >> {i}) & 1 = 1" for i, f in enumerate(filter_audit.FILTERS)}
+    letters = ", ".join(f"('{f}', {1 << i})" for i, f in enumerate(fails))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^ 	-]+') AS ws, doc_id > min(doc_id) OVER (PARTITION BY x) AS again FROM d),
+m AS (SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN again THEN 16 ELSE 0 END AS m FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT * FROM (VALUES {letters}) AS t(f, bit)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f AS a, f AS b, f AS c, f AS d, f AS e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step::INTEGER AS step, f AS filter, bit, (SELECT coalesce(sum(g.bit), 0) FROM f AS g WHERE strpos(filter_order, g.f) < step)::BIGINT AS before
+      FROM o, range(1, 6) AS r(step) JOIN f ON f = substr(filter_order, step, 1)),
+p AS (SELECT DISTINCT part FROM c),
+e AS (SELECT part, filter_order, step, filter,
+             coalesce(sum(n) FILTER (m & (bit | before) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (m & bit > 0 AND m & before = 0), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (m & bit > 0 AND m & before > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (m = bit), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (m & bit > 0 AND m & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (m & bit > 0 AND m & before = 0), 0)::BIGINT AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT *, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM e"""
+
+
+def middle_sql() -> str:
+    number = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+    part = lambda a, b: f"coalesce(array_to_string(u[{a} : {b}], ''), '')"
+    p, s, m = fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(x, '[ 	-]*[^ 	-]+|[ 	-]+') AS u FROM d),
+n AS (SELECT *, len(u)::BIGINT AS n, {number(0)} % (len(u) + 1) AS a, {number(1)} % (len(u) + 1) AS b,
+             CASE WHEN x = '' OR contains(x, '{p}') OR contains(x, '{s}') OR contains(x, '{m}') OR {number(2)} % 100 >= 50 THEN 'plain' WHEN {number(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, {part(1, "least(a, b)")} AS prefix, {part("least(a, b) + 1", "greatest(a, b)")} AS middle, {part("greatest(a, b) + 1", "n")} AS suffix FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op2_quality_rules": rules_sql(), "op8_source_mix": mix_sql(), "op9_url_filters": url_sql()}
+    return {"op11_filter_audit": audit_sql(), "op13_fill_in_middle": middle_sql(), "op1_license_scan": license_sql(), "op2_quality_rules": rules_sql(), "op8_source_mix": mix_sql(), "op9_url_filters": url_sql()}
 
 
