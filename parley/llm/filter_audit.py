@@ -28,8 +28,8 @@ from parley.llm.common import stage
 FILTERS = "ABCDE"
 #: Text that the chains of an input partition hold, at most (or one text if that is longer).
 CHAIN_BYTES = 1 << 26
-#: Partitions of fingerprints for each input partition: an input partition may hold some times its file's bytes in text.
-SPREAD = 2
+#: Text that a partition of fingerprints holds, about, if no two texts are equal.
+PART_BYTES = 1 << 26
 UPPER, SIGNS = bytes(range(65, 91)), b"#$%&*|"
 
 
@@ -115,9 +115,10 @@ def masks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     null id is larger than all others. Null texts are empty, and null parts the part ''.
     """
     fill = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fill(part_col).alias("part"), fill(text_col).alias("text")).rdd
-    most = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), SPREAD * rows.getNumPartitions())
-    found = rows.mapPartitions(_local).partitionBy(most, lambda key: key).mapPartitions(_over_all)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fill(part_col).alias("part"), fill(text_col).alias("text"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    most = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    found = rows.rdd.mapPartitions(_local).partitionBy(most, lambda key: key).mapPartitions(_over_all)
     return docs.sparkSession.createDataFrame(found, "doc_id long, part string, mask int, n long")
 
 
