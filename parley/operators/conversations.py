@@ -60,21 +60,23 @@ def enriched(conversations: DataFrame, facets: DataFrame, assignments: DataFrame
 
 
 def _ranged(df: DataFrame, order: str) -> DataFrame:
-    """Adds parley_range: the rank of a range of the numeric column ``order`` that holds about an equal part of the rows."""
+    """Adds parley_range: the rank of a range of the numeric column ``order`` that holds about an equal part of the rows; nulls and NaN come last."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = df.select(F.col(order).cast("double").alias("at"))
     cuts = at.stat.approxQuantile("at", [i / parts for i in range(1, parts)], 0.5 / parts) if parts > 1 else []
     splits = [float("-inf"), *sorted({0.0, *cuts}), float("inf")]
-    return Bucketizer(splits=splits, inputCol="parley_at", outputCol="parley_range").transform(df.withColumn("parley_at", F.col(order).cast("double"))).drop("parley_at")
+    ranged = Bucketizer(splits=splits, inputCol="parley_at", outputCol="parley_range", handleInvalid="keep").transform(df.withColumn("parley_at", F.col(order).cast("double"))).drop("parley_at")
+    return ranged.withColumn("parley_range", F.coalesce("parley_range", F.lit(float(len(splits)))))
 
 
 def numbered_within(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds parley_n: the number of a row, from 1, among those with its ``keys`` by the numeric column ``order``.
+    """Adds parley_n: the number of a row, from 1, among those with its ``keys`` by the numeric column ``order``, rows without
+    an order after all others (and among themselves in no order). Null keys are a key.
 
     Rows are counted within ranges of values, and then over the counts of the ranges, so no task sees all rows of a key.
     """
     ranged = _ranged(df, order)
-    ranged = ranged.withColumn("parley_n", F.row_number().over(Window.partitionBy(*keys, "parley_range").orderBy(order)))
+    ranged = ranged.withColumn("parley_n", F.row_number().over(Window.partitionBy(*keys, "parley_range").orderBy(F.col(order).asc_nulls_last())))
     counts = ranged.groupBy(*[F.col(k).alias(f"parley_{k}") for k in keys], F.col("parley_range").alias("parley_at")).agg(F.count("*").alias("parley_rows"))
     own = Window.partitionBy(*[f"parley_{k}" for k in keys]).orderBy("parley_at")  # as many rows of a key as there are ranges
     before = counts.withColumn("parley_before", F.sum("parley_rows").over(own) - F.col("parley_rows")).drop("parley_rows")

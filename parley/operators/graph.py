@@ -14,7 +14,7 @@ MAX_ROUNDS = 100
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b: long); the component is its smallest node.
 
-    Each round hands every node its neighbours' smallest label, then the label of its label, so that chains shorten by half.
+    Each round hands every node the smallest of its neighbours' labels and of its label's label, so that chains shorten by half.
     Labels and edges are written to the shared folder; hubs meet in joins that Spark splits and in sums made before the shuffle.
     Self-loops make a node known. Null ends are left out.
     """
@@ -23,12 +23,28 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
         near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("low"))
-        lower = stage(lower, "lower")
-        of = lower.select(F.col("node").alias("low"), F.col("low").alias("beyond"))
-        labels = stage(lower.join(of, "low", "left").select("node", F.least("low", "beyond").alias("next"), "label"), "labels")
-        changed = labels.where("next <> label").limit(1).count()
-        labels = labels.select("node", F.col("next").alias("label"))
+        of = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        lower = labels.join(near, "node", "left").join(of, "label", "left").select("node", F.least("near", "beyond", "label").alias("low"), "label")
+        lower = stage(lower, "labels")
+        changed = lower.where("low <> label").limit(1).count()
+        labels = lower.select("node", F.col("low").alias("label"))
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
+
+
+def roots(pointers: DataFrame) -> DataFrame:
+    """(node, component) of pointers (node, to): where following them ends; two nodes that point to each other end at the smaller.
+
+    Every node has one pointer, and there are no other cycles. Pointers are doubled, so rounds grow as the logarithm of the chains.
+    """
+    back = pointers.select(F.col("node").alias("to"), F.col("to").alias("back"))
+    held = pointers.join(back, "to", "left").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to")).alias("to"))
+    held = stage(held, "pointers")
+    for _ in range(MAX_ROUNDS):
+        on = held.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+        new = stage(held.join(on, "to").select("node", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")), "pointers")
+        held = new.select("node", "to")
+        if not new.where("moved").limit(1).count():
+            return held.select("node", F.col("to").alias("component"))
+    raise RuntimeError(f"pointers still move after {MAX_ROUNDS} rounds")
