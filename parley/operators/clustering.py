@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
@@ -13,13 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.conversations import batches, joined_or_error, numbered_within
-from parley.operators.graph import components
-from parley.operators.vectors import assigned, centroids
+from parley.operators.density import core_distances, density  # noqa: F401 - a clustering like the others
+from parley.operators.splits import split_to
+from parley.operators.vectors import assigned, calinski_harabasz, centroids, davies_bouldin, silhouette
 from parley.sources.store import stage
 
-#: Points of a block, about: blocks meet in pairs.
-DENSITY_BLOCK = 1000
-
 
 def leaf_count(n: int, *, mode: str = "auto", requested: int = 20, target_size: int = 25, least: int = 20, most: int = 200) -> tuple[int, int | None]:
     """(k, auto target before the limit of n): a fixed number, or n over the target size between least and most."""
@@ -51,83 +48,6 @@ def bisecting(points: DataFrame, k: int, *, seed: int = 42, vector: str = "v") -
     return BisectingKMeans(k=k, seed=seed, featuresCol="parley_v", predictionCol="label").fit(held).transform(held).drop("parley_v")
 
 
-def _paired(points: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Points dealt to every pair of blocks (low, high) that their block is in; a pair holds at most about 2 * DENSITY_BLOCK points."""
-    n = max(1, -(-points.count() // DENSITY_BLOCK))
-    dealt = points.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return dealt.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", key, *columns)
-
-
-def _distances(frame, other, vector: str) -> np.ndarray:
-    a, b = (np.stack(x[vector].to_numpy()) for x in (frame, other))
-    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * (a @ b.T), 0))
-
-
-def core_distances(points: DataFrame, *, key: str = "vec_id", vector: str = "v", min_samples: int = 6) -> DataFrame:
-    """(key, core): the distance of each point to its ``min_samples``-th nearest point, itself the first.
-
-    All blocks of points meet in pairs; of each pair a point keeps its ``min_samples`` smallest distances.
-    """
-    dealt = _paired(points.select(key, vector), key, vector)
-    kind = points.schema[key].dataType.simpleString()
-
-    def run(frame):
-        import pandas as pd
-
-        low = frame["low"].iloc[0]
-        sides = [(frame, frame)] if low == frame["high"].iloc[0] else [(frame[frame["block"] == low], frame[frame["block"] != low])]
-        out = []
-        for a, b in sides + [(b, a) for a, b in sides if a is not b]:
-            if len(a) and len(b):
-                k = min(min_samples, len(b))
-                near = np.partition(_distances(a, b, vector), k - 1, axis=1)[:, :k]
-                out.append(pd.DataFrame({key: np.repeat(a[key].to_numpy(), k), "d": near.ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({key: [], "d": []})
-
-    near = dealt.groupBy("low", "high").applyInPandas(run, f"{key} {kind}, d double")
-    return near.groupBy(key).agg(F.get(F.array_sort(F.collect_list("d")), F.lit(min_samples - 1)).alias("core"))
-
-
-def density(points: DataFrame, *, key: str = "vec_id", vector: str = "v", min_size: int = 12, min_samples: int = 6, reach: float | None = None) -> DataFrame:
-    """Adds label by density: points within ``reach`` of each other by mutual reachability - the largest of their distance and their
-    core distances - are linked, what links connect is a cluster if it has ``min_size`` points, and the rest is noise, -1.
-
-    Labels are numbered by the clusters' smallest keys (whole numbers). Without ``reach`` it is the upper fence of the core distances:
-    the upper quartile and one and a half times the distance of the quartiles. All points take part at every size; blocks of
-    points meet in pairs, which takes a number of distances that grows with the square of the points, and of each pair of blocks
-    no more links than points are kept.
-    """
-    if points.limit(min_samples).count() < min_samples:
-        raise ValueError("fewer points than min_samples")
-    core = stage(core_distances(points, key=key, vector=vector, min_samples=min_samples), "core")
-    if reach is None:
-        low, high = core.approxQuantile("core", [0.25, 0.75], 0.001)
-        reach = high + 1.5 * (high - low)
-    dense = points.select(F.col(key).cast("long").alias("node"), vector).join(core.where(F.col("core") <= reach).select(F.col(key).cast("long").alias("node")), "node")
-
-    def run(frame):
-        import pandas as pd
-
-        close = _distances(frame, frame, vector) <= reach
-        np.fill_diagonal(close, True)
-        root = np.arange(len(frame))
-        while True:  # the smallest place that each point reaches
-            low = np.where(close, root[None], len(frame)).min(axis=1)
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        ids = frame["node"].to_numpy()
-        return pd.DataFrame({"a": ids, "b": ids[root]})
-
-    links = _paired(dense, "node", vector).groupBy("low", "high").applyInPandas(run, "a long, b long")
-    found = components(links)
-    big = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size).select("component")
-    named = numbered_within(stage(big, "big"), [], "component").select("component", (F.col("parley_n") - 1).cast("int").alias("label"))
-    labels = found.join(named, "component").select(F.col("node").alias("parley_node"), "label")
-    return points.join(labels, F.col(key).cast("long") == F.col("parley_node"), "left").drop("parley_node").withColumn("label", F.coalesce("label", F.lit(-1)))
-
-
 def with_noise(points: DataFrame, policy: str, *, order: str = "vec_id", vector: str = "v") -> DataFrame:
     """Labels without -1. nearest: the nearest center's label; singleton: new labels after the largest, in order; drop: one more
     label for all noise, which keeps its rows. Without any cluster nearest becomes singleton."""
@@ -156,8 +76,13 @@ def largest(points: DataFrame) -> DataFrame:
 
 
 def fit(points: DataFrame, strategy: str, k: int, *, noise: str = "nearest", key: str = "vec_id", vector: str = "v", seed: int = 42, min_size: int = 12, min_samples: int = 6) -> tuple[DataFrame, dict]:
-    """(points with dense labels, report) by kmeans, density or hybrid; the report names what was done about noise, and why a strategy
-    fell back. Vectors must be there, finite and of one width."""
+    """(points with dense labels, report) by kmeans, density or hybrid: density clusters whose largest are split until there are ``k``, or plain
+    k-means where density finds fewer than two.
+
+    The report names what was asked for, the clusters and the noise that density found, what was done about noise, the splits, why
+    a strategy fell back, and three scores (null with one cluster; the silhouette is that of a sample). Vectors must be there,
+    finite and of one width.
+    """
     if strategy not in ("kmeans", "density", "hybrid") or noise not in ("nearest", "singleton", "drop"):
         raise ValueError("strategy is kmeans, density or hybrid; noise is nearest, singleton or drop")
     bad = F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
@@ -165,37 +90,27 @@ def fit(points: DataFrame, strategy: str, k: int, *, noise: str = "nearest", key
     if not seen["n"] or seen["bad"] or seen["low"] != seen["high"] or seen["low"] < 1:
         raise ValueError("vectors must be there, finite and of one width")
     k = max(1, min(k, seen["n"]))
-    report = {"strategy": strategy, "requested_k": k, "noise_policy": None, "noise": 0, "fallback": None}
+    report = {"strategy": strategy, "requested_k": k, "noise_policy": noise, "noise": 0, "raw_clusters": None, "splits": 0, "fallback": None}
     if strategy == "kmeans":
         found = kmeans(points, k, seed=seed, vector=vector)
-    elif strategy == "density":
+    else:
         raw = stage(density(points, key=key, vector=vector, min_size=min_size, min_samples=min_samples), "raw")
-        report["noise"] = raw.where("label < 0").count()
-        none = not raw.where("label >= 0").limit(1).count()
-        report["noise_policy"] = {"nearest": "nearest_with_singleton_fallback" if none else "nearest", "drop": "drop_bucket"}.get(noise, noise)
+        counted = raw.agg(F.count_if(F.col("label") < 0).alias("noise"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters")).first()
+        report |= {"noise": counted["noise"], "raw_clusters": counted["clusters"]}
+        report["noise_policy"] = {"nearest": "nearest" if counted["clusters"] else "nearest_with_singleton_fallback", "drop": "drop_bucket"}.get(noise, noise)
         found = with_noise(raw, noise, order=key, vector=vector)
-    else:
-        found, report["fallback"] = hybrid(points, k, key=key, vector=vector, seed=seed)
-        report["noise_policy"] = "nearest"
+        if strategy == "hybrid":
+            found, report["splits"] = split_to(stage(found, "dense"), k, key=key, vector=vector)
+            if found.select("label").distinct().limit(2).count() < min(2, k):
+                found, report["fallback"] = kmeans(points, k, seed=seed, vector=vector), "density found too few clusters"
     found = dense_labels(stage(found, "fitted"))
-    return found, report | {"effective_k": found.select("label").distinct().count()}
-
-
-def hybrid(points: DataFrame, k: int, *, key: str = "vec_id", vector: str = "v", seed: int = 42) -> tuple[DataFrame, str | None]:
-    """Density clusters with noise to the nearest, and bisecting until there are k; plain k-means if density finds fewer than two."""
-    found = stage(with_noise(density(points, key=key, vector=vector), "nearest", order=key, vector=vector), "dense")
-    n = found.select("label").distinct().count()
-    if n < min(2, k):
-        return kmeans(points, k, seed=seed, vector=vector), "density found too few clusters"
-    for step in range(max(0, k - n)):
-        sizes = largest(found).first()
-        if sizes["n"] < 2:
-            break
-        part = kmeans(found.where(F.col("label") == sizes["label"]).withColumnRenamed("label", "was"), 2, seed=seed + step + 1, starts=1, vector=vector)
-        split = part.where("label = 1").select(key)
-        found = found.join(split.withColumn("moved", F.lit(True)), key, "left").withColumn("label", F.when(F.col("moved"), F.lit(n + step)).otherwise(F.col("label"))).drop("moved")
-        found = stage(found, "split")
-    return found, None
+    scored = stage(found.select(F.col(key).alias("vec_id"), "label", F.col(vector).alias("v")), "scored")
+    report["effective_k"] = scored.select("label").distinct().count()
+    if report["raw_clusters"] is None:
+        report["raw_clusters"] = report["effective_k"]
+    for name, score in (("silhouette", silhouette), ("davies_bouldin", davies_bouldin), ("calinski_harabasz", calinski_harabasz)):
+        report[name] = score(scored).first()["score"] if report["effective_k"] > 1 else None
+    return found, report
 
 
 def members(assignments: DataFrame, order: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.sources.store import stage
+
 
 def assemble(messages: DataFrame) -> DataFrame:
     """conversation_id and messages (role, content) in turn order, from rows (conv_id, turn, role, text)."""
@@ -92,6 +94,37 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return numbered_within(df, [], order).withColumn("batch", F.floor((F.col("parley_n") - 1) / size)).drop("parley_n")
 
 
+def ordinals(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Adds parley_n, the place of each row from 0: by ``order``, or as the rows stand if it is left out. No task sees more than its part.
+
+    Rows are written down with the number of their part and their place in it; parts are few, and their sizes give where each begins.
+    """
+    held = stage((df.orderBy(*order) if order else df).withColumn("parley_at", F.monotonically_increasing_id()), "ordered")
+    part, place = F.shiftright("parley_at", 33), F.col("parley_at").bitwiseAND((1 << 33) - 1)
+    sizes = held.groupBy(part.alias("parley_part")).agg(F.count("*").alias("n")).orderBy("parley_part").collect()
+    starts, before = [], 0
+    for r in sizes:
+        starts.append((r["parley_part"], before))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(starts, "parley_part long, parley_start long")
+    out = held.withColumn("parley_part", part).join(F.broadcast(table), "parley_part")
+    return out.withColumn("parley_n", F.col("parley_start") + place).drop("parley_at", "parley_part", "parley_start")
+
+
+def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The n-th row of ``left`` beside the n-th of ``right``, as rows stand: position, and the columns of both, of unlike names. Unequal lengths
+    are an error. The sides meet in one shuffle, by position."""
+    side = lambda df, this, other: ordinals(df).select(F.col("parley_n").alias("position"), F.struct(*df.columns).alias(this), F.lit(None).cast(other_type(other)).alias("parley_other"))
+    other_type = lambda df: df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
+    a = side(left, "a", right).withColumnRenamed("parley_other", "b")
+    b = side(right, "b", left).withColumnRenamed("parley_other", "a")
+    lengths = [d.count() for d in (a, b)]
+    if lengths[0] != lengths[1]:
+        raise ValueError(f"{lengths[0]} rows cannot be paired with {lengths[1]}")
+    met = a.unionByName(b).groupBy("position").agg(F.first("a", True).alias("a"), F.first("b", True).alias("b"))
+    return met.select("position", "a.*", "b.*")
+
+
 def reconcile(expected: DataFrame, returned: DataFrame, key: str) -> DataFrame:
     """(key, status) of what a batch gave back: ok, duplicate, unexpected or missing."""
     got = returned.groupBy(key).agg(F.count("*").alias("n"))
@@ -115,14 +148,14 @@ def lead_sample(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("rank") <= n)
 
 
-def audit_text(stage: str, df: DataFrame) -> DataFrame:
+def audit_text(kind: str, df: DataFrame) -> DataFrame:
     """(stage, id, content) of what an auditor reads: raw transcripts, facets or clusters."""
     content = {
         "raw_conversation": lambda: transcript(F.col("messages")),
         "facet_summary": lambda: F.concat(F.lit("summary="), "summary", F.lit("\ntask="), "task", F.lit("\nlanguage="), "language", F.lit("\nturn_count="), F.col("turn_count").cast("string")),
         "cluster_summary": lambda: F.concat("name", F.lit(": "), "description"),
-    }[stage]()
-    return df.select(F.lit(stage).alias("stage"), F.col(df.columns[0]).cast("string").alias("id"), content.alias("content"))
+    }[kind]()
+    return df.select(F.lit(kind).alias("stage"), F.col(df.columns[0]).cast("string").alias("id"), content.alias("content"))
 
 
 def last_of_each(df: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.text import share
+from parley.operators.providers import Embedder, embedded_or_error
 from parley.sources.store import stage
 
 
@@ -50,6 +52,10 @@ MORE, ADDED = "Please give one concise example for case {variant}.", "Added one
 MORE_SHARE, BRANDS = 0.35, 11
 
 
+#: Conversations whose draws the driver makes, at most: a generator in sequence is what fixes them.
+MOST_SYNTHETIC = 1_000_000
+
+
 def more_turns(n: int, seed: int) -> list[bool]:
     """Which of ``n`` conversations have two more turns, by Python's seeded generator."""
     draw = random.Random(seed)
@@ -58,8 +64,8 @@ def more_turns(n: int, seed: int) -> list[bool]:
 
 def synthetic(spark: SparkSession, n: int = 120, *, topics: int = 8, languages: int = 5, seed: int = 19) -> DataFrame:
     """Conversations with known topic and language, both in turn; 40 users, five minutes apart, some with two more turns."""
-    if min(n, topics, languages) < 1:
-        raise ValueError("numbers of conversations, topics and languages are positive")
+    if min(n, topics, languages) < 1 or n > MOST_SYNTHETIC:
+        raise ValueError(f"numbers of conversations, topics and languages are positive, and of conversations {MOST_SYNTHETIC} at most")
     i, variant = F.col("id"), (F.col("id") + 1).cast("string")
     held = TOPICS[:topics]
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
@@ -99,22 +105,41 @@ def tfidf(df: DataFrame, key: str, text: str, width: int = 256) -> DataFrame:
     return Pipeline(stages=steps).fit(held).transform(held).select(key, "v")
 
 
-def ablation(rows: DataFrame, key: str, texts: list[str], k: int, *, seed: int = 42) -> DataFrame:
-    """(representation, n, accuracy, macro_f1, weighted_f1, error): how well clusters of each of the columns ``texts`` give back the
-    column truth.
+def represented(rows: DataFrame, key: str, text: str, provider: Embedder | None) -> tuple[DataFrame, str, str | None]:
+    """((key, v) written down, what made the vectors, the provider's error): a provider's vectors, or word frequencies where there is no
+    provider or it gives no answer for some batch. Vectors of one representation are never of two kinds."""
+    error = None
+    if provider is not None:
+        found = embedded_or_error(rows, key, text, provider)
+        error = found.agg(F.min("error").alias("e")).first()["e"]
+        if error is None:
+            return found.select(key, array_to_vector("v").alias("v")), "provider", None
+    return stage(tfidf(rows, key, text), "tfidf"), "tfidf", error
+
 
-    ``key`` is a number; of equally frequent topics of a cluster the one seen first by it counts. A column without any word has
-    an error and scores of 0. Vectors and clusters of a column are written to the shared folder, so each text is read once.
+def ablation(rows: DataFrame, key: str, texts: list[str], k: int, *, seed: int = 42, provider: Embedder | None = None) -> DataFrame:
+    """(representation, vectors, n, accuracy, macro_f1, weighted_f1, error): how well clusters of each of the columns ``texts`` give back the
+    column truth; vectors is provider or tfidf.
+
+    ``key`` is a number; of equally frequent topics of a cluster the one seen first by it counts. Where the provider fails, its error
+    is given and word frequencies take its place. A column without any word has an error and scores of 0. Vectors and clusters of a
+    column are written to the shared folder, so each text is read once.
     """
     parts = []
     for name in texts:
         if not rows.where(F.col(name).rlike(WORD)).limit(1).count():
             zero = [F.lit(0.0).alias(k) for k in ("accuracy", "macro_f1", "weighted_f1")]
-            parts.append(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("representation"), "n", *zero, F.lit("no words").alias("error")))
+            parts.append(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("representation"), F.lit(None).cast("string").alias("vectors"), "n", *zero, F.lit("no words").alias("error")))
             continue
-        vectors = stage(tfidf(rows, key, name), "tfidf")
-        model = KMeans(k=max(2, k), seed=seed, featuresCol="v", predictionCol="cluster_id").fit(vectors)
-        placed = stage(rows.select(key, "truth").join(model.transform(vectors).select(key, "cluster_id"), key), "placed")
+        vectors, kind, error = represented(rows, key, name, provider)
+        placed = clustered(rows, vectors, key, k, seed)
         named = majority(placed.select("cluster_id", F.col("truth").alias("topic"), F.col(key).alias("ord"))).withColumnRenamed("topic", "predicted")
-        parts.append(scores(placed.join(F.broadcast(named), "cluster_id")).select(F.lit(name).alias("representation"), "n", "accuracy", "macro_f1", "weighted_f1", F.lit(None).cast("string").alias("error")))
+        scored = scores(placed.join(F.broadcast(named), "cluster_id"))
+        parts.append(scored.select(F.lit(name).alias("representation"), F.lit(kind).alias("vectors"), "n", "accuracy", "macro_f1", "weighted_f1", F.lit(error).cast("string").alias("error")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def clustered(rows: DataFrame, vectors: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """(key, truth, cluster_id) of rows by k-means over their vectors, written down."""
+    model = KMeans(k=max(2, k), seed=seed, featuresCol="v", predictionCol="cluster_id").fit(vectors)
+    return stage(rows.select(key, "truth").join(model.transform(vectors).select(key, "cluster_id"), key), "placed")

@@ -74,16 +74,34 @@ def levels(leaves: DataFrame, *, target_group_size: int = 4, most: int = 10, str
     return nodes, edges, why
 
 
-def roots(edges: DataFrame, leaves: DataFrame, depth: int = MOST_LEVELS) -> DataFrame:
-    """(node_id, root_id, steps) of each leaf: up the edges one level at a time, ``depth`` steps at most; a node has one parent."""
-    edges = edges.select(F.col("child_id").alias("at"), F.col("parent_id").alias("up"))
-    found = leaves.select("node_id", F.col("node_id").alias("at"), F.lit(0).alias("steps"), F.lit(True).alias("open"))
-    for _ in range(depth):
-        moved = found.join(edges, "at", "left")
-        found = stage(moved.select("node_id", F.coalesce("up", "at").alias("at"), (F.col("steps") + F.col("up").isNotNull().cast("int")).alias("steps"), F.col("up").isNotNull().alias("open")), "roots")
-        if not found.where("open").limit(1).count():
-            break
-    return found.select("node_id", F.col("at").alias("root_id"), "steps")
+def _climbed(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(node_id, top, steps, path) of every node of ``own`` (node_id, path) that has a parent: the last node above it, how many steps up, and
+    the paths from below ``top`` down to it, joined by ``/``. Steps are doubled, so any depth takes few rounds; a cycle is an error."""
+    held = own.join(edges.select(F.col("child_id").alias("node_id"), F.col("parent_id").alias("top")), "node_id").select("node_id", "top", F.lit(1).cast("long").alias("steps"), "path")
+    held = stage(held, "climbed")
+    most = held.count()
+    while True:
+        above = held.select(F.col("node_id").alias("top"), F.col("top").alias("beyond"), F.col("steps").alias("more"), F.col("path").alias("upper"))
+        held = held.join(above, "top", "left").select(
+            "node_id",
+            F.coalesce("beyond", "top").alias("top"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.when(F.col("beyond").isNull(), F.col("path")).otherwise(F.concat("upper", F.lit("/"), "path")).alias("path"),
+            F.col("beyond").isNotNull().alias("moved"),
+        )
+        held = stage(held, "climbed")
+        seen = held.agg(F.coalesce(F.max("steps"), F.lit(0)).alias("steps"), F.coalesce(F.bool_or("moved"), F.lit(False)).alias("moved")).first()
+        if seen["steps"] > most:
+            raise ValueError("the edges have a cycle")
+        if not seen["moved"]:
+            return held.drop("moved")
+
+
+def roots(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(node_id, root_id, steps) of each leaf: the end of its way up the edges, whatever the depth; a node has one parent, a cycle is an error."""
+    own = edges.select(F.col("child_id").alias("node_id"), F.lit("").alias("path"))
+    found = _climbed(edges, own).select("node_id", "top", F.col("steps").cast("int").alias("steps"))
+    return leaves.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("top", "node_id").alias("root_id"), F.coalesce("steps", F.lit(0)).alias("steps"))
 
 
 def shares(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,21 +115,16 @@ def shares(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def flattened(nodes: DataFrame, edges: DataFrame, root: Column) -> DataFrame:
-    """Nodes below the roots (a condition), depth first, larger children first: with depth and a path that sorts in that order.
-
-    Goes down one level at a time, MOST_LEVELS at most.
-    """
-    step = lambda c: F.concat(F.lpad((F.lit(999999999999) - F.col("size")).cast("string"), 12, "0"), F.col(c))
-    now = stage(nodes.where(root).select("node_id", "size", F.lit(0).alias("depth"), step("node_id").alias("path")), "flat")
-    found = now
-    for depth in range(1, MOST_LEVELS):
-        below = now.select(F.col("node_id").alias("parent_id"), "path").join(edges, "parent_id").select(F.col("child_id").alias("node_id"), "path")
-        now = below.join(nodes.select("node_id", "size"), "node_id")
-        now = stage(now.select("node_id", "size", F.lit(depth).alias("depth"), F.concat("path", F.lit("/"), step("node_id")).alias("path")), "flat")
-        if not now.limit(1).count():
-            break
-        found = found.union(now)
-    return found
+    """Nodes below the roots (a condition), depth first, larger children first: with depth and a path that sorts in that order, at any
+    depth. Nodes that no root is above are left out; a cycle is an error."""
+    step = F.concat(F.lpad((F.lit(999999999999) - F.col("size")).cast("string"), 12, "0"), F.col("node_id")).alias("path")
+    top = nodes.where(root).select("node_id", "size", step)
+    inner = edges.join(top.select(F.col("node_id").alias("child_id")), "child_id", "left_anti")  # a root's own parents do not count
+    below = _climbed(inner, nodes.select("node_id", step))
+    upper = top.select(F.col("node_id").alias("top"), F.col("path").alias("upper"))
+    found = below.join(upper, "top").join(nodes.select("node_id", "size"), "node_id")
+    found = found.select("node_id", "size", F.col("steps").cast("int").alias("depth"), F.concat("upper", F.lit("/"), "path").alias("path"))
+    return top.select("node_id", "size", F.lit(0).alias("depth"), "path").union(found)
 
 
 def tree_view(nodes: DataFrame, edges: DataFrame) -> DataFrame:

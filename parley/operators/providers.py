@@ -83,6 +83,30 @@ def embedded(df: DataFrame, key: str, text: str, provider: Embedder | None = Non
     return stage(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"{key} {kind}, v array<double>"), "vectors")
 
 
+def embedded_or_error(df: DataFrame, key: str, text: str, provider: Embedder, batch: int = 32) -> DataFrame:
+    """(key, v, error) written down: vectors by key, or what the provider raised for a batch; after that a task asks for no more."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        error = None
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                vectors: list = [None] * len(part)
+                if error is None:
+                    try:
+                        vectors = provider.embed(part["t"].tolist())
+                    except ProviderError as failed:
+                        error = str(failed)[:500]
+                    if error is None and (len(vectors) != len(part) or len({len(v) for v in vectors}) > 1):
+                        raise ValueError("the provider gave vectors of another number or width")
+                yield pd.DataFrame({key: part[key], "v": vectors if error is None else [None] * len(part), "error": error})
+
+    return stage(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"{key} {kind}, v array<double>, error string"), "vectors")
+
+
 def embedded_rest(df: DataFrame, key: str, text: str, saved: DataFrame, provider: Embedder | None = None, batch: int = 32) -> DataFrame:
     """(key, mark, v): vectors of ``saved`` (the same columns) where the text has not changed since (mark is its hash), the rest from the model."""
     mark = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)

@@ -39,6 +39,25 @@ def timeline(events: DataFrame) -> DataFrame:
     return out.select("run_id", "ordinal", "phase", F.coalesce("status", F.lit("pending")).alias("status"))
 
 
+#: The statuses of a metric that say something of its phase.
+METRIC_STATUS = ("pending", "running", "completed", "resumed", "failed", "skipped")
+
+
+def resolved_timeline(runs: DataFrame, completed: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(run_id, ordinal, phase, status, source) of every phase of ``runs`` (run_id, phase: the current one, locked), by rank of three sources.
+
+    A phase of ``completed`` (run_id, phase) is completed; the last of ``metrics`` (run_id, phase, status, ord) that says
+    anything goes before that; a lock makes the current phase run unless it is completed. Where none speaks it is pending.
+    """
+    spine = runs.select("run_id", F.col("phase").alias("current"), "locked", F.posexplode(F.array(*map(F.lit, PHASES))).alias("ordinal", "phase"))
+    last = metrics.where(F.col("status").isin(*METRIC_STATUS)).groupBy("run_id", "phase").agg(F.max_by("status", "ord").alias("said"))
+    done = completed.select("run_id", "phase", F.lit(True).alias("done")).distinct()
+    found = spine.join(done, ["run_id", "phase"], "left").join(last, ["run_id", "phase"], "left")
+    running = F.coalesce(F.col("locked"), F.lit(False)) & F.coalesce(F.col("current") == F.col("phase"), F.lit(False)) & F.col("done").isNull()
+    ranked = lambda a, b, c, d: F.when(running, a).when(F.col("said").isNotNull(), b).when(F.col("done"), c).otherwise(d)
+    return found.select("run_id", "ordinal", "phase", ranked(F.lit("running"), F.col("said"), F.lit("completed"), F.lit("pending")).alias("status"), ranked(*map(F.lit, ("lock", "metric", "manifest", "none"))).alias("source"))
+
+
 def progress(events: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
     """(run_id, percent): completed and resumed phases, and the measured percent of the first one that runs, over those not skipped.
 
@@ -216,9 +235,11 @@ def first_seen_events(events: DataFrame, key: list[str], order: str) -> DataFram
 
 
 def dataset_digest(rows: DataFrame, column: str) -> DataFrame:
-    """(rows, digest) of a column of text, whatever the order of the rows: an exclusive or of 60 bits of MD5."""
+    """(rows, digest) of a column of text, whatever the order of the rows: an exclusive or of 60 bits of MD5, and their sum, in which equal
+    rows do not cancel."""
     bits = F.conv(F.substring(F.md5(F.coalesce(F.col(column), F.lit(""))), 1, 15), 16, 10).cast("long")
-    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(bits), F.lit(0).cast("long")).alias("digest"))
+    both = F.concat_ws(":", F.coalesce(F.bit_xor(bits), F.lit(0)).cast("string"), F.coalesce(F.sum(bits.cast("decimal(38,0)")), F.lit(0)).cast("string"))
+    return rows.agg(F.count("*").alias("rows"), both.alias("digest"))
 
 
 def fingerprint(settings: dict[str, object], data: DataFrame, column: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -67,12 +71,33 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
 
 
 def silhouette(points: DataFrame, sample: int = 2000, order: str = "vec_id", seed: int = 42) -> DataFrame:
-    """One row (score) over at most ``sample`` points, the first by a seeded hash of ``order``: each task compares its points with that bounded sample."""
-    taken = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string"))), order).limit(sample).select(F.col(order).alias("i"), "label", "v")
-    other = F.broadcast(taken.select(F.col("i").alias("j"), F.col("label").alias("other"), F.col("v").alias("w")))
-    near = taken.join(other, F.col("i") != F.col("j")).groupBy("i", "label", "other").agg(F.avg(F.sqrt(squared(F.col("v"), F.col("w")))).alias("d"))
-    sides = near.groupBy("i").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("d"))).alias("b"))
-    return sides.agg(F.round(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))), 6).alias("score"))
+    """One row (score) over at most ``sample`` points, the first by a seeded hash of ``order``; a point alone in its cluster counts 0.
+
+    The sample is bounded, and so sent to all tasks; each compares its share of it with the whole in blocks of one matrix.
+    """
+    taken = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string"))), order).limit(sample).select(order, "label", "v")
+    rows = taken.collect()
+    names, labels = np.unique([r["label"] for r in rows], return_inverse=True)
+    v = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
+    sizes = np.bincount(labels, minlength=len(names))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for i in frame["id"].tolist():
+                d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+                sums, own = np.bincount(labels, d, len(names)), labels[i]
+                others = np.delete(sums / sizes, own)
+                if sizes[own] < 2 or not len(others):
+                    out.append(0.0)
+                    continue
+                a, b = sums[own] / (sizes[own] - 1), others.min()
+                out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+            yield pd.DataFrame({"s": out})
+
+    spark = points.sparkSession
+    each = spark.range(len(rows), numPartitions=max(1, min(len(rows), spark.sparkContext.defaultParallelism)))
+    return each.mapInPandas(run, "s double").agg(F.round(F.avg("s"), 6).alias("score"))
 
 
 def pca_map(points: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import clustering, conversations, evaluate, hierarchy, privacy, providers, runs, vectors
+from parley.operators import clustering, conversations, density, evaluate, hierarchy, privacy, providers, runs, vectors
 from parley.sources import jsonl
 from parley.streaming import ingest
 
@@ -157,10 +157,9 @@ def normalize_timestamps(spark, sf_dir):
     return e.select("event_id", F.unix_millis(time).alias("ms"), missing.alias("missing"))
 
 
-@query("SELECT doc_id, 'synth-' || substr(sha256(text), 1, 16) AS id FROM documents WHERE text = trim(text, ' ' || chr(9) || chr(10) || chr(13))")
+@query(r"SELECT doc_id, 'synth-' || substr(sha256(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')), 1, 16) AS id FROM documents")
 def synth_id(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.where(F.col("text") == text.strip(F.col("text"))).select("doc_id", text.synthetic_id(F.col("text")).alias("id"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.synthetic_id(F.coalesce("text", F.lit(""))).alias("id"))
 
 
 @query("SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text")
@@ -440,30 +439,38 @@ def majority_map(spark, sf_dir):
     return evaluate.majority(rows)
 
 
+def synthetic_size(spark, sf_dir) -> int:
+    """As many synthetic conversations as there are given ones."""
+    return messages(spark, sf_dir).select("conv_id").distinct().count()
+
+
 def _synthetic_sql() -> str:
     lists = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
-    more = [i for i, m in enumerate(evaluate.more_turns(120, 19)) if m]
+    more = [i for i, m in enumerate(evaluate.more_turns(5000, 19)) if m]
     return f"""c AS (SELECT i, i + 1 AS variant, {lists([t[0] for t in evaluate.TOPICS])}[i % 8 + 1] AS topic, {lists([t[1] for t in evaluate.TOPICS])}[i % 8 + 1] AS summary,
- {lists(evaluate.LANGUAGES[:5])}[i % 5 + 1] AS language, replace({lists([t[2] for t in evaluate.TOPICS])}[i % 8 + 1], '{{variant}}', (i + 1)::VARCHAR) AS asked, i IN {tuple(more)} AS more FROM range(0, 120) AS r(i)),
+ {lists(evaluate.LANGUAGES[:5])}[i % 5 + 1] AS language, replace({lists([t[2] for t in evaluate.TOPICS])}[i % 8 + 1], '{{variant}}', (i + 1)::VARCHAR) AS asked, i IN {tuple(more)} AS more FROM (SELECT unnest(range(0, (SELECT count(DISTINCT conv_id) FROM conversations))) AS i)),
  s AS (SELECT *, CASE WHEN language = 'English' THEN '' ELSE '[' || language || '] ' END || asked AS first, summary || ' for ProjectOrchid' || (i % 11 + 1) AS named FROM c)"""
 
 
 @query(f"""WITH {_synthetic_sql()} SELECT printf('eval-conv-%04d', variant) AS conversation_id, printf('eval-user-%03d', i % 40 + 1) AS user_id, strftime(TIMESTAMP '2025-02-01 10:00:00' + INTERVAL (i * 5) MINUTE, '%Y-%m-%d %H:%M:%S') AS ts, topic, language, summary, named,
  md5('user|' || first || chr(10) || 'assistant|' || CASE WHEN topic = 'safety_high_risk' THEN '{evaluate.REFUSAL}' ELSE '{evaluate.HELP}' END || CASE WHEN more THEN chr(10) || 'user|' || replace('{evaluate.MORE}', '{{variant}}', variant::VARCHAR) || chr(10) || 'assistant|{evaluate.ADDED}' ELSE '' END) AS said FROM s""")
 def synthetic_corpus(spark, sf_dir):
-    c = evaluate.synthetic(spark, 120)
+    c = evaluate.synthetic(spark, synthetic_size(spark, sf_dir))
     said = F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("|"), m["content"])), "\n")).alias("said")
     return c.select("conversation_id", "user_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("ground_truth_topic").alias("topic"), F.col("ground_truth_language").alias("language"), F.col("privacy_summary").alias("summary"), F.col("non_private_summary").alias("named"), said)
 
 
-@query(f"WITH {_synthetic_sql()} SELECT printf('eval-conv-%04d', variant) AS conversation_id, summary AS privacy_summary, named AS non_private_summary, first AS raw_user_text FROM s")
+@query(r"""SELECT conv_id AS conversation_id, 'about ' || count(*) AS privacy_summary, 'about ' || count(*) || ' of ' || conv_id AS non_private_summary, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS raw_user_text FROM conversations GROUP BY conv_id""")
 def eval_representations(spark, sf_dir):
-    return conversations.representations(evaluate.synthetic(spark, 120))
+    c = conversations.assemble(messages(spark, sf_dir))
+    told = F.concat(F.lit("about "), F.size("messages").cast("string"))
+    c = c.withColumns({"privacy_summary": told, "non_private_summary": F.concat(told, F.lit(" of "), F.col("conversation_id").cast("string"))})
+    return conversations.representations(c)
 
 
 @query(f"WITH {_synthetic_sql()} SELECT 'topic' AS kind, topic AS value, count(*) AS n FROM s GROUP BY topic UNION ALL SELECT 'language', language, count(*) FROM s GROUP BY language UNION ALL SELECT 'role', role, count(*) FROM conversations GROUP BY role")
 def histograms(spark, sf_dir):
-    c = evaluate.synthetic(spark, 120)
+    c = evaluate.synthetic(spark, synthetic_size(spark, sf_dir))
     parts = [conversations.histogram(d, k).select(F.lit(name).alias("kind"), "value", "n") for d, k, name in ((c, "ground_truth_topic", "topic"), (c, "ground_truth_language", "language"), (messages(spark, sf_dir), "role", "role"))]
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -606,23 +613,54 @@ def kmeans_clusters(spark, sf_dir):
     return p.groupBy("label").agg(F.count("*").alias("n"))
 
 
-REACH = 0.9
+#: Characters whose shares in a text are its vector.
+LETTERS = ("eE", "oO", "hH", "nN", "äöüß", "éèàç", "ñóíá", "#$%&*|")
+REACH = 0.02
+
+
+def letters(spark, sf_dir):
+    """(vec_id, v): shares of LETTERS in the whole text of each document, by which its languages and its junk lie apart."""
+    d = table(spark, sf_dir, "documents")
+    x = F.coalesce("text", F.lit(""))
+    return d.select(F.col("doc_id").alias("vec_id"), F.array(*[F.regexp_count(x, F.lit(f"[{k}]")) / F.greatest(F.length(x), F.lit(1)) for k in LETTERS]).alias("v"))
+
+
+_SHARES = ", ".join(f"length(regexp_replace(x, '[^{k}]', '', 'g')) / greatest(length(x), 1)" for k in LETTERS)
+_L = f"p AS MATERIALIZED (SELECT doc_id AS vec_id, [{_SHARES}]::DOUBLE[] AS v FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))"
 
 
-def _density_sql(rounds: int = 14) -> str:
-    parts = [_V, f"d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, sqrt({_D2.format(a='a.v', b='b.v')}) AS d FROM p AS a, p AS b)"]
+def _density_sql(rounds: int = 12) -> str:
+    parts = [_L, f"d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, sqrt({_D2.format(a='a.v', b='b.v')}) AS d FROM p AS a, p AS b)"]
     parts.append("core AS (SELECT a AS vec_id, max(d) AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS n FROM d) WHERE n <= 6 GROUP BY a)")
     parts.append(f"e AS MATERIALIZED (SELECT a, b FROM d JOIN core AS x ON x.vec_id = a JOIN core AS y ON y.vec_id = b WHERE greatest(d, x.core, y.core) <= {REACH})")
     parts.append("l0 AS (SELECT a AS node, min(b) AS label FROM e GROUP BY a)")
     for i in range(rounds):
-        parts.append(f"l{i + 1} AS MATERIALIZED (SELECT e.a AS node, min(label) AS label FROM e JOIN l{i} ON l{i}.node = e.b GROUP BY e.a)")
+        parts.append(f"m{i} AS MATERIALIZED (SELECT e.a AS node, min(label) AS label FROM e JOIN l{i} ON l{i}.node = e.b GROUP BY e.a)")
+        parts.append(f"l{i + 1} AS MATERIALIZED (SELECT m.node, least(m.label, n.label) AS label FROM m{i} AS m JOIN m{i} AS n ON n.node = m.label)")
     parts.append(f"big AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM l{rounds} GROUP BY label HAVING count(*) >= 12)")
     return f"WITH {', '.join(parts)} SELECT vec_id, coalesce(k, -1)::INTEGER AS label FROM p LEFT JOIN l{rounds} AS l ON l.node = vec_id LEFT JOIN big ON big.label = l.label"
 
 
 @query(_density_sql())
 def density_clusters(spark, sf_dir):
-    return clustering.density(points(spark, sf_dir).drop("label"), reach=REACH).select("vec_id", "label")
+    return clustering.density(letters(spark, sf_dir), reach=REACH).select("vec_id", "label")
+
+
+@query()
+def density_hierarchy(spark, sf_dir):
+    return clustering.density(letters(spark, sf_dir)).select("vec_id", "label")
+
+
+@query()
+def hybrid_clusters(spark, sf_dir):
+    found, _ = clustering.fit(letters(spark, sf_dir), "hybrid", 12, noise="drop")
+    return found.select("vec_id", "label")
+
+
+@query(f"WITH {_V}, d AS (SELECT a.vec_id AS node, b.vec_id AS near, sqrt({_D2.format(a='a.v', b='b.v')}) AS d FROM p AS a JOIN p AS b ON a.vec_id <> b.vec_id) SELECT node, rank::INTEGER AS rank, near, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY d, near) AS rank FROM d) WHERE rank <= 5")
+def neighbour_join(spark, sf_dir):
+    found = density.nearest_points(points(spark, sf_dir).drop("label"), 5)
+    return found.select("node", F.col("rank").cast("int").alias("rank"), "near", F.round("distance", 6).alias("distance"))
 
 
 @query()
@@ -719,9 +757,12 @@ def preferred_labels(spark, sf_dir):
 _CASES = ", ".join(f"('{a}', '{b}', {c}, {d})" for a, b, c, d in privacy.CASES)
 
 
-@query(f"SELECT count(*) AS cases, round(avg(CASE WHEN r BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS in_range_rate, round(avg(abs(r - round_even((lo + hi) / 2, 0))), 6) AS mean_error FROM (SELECT {_RATED} AS r, lo, hi FROM (VALUES {_CASES}) AS c(id, x, lo, hi))")
+@query(f"SELECT count(*) AS cases, round(avg(CASE WHEN r BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS in_range_rate, round(avg(abs(r - round_even((lo + hi) / 2, 0))), 6) AS mean_error FROM (SELECT {_RATED} AS r, lo, hi FROM (SELECT x, lo, hi FROM (VALUES {_CASES}) AS c(id, x, lo, hi) UNION ALL SELECT text, CASE WHEN contains(text, '@') THEN 1 ELSE 2 END, CASE WHEN contains(text, '@') THEN 2 ELSE 5 END FROM documents))")
 def auditor_cases(spark, sf_dir):
-    return privacy.auditor_score(privacy.cases(spark).withColumn("rating", privacy.rule_rating(F.col("content"))))
+    at = F.col("text").contains("@")
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.when(at, 1).otherwise(2).alias("low"), F.when(at, 2).otherwise(5).alias("high"))
+    held = privacy.cases(spark).select("content", "low", "high").unionByName(docs)
+    return privacy.auditor_score(held.withColumn("rating", privacy.rule_rating(F.col("content"))))
 
 
 @query("SELECT event_type AS stage, count(*) AS audits, count(*) FILTER (event_id % 4 = 0) AS fallbacks FROM events GROUP BY event_type")
@@ -741,11 +782,20 @@ def clamped_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.clamped(raw, 0.0, 1.0, 0.5).alias("share"))
 
 
+class FailingEmbedder(providers.HashedEmbedder):
+    """Gives no answer for texts that hold a mark."""
+
+    def embed(self, texts):
+        if any(t.startswith("*") for t in texts):
+            raise providers.ProviderError("no vectors")
+        return super().embed(texts)
+
+
 @query()
 def ablation(spark, sf_dir):
-    c = evaluate.synthetic(spark, 120).withColumn("i", F.substring("conversation_id", 11, 10).cast("long"))
-    c = c.join(conversations.representations(c).select("conversation_id", "raw_user_text"), "conversation_id").withColumnRenamed("ground_truth_topic", "truth")
-    return evaluate.ablation(c, "i", ["privacy_summary", "non_private_summary", "raw_user_text"], 8)
+    """How well clusters of documents by their texts, by their sources and by marked texts, which the provider refuses, give back their languages."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("truth"), "text", "source", F.concat(F.lit("* "), "text").alias("marked"))
+    return evaluate.ablation(d, "doc_id", ["text", "source", "marked"], 8, provider=FailingEmbedder())
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

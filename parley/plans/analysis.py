@@ -90,14 +90,14 @@ def conversation_detail(spark, sf_dir):
     return both[0].union(both[1]).select("conversation_id", "user_id", F.md5(F.array_join(line, "\n")).alias("said"), "summary", "cluster_id", "cluster_name")
 
 
-@query("SELECT event_type AS run_id, count(*) AS rows, bit_xor(('0x' || substr(md5(props), 1, 15))::BIGINT) AS digest FROM events WHERE event_type = 'error' GROUP BY ALL")
+@query("SELECT count(*) AS rows, bit_xor(b)::VARCHAR || ':' || sum(b)::VARCHAR AS digest FROM (SELECT ('0x' || substr(md5(props), 1, 15))::BIGINT AS b FROM events)")
 def dataset_digest(spark, sf_dir):
-    return runs.dataset_digest(table(spark, sf_dir, "events").where("event_type = 'error'"), "props").select(F.lit("error").alias("run_id"), "rows", "digest")
+    return runs.dataset_digest(table(spark, sf_dir, "events"), "props")
 
 
-@query("SELECT vec_id, md5(text) AS mark, vec_id % 2 = 0 AS saved FROM (SELECT doc_id AS vec_id, text FROM documents WHERE doc_id % 50 = 0)")
+@query("SELECT vec_id, md5(text) AS mark, vec_id % 2 = 0 AS saved FROM (SELECT doc_id AS vec_id, text FROM documents)")
 def embedding_resume(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("vec_id"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     mark = F.sha2("text", 256).alias("mark")
     saved = d.where("vec_id % 2 = 0").select("vec_id", mark, F.array(F.lit(9.0)).alias("v"))
     found = providers.embedded_rest(d, "vec_id", "text", saved)

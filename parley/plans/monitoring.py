@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators import runs
-from parley.plans import _REACHED, _SPINE, _STATES, checkpoints, query, run_events, table
+from parley.plans import _EVENTS, _REACHED, _SPINE, _STATES, checkpoints, query, run_events, table
 
 
 def manifests(spark, sf_dir):
@@ -31,14 +31,14 @@ def run_inspect(spark, sf_dir):
 def artifacts(spark, sf_dir):
     """Artifacts of runs: three required ones and six others, by event."""
     names = [*runs.REQUIRED, "facets_jsonl", "base_clusters_json", "hierarchy_json", "privacy_audit_json", "phase6_metrics_json", "tree_view_json"]
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 50).alias("run_id"), F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 9 + 1).cast("int")).alias("artifact"))
 
 
 @query(f"""WITH {_SPINE}, {_REACHED}, {_STATES[_STATES.index('states AS'):]},
  pc2 AS (SELECT run_id, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status <> 'skipped') AS active, count(*) FILTER (status IN ('completed', 'resumed')) AS completed FROM line GROUP BY run_id),
  w AS (SELECT run_id, count(*) FILTER (status = 'warning') AS warnings FROM ev GROUP BY run_id),
- a AS (SELECT run_id, 3 - count(*) FILTER (k < 3) AS required_missing, count(*) FILTER (k >= 3) AS optional_present FROM (SELECT DISTINCT user_id % 50 AS run_id, event_id % 9 AS k FROM events WHERE event_id % 5 = 0) GROUP BY run_id)
+ a AS (SELECT run_id, 3 - count(*) FILTER (k < 3) AS required_missing, count(*) FILTER (k >= 3) AS optional_present FROM (SELECT DISTINCT user_id % 50 AS run_id, event_id % 9 AS k FROM events) GROUP BY run_id)
  SELECT run_id, state, percent, failed, skipped, active, completed, warnings, coalesce(required_missing, 3) AS required_missing, coalesce(optional_present, 0) AS optional_present FROM states JOIN reached USING (run_id) JOIN pc2 USING (run_id) JOIN w USING (run_id) LEFT JOIN a USING (run_id)""")
 def run_detail(spark, sf_dir):
     return runs.run_detail(run_events(spark, sf_dir), runs.checkpoint_progress(checkpoints(spark, sf_dir)), artifacts(spark, sf_dir))
@@ -77,3 +77,15 @@ def fingerprint_build(spark, sf_dir):
 def compact_numbers(spark, sf_dir):
     n = F.col("event_id")
     return table(spark, sf_dir, "events").select("event_id", text.compact((n * n % 3000017).cast("double")).alias("shown"))
+
+
+@query(f"""WITH {_EVENTS}, r AS (SELECT run_id, arg_max(phase, event_id) AS current, run_id % 3 <> 0 AS locked FROM ev GROUP BY run_id),
+ c AS (SELECT DISTINCT run_id, phase FROM ev WHERE status = 'completed' AND event_id % 3 = 0), m AS (SELECT run_id, phase, arg_max(status, event_id) AS said FROM ev WHERE status IN ('pending', 'running', 'completed', 'resumed', 'failed', 'skipped') AND event_id % 2 = 0 GROUP BY ALL),
+ s AS (SELECT run_id, i::INTEGER - 1 AS ordinal, ['{"', '".join(runs.PHASES)}'][i] AS phase, current, locked FROM r, range(1, 8) AS t(i))
+ SELECT run_id, ordinal, phase, CASE WHEN locked AND current = phase AND c.run_id IS NULL THEN 'running' WHEN said IS NOT NULL THEN said WHEN c.run_id IS NOT NULL THEN 'completed' ELSE 'pending' END AS status,
+ CASE WHEN locked AND current = phase AND c.run_id IS NULL THEN 'lock' WHEN said IS NOT NULL THEN 'metric' WHEN c.run_id IS NOT NULL THEN 'manifest' ELSE 'none' END AS source FROM s LEFT JOIN c USING (run_id, phase) LEFT JOIN m USING (run_id, phase)""")
+def resolved_timeline(spark, sf_dir):
+    e = run_events(spark, sf_dir)
+    current = e.groupBy("run_id").agg(F.max_by("phase", "event_id").alias("phase")).withColumn("locked", F.col("run_id") % 3 != 0)
+    metrics = e.where("event_id % 2 = 0").select("run_id", "phase", "status", F.col("event_id").alias("ord"))
+    return runs.resolved_timeline(current, e.where("status = 'completed' and event_id % 3 = 0").select("run_id", "phase"), metrics)

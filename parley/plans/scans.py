@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from parley.operators import conversations
-from parley.plans import _CODES, _EXTERNAL, MAPPING, defective_lines, event_lines, external_lines, messages, query, table
-from parley.sources import jsonl, tables
+from parley.operators import conversations, phases, providers
+from parley.plans import _CODES, _EXTERNAL, _FACETS, MAPPING, defective_lines, event_lines, external_lines, messages, query, table
+from parley.sources import jsonl, manifest, tables
 from parley.sources.store import shared_folder
 from parley.streaming import ingest
 
@@ -76,19 +76,39 @@ def stream_ingest(spark, sf_dir):
     return ingest.ingested(spark, path, files=1).select("conversation_id", "user_id", F.size("messages").alias("n_messages"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, text FROM documents")
 def append_promote(spark, sf_dir):
-    folder, schema = f"{shared_folder(spark)}/parley-run-{uuid.uuid4().hex}", "doc_id long, text string"
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id % 3 = 0")
+    root, schema = f"{shared_folder(spark)}/parley-run-{uuid.uuid4().hex}", "doc_id long, text string"
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest.commit(spark, root, lambda m: {"run_id": "run"})
     for k in range(2):
-        tables.append(d.where(F.col("doc_id") % 2 == k), f"{folder}/partial")
-    tables.promote(spark, f"{folder}/partial", f"{folder}/final", schema)
-    return tables.read_or_empty(spark, f"{folder}/final", schema)
+        tables.append(d.where(F.pmod("doc_id", F.lit(2)) == k), f"{root}/partial")
+    tables.promote(spark, root, f"{root}/partial", schema)
+    return manifest.table(spark, root, "facets", schema)
 
 
-@query("SELECT event_id + 1 AS line_number, props AS line FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 120)")
+@query("SELECT row_number() OVER (ORDER BY event_id)::INTEGER AS position, props AS line FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 120)")
 def log_tail(spark, sf_dir):
-    return tables.tail(event_lines(spark, sf_dir), 120)
+    path = f"{shared_folder(spark)}/parley-log-{uuid.uuid4().hex}"
+    event_lines(spark, sf_dir).orderBy("line_number").select("line").write.text(path)
+    return tables.tail_file(spark, path, 120)[0]
+
+
+@query(f"WITH {_FACETS} SELECT conversation_id, summary, task, language, 0.8::DOUBLE AS language_confidence, 1 AS concerning_score, false AS fallback_used, NULL::VARCHAR AS error FROM facets")
+def resumed_phase(spark, sf_dir):
+    """Facets in waves: a first run over a part of the conversations, and a second over all, which asks for the rest."""
+    held = conversations.assemble(messages(spark, sf_dir)).withColumn("t", conversations.transcript(F.col("messages"), True))
+    none = {"summary": "", "task": "", "language": "unknown", "language_confidence": 0.0, "concerning_score": 1}
+    root = f"{shared_folder(spark)}/parley-run-{uuid.uuid4().hex}"
+    go = lambda df: phases.run_phase(df, "conversation_id", "t", "facets", providers.FACETS, none, root=root, name="facets")
+    go(held.where("conversation_id % 3 <> 0"))
+    return go(held)
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, lang, length(text)::BIGINT AS chars FROM documents")
+def positional_zip(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").cast("long").alias("chars")).orderBy("doc_id")
+    return conversations.zipped(d.select("doc_id", "lang"), d.select("chars"))
 
 
 @query("SELECT doc_id, lang FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 150) WHERE lang <> 'en'")
@@ -110,9 +130,7 @@ def unresolved_errors(spark, sf_dir):
 
 @query("SELECT doc_id, quality::INTEGER AS quality, row_number() OVER (ORDER BY lang, doc_id) AS ordinal FROM documents LEFT JOIN labels USING (doc_id) QUALIFY quality IS NOT NULL")
 def input_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("lang", "doc_id")).cast("long").alias("ord"))
+    d = conversations.ordinals(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id").select("doc_id", (F.col("parley_n") + 1).alias("ord"))
     return conversations.in_order_of(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")), d, "doc_id", "ord")
 
 
