@@ -118,7 +118,7 @@ def represented(rows: DataFrame, key: str, text: str, provider: Embedder | None)
 
 
 def ablation(rows: DataFrame, key: str, texts: list[str], k: int, *, seed: int = 42, provider: Embedder | None = None) -> DataFrame:
-    """(representation, vectors, n, accuracy, macro_f1, weighted_f1, error): how well clusters of each of the columns ``texts`` give back the
+    """(representation, n, accuracy, macro_f1, weighted_f1, error, vectors): how well clusters of each of the columns ``texts`` give back the
     column truth; vectors is provider or tfidf.
 
     ``key`` is a number; of equally frequent topics of a cluster the one seen first by it counts. Where the provider fails, its error
@@ -129,13 +129,13 @@ def ablation(rows: DataFrame, key: str, texts: list[str], k: int, *, seed: int =
     for name in texts:
         if not rows.where(F.col(name).rlike(WORD)).limit(1).count():
             zero = [F.lit(0.0).alias(k) for k in ("accuracy", "macro_f1", "weighted_f1")]
-            parts.append(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("representation"), F.lit(None).cast("string").alias("vectors"), "n", *zero, F.lit("no words").alias("error")))
+            parts.append(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("representation"), "n", *zero, F.lit("no words").alias("error"), F.lit(None).cast("string").alias("vectors")))
             continue
         vectors, kind, error = represented(rows, key, name, provider)
         placed = clustered(rows, vectors, key, k, seed)
         named = majority(placed.select("cluster_id", F.col("truth").alias("topic"), F.col(key).alias("ord"))).withColumnRenamed("topic", "predicted")
         scored = scores(placed.join(F.broadcast(named), "cluster_id"))
-        parts.append(scored.select(F.lit(name).alias("representation"), F.lit(kind).alias("vectors"), "n", "accuracy", "macro_f1", "weighted_f1", F.lit(error).cast("string").alias("error")))
+        parts.append(scored.select(F.lit(name).alias("representation"), "n", "accuracy", "macro_f1", "weighted_f1", F.lit(error).cast("string").alias("error"), F.lit(kind).alias("vectors")))
     return reduce(DataFrame.unionByName, parts)
 
 

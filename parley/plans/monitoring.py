@@ -68,7 +68,7 @@ def launch_options(spark, sf_dir):
     return runs.launch_options(raw)
 
 
-@query("SELECT 'dataset_rows' AS key, count(*)::VARCHAR AS value FROM documents UNION ALL SELECT 'dataset_digest', bit_xor(('0x' || substr(md5(text), 1, 15))::BIGINT)::VARCHAR FROM documents UNION ALL SELECT * FROM (VALUES ('limit', NULL), ('random_seed', '42'), ('strategy', 'hybrid')) AS s(key, value)")
+@query("SELECT 'dataset_rows' AS key, count(*)::VARCHAR AS value FROM documents UNION ALL SELECT 'dataset_digest', bit_xor(b)::VARCHAR || ':' || sum(b)::VARCHAR FROM (SELECT ('0x' || substr(md5(text), 1, 15))::BIGINT AS b FROM documents) UNION ALL SELECT * FROM (VALUES ('limit', NULL), ('random_seed', '42'), ('strategy', 'hybrid')) AS s(key, value)")
 def fingerprint_build(spark, sf_dir):
     return runs.fingerprint({"strategy": "hybrid", "random_seed": 42, "limit": None}, table(spark, sf_dir, "documents"), "text")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parley import plans
 from parley.functions import text
 from parley.operators import clustering, conversations, evaluate, hierarchy, privacy, providers, vectors
 from parley.sources import jsonl, tables
@@ -11,6 +12,9 @@ from parley.sources import jsonl, tables
 GOOD = {"conversation_id": "a", "user_id": "u", "timestamp": "2025-01-01T00:00:00Z", "messages": [{"role": "user", "content": "hi"}]}
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def lines(spark, rows):
     return spark.createDataFrame([(i + 1, r if isinstance(r, str) else json.dumps(r)) for i, r in enumerate(rows)], "line_number long, line string")
 
@@ -319,7 +323,31 @@ def test_ablation_tells_texts_apart(spark):
     got = {r.representation: r for r in evaluate.ablation(spark.createDataFrame(rows, "id long, truth string, good string, bad string, none string"), "id", ["good", "bad", "none"], 2).collect()}
     assert got["good"].macro_f1 == 1.0 and got["bad"].macro_f1 < 0.6 and got["good"].n == 20
     assert (got["none"].n, got["none"].accuracy, got["none"].error, got["good"].error) == (20, 0.0, "no words", None)
-    assert [r.line for r in tables.report_lines(spark.createDataFrame([got["good"]], "representation string, n long, accuracy double, macro_f1 double, weighted_f1 double, error string")).collect()] == [*tables.REPORT_HEAD, "| good | 20 | 1.0000 | 1.0000 | 1.0000 |"]
+    assert [r.line for r in tables.report_lines(spark.createDataFrame([got["good"]], "representation string, n long, accuracy double, macro_f1 double, weighted_f1 double, error string, vectors string")).collect()] == [*tables.REPORT_HEAD, "| good | 20 | 1.0000 | 1.0000 | 1.0000 |"]
+
+
+def test_a_provider_that_fails_is_replaced_and_said_so(spark):
+    from collections import Counter
+
+    from pyspark.ml.functions import array_to_vector
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.col("lang").alias("truth"), "text", F.concat(F.lit("* "), "text").alias("marked"))
+    got = {r.representation: r for r in evaluate.ablation(docs, "doc_id", ["text", "marked"], 4, provider=plans.FailingEmbedder()).collect()}
+    assert (got["text"].vectors, got["text"].error, got["marked"].vectors, got["marked"].error) == ("provider", None, "tfidf", "no vectors")
+    vectors = providers.embedded(docs, "doc_id", "text").select("doc_id", array_to_vector("v").alias("v"))
+    for name, v in (("text", vectors), ("marked", evaluate.tfidf(docs, "doc_id", "marked"))):
+        rows = evaluate.clustered(docs, v.sort("doc_id"), "doc_id", 4).collect()
+        named = {}
+        for c in {r.cluster_id for r in rows}:
+            own = sorted((r.doc_id, r.truth) for r in rows if r.cluster_id == c)
+            n = Counter(t for _, t in own)
+            named[c] = max(n, key=lambda t: (n[t], -next(i for i, x in own if x == t)))
+        hits = sum(named[r.cluster_id] == r.truth for r in rows)
+        f1 = []
+        for t in {r.truth for r in rows} | set(named.values()):
+            tp = sum(r.truth == t == named[r.cluster_id] for r in rows)
+            f1.append(2 * tp / (sum(r.truth == t for r in rows) + sum(named[r.cluster_id] == t for r in rows)))
+        assert abs(got[name].accuracy - hits / len(rows)) < 0.05 and abs(got[name].macro_f1 - sum(f1) / len(f1)) < 0.08 and got[name].n == len(rows)
 
 
 def test_silhouette_sample_is_not_a_prefix(spark):
