@@ -3,8 +3,8 @@
 Texts are sets of word shingles (five words by default; letters, digits and all beyond ASCII make words, A-Z count as a-z).
 
 1. One pass over the texts makes, for each row, a key of its shingle set and a MinHash signature. Rows of equal sets are one
-   node from here on, whatever their number. Keys have 64 bits; a second key of 64 bits shows whether two different sets ever
-   share one, and then all is keyed anew with another seed.
+   node from here on, whatever their number. A set's key has 128 bits, so that no two sets of any corpus are expected to share one;
+   nodes are numbered as they are written down.
 2. Signatures are cut into bands; nodes that agree in a band share a bucket. With 25 bands of 4 a pair at Jaccard 0.8 shares
    none with probability 2e-6.
 3. In each bucket a few leaders cover the rest: MinHash values are compared block by block, and a pair is dropped when the
@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import bounded, by_group, drop_staged, LOWERED, mixed, slices, small_batches, stage, window_hashes, word_hashes, WORDLIKE
+from parley.llm.common import bounded, by_group, LOWERED, mixed, slices, small_batches, stage, window_hashes, word_hashes, WORDLIKE
 from parley.operators.graph import components
 
 #: Nodes of a bucket, and nodes or shingles of a family, that one group handles (a single larger set is a block of its own).
 PART, BLOCK, BLOCK_SHINGLES = 1024, 160, 1 << 20
+#: Sets that a task remembers to have given.
+SEEN = 100_000
 #: Rounds over leaders before those that are left are compared by blocks.
 LEADER_ROUNDS = 20
 #: Jaccard similarity that ties families, and the share of equal MinHash values that covers a text.
@@ -59,8 +61,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
     return out
 
 
-def set_key(found: np.ndarray, seed: int = 0) -> int:
-    """A 64-bit key of a set of shingles."""
+def set_key(found: np.ndarray, seed: int) -> int:
+    """64 bits of a set's key; seeds 0 and 1 give both halves."""
     one = int(mixed(found + np.uint64(seed)).sum(dtype=np.uint64)) + len(found) * 0x9E3779B97F4A7C15
     return int(mixed(np.array([one % (1 << 64)], np.uint64)).view(np.int64)[0])
 
@@ -106,7 +108,7 @@ def likely(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float, ste
     return i, j, same
 
 
-def _signatures(width: int, bands: int, rows: int, seed: int):
+def _signatures(width: int, bands: int, rows: int):
     minhash = MinHash(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,13 +118,13 @@ def _signatures(width: int, bands: int, rows: int, seed: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, end - start),
-                        pa.array([set_key(x, seed) if len(x) else None for x in found], pa.int64()),
-                        pa.array([set_key(x, seed + 1) if len(x) else None for x in found], pa.int64()),
+                        pa.array([set_key(x, 0) if len(x) else None for x in found], pa.int64()),
+                        pa.array([set_key(x, 1) if len(x) else None for x in found], pa.int64()),
                         pa.array([len(x) for x in found], pa.int64()),
                         pa.array([minhash(x).tobytes() if len(x) else None for x in found], pa.binary()),
                         batch.column("mark").slice(start, end - start),
                     ],
-                    names=["doc_id", "node", "check", "size", "sig", "mark"],
+                    names=["doc_id", "key", "check", "size", "sig", "mark"],
                 )
 
     return run
@@ -262,8 +264,8 @@ def _verify(threshold: float, tolerance: float):
     return run
 
 
-def _sets(width: int, seed: int):
-    """The shingle sets of texts; of the rows of a partition that agree in id and set one is given."""
+def _sets(width: int):
+    """The shingle sets of texts. Rows that agree in id and set are given once for each SEEN others; what reads them takes one of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
@@ -272,32 +274,35 @@ def _sets(width: int, seed: int):
             for start, end, data, offsets in slices(batch.column("text")):
                 rows = []
                 for i, found in zip(ids[start:end], shingles(data, offsets, width), strict=True):
-                    if len(found) and (key := (i, set_key(found, seed))) not in seen:
+                    if len(found) and (key := (i, set_key(found, 0), set_key(found, 1))) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(key)
                         rows.append((*key, found.tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "node", "found"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "key", "check", "found"])
 
     return run
 
 
-def _member_sets(docs: DataFrame, members: DataFrame, width: int, seed: int) -> DataFrame:
+def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """``members`` with ``found``, read again from a row that has the node's first id; a null first id is looked for among null ids."""
     wanted = bounded(members.select(F.coalesce("first", F.lit(-(2**63))).alias("want")))
     texts = docs.withColumn("want", F.coalesce("doc_id", F.lit(-(2**63)))).join(wanted, "want", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_sets(width, seed), "doc_id long, node long, found binary")
-    sets = sets.select(F.col("node").alias("of"), F.col("doc_id").alias("read"), "found")
-    return sets.join(bounded(members), (F.col("of") == F.col("node")) & F.col("read").eqNullSafe(F.col("first"))).drop("of", "read")
+    sets = texts.select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, key long, check long, found binary")
+    sets = sets.select(F.col("key").alias("of"), F.col("check").alias("too"), F.col("doc_id").alias("read"), "found")
+    on = (F.col("of") == F.col("key")) & (F.col("too") == F.col("check")) & F.col("read").eqNullSafe(F.col("first"))
+    return sets.join(bounded(members), on).drop("of", "too", "read")
 
 
 def _block() -> Column:
     return F.pmod(F.xxhash64("node"), F.col("blocks"))
 
 
-def _apart(docs: DataFrame, members: DataFrame, width: int, seed: int) -> DataFrame:
+def _apart(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(component, node, more, less) of all members. The head's set is joined by block, so that a large family is many keys."""
-    held = _member_sets(docs, members, width, seed).withColumn("block", _block())
-    heads = _member_sets(docs, members.where("node = component"), width, seed)
+    held = _member_sets(docs, members, width).withColumn("block", _block())
+    heads = _member_sets(docs, members.where("node = component"), width)
     heads = heads.select("component", F.col("node").alias("its"), F.col("found").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     both = held.join(heads, ["component", "block"]).select("component", "node", "found", F.when(F.col("node") != F.col("its"), F.col("head")).alias("head"))
     return both.mapInArrow(_against_head, "component long, node long, more binary, less binary")
@@ -319,17 +324,13 @@ def _against_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(more, pa.binary()), pa.array(less, pa.binary())], names=["component", "node", "more", "less"])
 
 
-def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """Rows (doc_id, node, mark), nodes (node, first, copies, size, sig), and the seed with which no two sets share a key."""
-    for seed in range(0, 20, 2):
-        signed = docs.withColumn("mark", F.xxhash64("text"))
-        signed = stage(small_batches(signed).mapInArrow(_signatures(width, bands, rows, seed), "doc_id long, node long, check long, size long, sig binary, mark long"), "signed")
-        keys = [F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig"), (F.min("check") != F.max("check")).alias("shared")]
-        nodes = stage(signed.where("node is not null").groupBy("node").agg(*keys), "nodes")
-        if not nodes.where("shared").limit(1).count():
-            return signed.select("doc_id", "node", "mark"), nodes.drop("shared"), seed
-        drop_staged(signed, nodes)
-    raise RuntimeError("different sets share a key with every seed")
+def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, check, mark), and nodes (node, key, check, first, copies, size, sig), one for each set."""
+    signed = docs.withColumn("mark", F.xxhash64("text"))
+    signed = stage(small_batches(signed).mapInArrow(_signatures(width, bands, rows), "doc_id long, key long, check long, size long, sig binary, mark long"), "signed")
+    held = [F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig")]
+    nodes = signed.where("key is not null").groupBy("key", "check").agg(*held)
+    return signed.select("doc_id", "key", "check", "mark"), stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, bands: int = 25, rows: int = 4) -> DataFrame:
@@ -345,14 +346,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if threshold < 0.8:
         raise ValueError("families are only proven to hold links at 0.8 or more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed, nodes, seed = _signed(docs, width, bands, rows)
+    signed, nodes = _signed(docs, width, bands, rows)
     small = stage(nodes.select("node", "sig").mapInArrow(_low_bytes, "node long, sig binary"), "low")
     families = components(_families(nodes, small, bands, rows, tolerance))
     sizes = families.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
-    members = families.join(stage(sizes, "sizes"), "component").join(nodes.select("node", "first", "copies"), "node")
-    members = stage(members.select("component", "node", "first", "copies", blocks), "members")
-    apart = stage(_apart(docs, members, width, seed), "apart")
+    members = families.join(stage(sizes, "sizes"), "component").join(nodes.select("node", "key", "check", "first", "copies"), "node")
+    members = stage(members.select("component", "node", "key", "check", "first", "copies", blocks), "members")
+    apart = stage(_apart(docs, members, width), "apart")
     placed = apart.join(members.select("node", "copies", "blocks"), "node").join(small, "node")
     dealt = placed.withColumn("block", _block()).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "copies", "more", "less", "sig", "block")
@@ -364,11 +365,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     forest = stage(by_group(dealt, ["component", "low", "high"], _verify(threshold, tolerance), "a long, b long, links long"), "forest")
     classes = components(forest.select("a", "b"))
     links = forest.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    joined = nodes.select("node", "first", "copies").join(stage(classes.join(links, "node"), "classed"), "node", "left")
-    joined = stage(joined.select("node", "first", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "joined")
+    joined = nodes.select("node", "key", "check", "first", "copies").join(stage(classes.join(links, "node"), "classed"), "node", "left")
+    joined = stage(joined.select("key", "check", "first", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "joined")
     whole = stage(joined.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")), "whole")
-    by_node = stage(joined.join(whole, "component").select("node", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "by_node")
-    placed = signed.select("doc_id", "mark", "node").join(by_node, "node", "left")
+    by_node = stage(joined.join(whole, "component").select("key", "check", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "by_node")
+    placed = signed.join(by_node, ["key", "check"], "left")
     alone = F.col("class_size").isNull()
     return placed.select(
         "doc_id",

@@ -261,12 +261,15 @@ def test_recall_of_planted_pairs(spark):
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(1500)) == found
 
 
-def test_keys_that_sets_share_are_found_out(spark, monkeypatch):
+def test_sets_that_share_half_a_key_stay_apart(spark, monkeypatch):
     real = near_dup.set_key
-    monkeypatch.setattr(near_dup, "set_key", lambda found, seed=0: real(found, seed) % 3 if seed == 0 else real(found, seed))
-    rows = [(i, f"a b c d e f g text {i}") for i in range(12)]
-    signed, nodes, seed = near_dup._signed(spark.createDataFrame(rows, "doc_id long, text string"), 5, 25, 4)
-    assert seed > 0 and nodes.count() == 12
+    monkeypatch.setattr(near_dup, "set_key", lambda found, seed: real(found, seed) % 3 if seed == 0 else real(found, seed))
+    monkeypatch.setattr(near_dup, "SEEN", 1)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: 30 + i // 4], f"x{i // 2}"])) for i in range(24)] + [(5, " ".join([*words[:31], "x2"])), (None, "one two three")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted = brute_classes(rows[:24])
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == {i: c for i, (c, _) in wanted.items()} and len(got) == len(rows)
 
 
 def test_raked_shares_meet_all_marginals(spark):
