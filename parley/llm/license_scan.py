@@ -6,6 +6,9 @@ overlap - is ceil(threshold * t), and a block that matches must hold one of the
 the templates at all (length filter), and from its first common word on must have enough words left on both sides (positional
 filter). Candidates are made by an index join on prefix words, each pair only at its first common word, and then verified.
 
+A notice of five words holds four of them by chance or for another license. So each template names the words that tell it apart, which
+a block must hold too, and of templates of one family a block matches the most telling one.
+
 A notice may be wrapped. From each line a run of lines reaches as far as a notice can that begins in it: its inner lines hold
 fewer words than the longest template, and a line without words ends it. Runs are blocks of the same join; a run counts for a
 template only if none of its lines matches that template by itself.
@@ -53,6 +56,32 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
     "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
 }
+#: The words of a template that tell it from others: a block without them is no match, however many of the rest it holds.
+MUST = {
+    "agpl-3.0": "gnu affero general 3",
+    "apache-2.0": "apache license",
+    "boost-1.0": "boost software",
+    "bsd": "redistribution source binary",
+    "cc-by-4.0": "cc by",
+    "cc-by-nc-4.0": "cc by nc",
+    "cc-by-sa-4.0": "cc by sa",
+    "cc0-1.0": "waived copyright",
+    "epl-2.0": "eclipse",
+    "gpl": "gnu general",
+    "gpl-3.0": "gnu general 3",
+    "isc": "permission fee granted",
+    "lgpl-3.0": "gnu lesser general 3",
+    "mit": "mit",
+    "mit-grant": "permission granted charge software",
+    "mpl-2.0": "mozilla",
+    "odbl-1.0": "database license",
+    "proprietary": "confidential proprietary",
+    "public-domain": "released public domain",
+    "unlicense": "unencumbered released public domain",
+    "zlib": "software warranty liable",
+}
+#: Templates that say more and less of the same: of a family a block matches one, the one that tells most apart and then holds most words.
+FAMILIES = {"agpl-3.0": "gnu", "gpl": "gnu", "gpl-3.0": "gnu", "lgpl-3.0": "gnu", "cc-by-4.0": "cc", "cc-by-nc-4.0": "cc", "cc-by-sa-4.0": "cc", "public-domain": "domain", "unlicense": "domain"}
 MOST_TEMPLATE_WORDS = 10_000
 
 
@@ -92,16 +121,20 @@ def longest_template(templates: Mapping[str, str]) -> int:
     return max(len(re.findall(WORD, v.lower())) for v in templates.values())
 
 
-def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, separator: str = "\n") -> DataFrame:
+def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, must: Mapping[str, str] = MUST, families: Mapping[str, str] = FAMILIES, threshold: float = 0.8, separator: str = "\n") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks; a row for each row of ``docs``.
 
     n_base counts all places where PHRASES stand, first_word and last_word are the first and last of them (null without any).
-    labels holds the labels of phrases and of the templates that a block matches; n_blocks counts those blocks. score is the
+    labels holds the labels of phrases and of the templates that a block matches; a template that ``must`` leaves out needs no word in
+    particular, and one that ``families`` leaves out is alone in its family. n_blocks counts those blocks. score is the
     largest containment of a matched template (runs that overlap are one block), 1 where a phrase stands, else 0. Null and empty
     texts have no words; very long ones are scanned whole. Ids may be null or repeat; rows that agree in all of their columns each
     keep a row. Other columns are not read and may have any name. An empty table gives an empty result.
     """
     held = _template_words(templates)
+    telling = {k: sorted(set(must.get(k, "").split())) for k in held}
+    if any(set(ws) - set(held[k]) for k, ws in telling.items()):
+        raise ValueError("the telling words of a template are words of it")
     longest = longest_template(templates)
     vocabulary = sorted({w for ws in held.values() for w in ws})
     known = F.array(*[F.lit(w) for w in vocabulary])
@@ -119,8 +152,11 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # Only documents that hold enough words of some template at all can have a block that does.
     base = base.withColumn("known", F.array_intersect("words", known))
     enough = F.lit(False)
-    for ws in held.values():
-        enough = enough | (F.size(F.array_intersect("known", F.array(*[F.lit(w) for w in ws]))) >= math.ceil(threshold * len(ws) - 1e-9))
+    for k, ws in held.items():
+        there = F.size(F.array_intersect("known", F.array(*[F.lit(w) for w in ws]))) >= math.ceil(threshold * len(ws) - 1e-9)
+        for w in telling[k]:
+            there = F.array_contains("known", w) & there
+        enough = enough | there
     base = base.select(
         "row",
         "doc_id",
@@ -137,7 +173,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     base = stage(base.withColumn("blocks", F.coalesce(blocks, F.array().cast("array<struct<first:int,last:int,held:array<string>>>"))).drop("lines"), "licenses")
     placed = base.where(F.size("blocks") > 0).select("row", F.explode("blocks").alias("b")).select("row", F.struct("b.first", "b.last").alias("block"), "b.held")
     counts = stage(placed.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "counts")
-    ordered, index, whole = _index(counts, held, threshold)
+    ordered, index, whole = _index(counts, held, threshold, telling, families)
     placed = placed.join(F.broadcast(ordered), F.lit(True)).select("row", "block", F.filter("words", lambda w: F.array_contains("held", w)).alias("held"))
     probes = placed.select("row", "block", "held", F.posexplode("held").alias("at", "word"))
     met = probes.join(F.broadcast(index), "word")
@@ -145,7 +181,9 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     earlier = F.array_intersect(F.slice("held", F.lit(1), F.col("at")), F.slice("prefix", F.lit(1), F.col("place")))
     met = met.where((F.size("held") >= F.col("a")) & (left >= F.col("a")) & (F.size(earlier) == 0))
     met = met.join(F.broadcast(whole), "template").withColumn("both", F.size(F.array_intersect("held", "all")))
-    met = met.where(F.col("both") >= F.col("a")).select("row", "block", "template", (F.col("both") / F.col("t")).alias("share"))
+    met = met.where((F.col("both") >= F.col("a")) & (F.size(F.array_intersect("must", "held")) == F.size("must")))
+    rank = F.struct((-F.size("must")).alias("m"), (-F.col("both")).alias("b"), "template", (F.col("both") / F.col("t")).alias("share"))
+    met = met.groupBy("row", "block", "family").agg(F.min(rank).alias("best")).select("row", "block", "best.template", "best.share")
     met = _matched(met)
     found = met.groupBy("row").agg(F.array_sort(F.collect_set("template")).alias("found"), F.max("share").alias("share"), F.count_distinct("block").alias("n_blocks"))
     out = base.drop("blocks").join(found, "row", "left")
@@ -194,8 +232,9 @@ def _matched(met: DataFrame) -> DataFrame:
     return met.select("row", F.max("block.first").over(Window.partitionBy("row", "template", "start")).alias("block"), "template", "share")
 
 
-def _index(counts: DataFrame, held: Mapping[str, list[str]], threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All template words in order of frequency (one row); the index word -> template of prefix words; the templates' words."""
+def _index(counts: DataFrame, held: Mapping[str, list[str]], threshold: float, telling: Mapping[str, list[str]], families: Mapping[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All template words in order of frequency (one row); the index word -> template of prefix words; the templates' words,
+    telling words and families."""
     spark = counts.sparkSession
     rows = [(k, w, len(ws), math.ceil(threshold * len(ws) - 1e-9)) for k, ws in held.items() for w in ws]
     table = spark.createDataFrame(rows, "template string, word string, t int, a int").join(F.broadcast(counts), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -204,4 +243,5 @@ def _index(counts: DataFrame, held: Mapping[str, list[str]], threshold: float) -
     whole = table.groupBy("template", "t", "a").agg(order.alias("o")).select("template", "t", "a", F.col("o.word").alias("all"))
     prefix = F.slice("all", F.lit(1), F.col("t") - F.col("a") + 1)
     index = whole.select("template", "t", "a", prefix.alias("prefix"), F.posexplode(prefix).alias("place", "word"))
-    return ordered, index, whole.select("template", "all")
+    more = spark.createDataFrame([(k, telling[k], families.get(k, f"={k}")) for k in held], "template string, must array<string>, family string")
+    return ordered, index, whole.select("template", "all").join(F.broadcast(more), "template")

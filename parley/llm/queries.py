@@ -102,14 +102,15 @@ def license_sql() -> str:
     phrase = lambda p: " AND ".join(f"ws[i + {k + 1}] = {_quoted(w)}" for k, w in enumerate(p.split()))
     places = " OR ".join(f"({phrase(p)})" for p in license_scan.PHRASES)
     labels = " UNION ALL ".join(f"SELECT r, {_quoted(v)} AS label FROM w WHERE len(list_filter(range(0, len(ws)), lambda i: {phrase(p)})) > 0" for p, v in license_scan.PHRASES.items())
-    templates = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license_scan.TEMPLATES.items())
+    told = lambda k: "[" + ", ".join(map(_quoted, license_scan.MUST[k].split())) + "]"
+    templates = ", ".join(f"({_quoted(k)}, {_quoted(v)}, {told(k)}, {_quoted(license_scan.FAMILIES.get(k, k))})" for k, v in license_scan.TEMPLATES.items())
     longest = license_scan.longest_template(license_scan.TEMPLATES)
     return rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, x, regexp_extract_all(x, '{license_scan.WORD}') AS ws
            FROM (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x FROM documents)),
 b AS (SELECT r, doc_id, len(ws) AS n_words, list_filter(range(0, len(ws)), lambda i: {places}) AS p FROM w),
 labelled AS ({labels}),
-t AS (SELECT k, list_distinct(regexp_extract_all(lower(v), '{license_scan.WORD}')) AS tw FROM (VALUES {templates}) AS v(k, v)),
+t AS (SELECT k, list_distinct(regexp_extract_all(lower(v), '{license_scan.WORD}')) AS tw, must, family FROM (VALUES {templates}) AS v(k, v, must, family)),
 line AS (SELECT r, i, regexp_extract_all(line, '{license_scan.WORD}') AS lw
          FROM (SELECT r, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM w)),
 summed AS (SELECT r, i, lw, len(lw) AS n, sum(len(lw)) OVER o AS words, count(*) FILTER (len(lw) = 0) OVER o AS blank FROM line WINDOW o AS (PARTITION BY r ORDER BY i)),
@@ -118,7 +119,8 @@ reach AS (SELECT a.r, a.i AS first, max(b.i) AS last FROM summed AS a JOIN summe
 blocks AS (SELECT r, i AS first, i AS last, list_distinct(lw) AS bw FROM line
            UNION ALL SELECT r, first, last, list_distinct(flatten(list(lw))) FROM reach JOIN line USING (r) WHERE i BETWEEN first AND last GROUP BY r, first, last),
 fit AS (SELECT r, first, last, k, len(list_intersect(bw, tw)) / len(tw) AS share FROM blocks, t
-        WHERE len(list_intersect(bw, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+        WHERE len(list_intersect(bw, tw)) >= ceil(0.8 * len(tw) - 1e-9) AND len(list_intersect(bw, must)) = len(must)
+        QUALIFY row_number() OVER (PARTITION BY r, first, last, family ORDER BY len(must) DESC, len(list_intersect(bw, tw)) DESC, k) = 1),
 met AS (SELECT * FROM fit AS a WHERE first = last OR NOT EXISTS (FROM fit AS b WHERE a.r = b.r AND a.k = b.k AND b.first = b.last AND b.first BETWEEN a.first AND a.last)),
 apart AS (SELECT *, CASE WHEN coalesce(max(last) OVER (PARTITION BY r, k ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < first, true) THEN first END AS start FROM met),
 island AS (SELECT *, last_value(start IGNORE NULLS) OVER (PARTITION BY r, k ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM apart),
@@ -218,7 +220,8 @@ def audit_sql() -> str:
     letters = ", ".join(f"('{f}', {1 << i})" for i, f in enumerate(fails))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
-w AS (SELECT *, regexp_extract_all(x, '[^ 	-]+') AS ws, doc_id > min(doc_id) OVER (PARTITION BY x) AS again FROM d),
+w AS (SELECT *, regexp_extract_all(x, '[^ 	-
+]+') AS ws, doc_id > min(doc_id) OVER (PARTITION BY x) AS again FROM d),
 m AS (SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
              + CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) THEN 4 ELSE 0 END
              + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN again THEN 16 ELSE 0 END AS m FROM w),
@@ -243,7 +246,10 @@ def middle_sql() -> str:
     p, s, m = fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-u AS (SELECT *, regexp_extract_all(x, '[ 	-]*[^ 	-]+|[ 	-]+') AS u FROM d),
+u AS (SELECT *, regexp_extract_all(x, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS u FROM d),
 n AS (SELECT *, len(u)::BIGINT AS n, {number(0)} % (len(u) + 1) AS a, {number(1)} % (len(u) + 1) AS b,
              CASE WHEN x = '' OR contains(x, '{p}') OR contains(x, '{s}') OR contains(x, '{m}') OR {number(2)} % 100 >= 50 THEN 'plain' WHEN {number(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
 c AS (SELECT *, {part(1, "least(a, b)")} AS prefix, {part("least(a, b) + 1", "greatest(a, b)")} AS middle, {part("greatest(a, b) + 1", "n")} AS suffix FROM n)

@@ -291,6 +291,30 @@ def test_wrapped_notices_match(spark):
     assert got == {0: ("bsd", 1), 1: ("mpl-2.0", 1), 2: ("mit", 1), 3: ("", 0), 4: ("apache-2.0,mit", 2), 5: ("bsd", 1)}
 
 
+def test_notices_get_the_license_they_name_and_no_other(spark):
+    texts = {
+        "Released under the Apache License.": "",
+        "Licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+        "Licensed under the GNU Affero General Public License version 3": "agpl-3.0,gpl",
+        "the software under license was released in May": "",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+        "Licensed under the GNU Lesser General Public License, version 3": "gpl,lgpl-3.0",
+        "Licensed under the MIT License": "mit",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0,gpl",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "gpl,lgpl-3.0",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "Licensed under the GNU General Public License version 2": "gpl",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Released under\nthe GNU\nAffero General Public License,\nversion 3": "agpl-3.0,gpl",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    with pytest.raises(ValueError):
+        license_scan(docs, must={"mit": "other"})
+
+
 def test_leaders_left_after_the_rounds_are_compared(spark, monkeypatch):
     from parley.llm import near_dup
 
