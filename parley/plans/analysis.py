@@ -112,3 +112,19 @@ def visuals_payload(spark, sf_dir):
     shown = points(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 3 == 0, True).alias("kept_by_threshold"))
     evaluation = spark.createDataFrame([("labels", 0.75)], "representation string, accuracy double")
     return visuals.payload(shown, *tree(spark, sf_dir), privacy.summary(audits(spark, sf_dir)), evaluation)
+
+
+@query(f"""WITH {_AUDITS}, {_TREE}, l AS (SELECT DISTINCT label::INTEGER AS label, 'k' || label::INTEGER AS name, label > 4 AS kept FROM embeddings WHERE label % 2 = 0),
+ q AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, e.label::INTEGER AS cluster, coalesce(name, 'Cluster ' || e.label::INTEGER) AS name, coalesce(kept, vec_id % 3 = 0) AS kept FROM embeddings AS e LEFT JOIN l ON l.label = e.label),
+ w AS (SELECT t.*, round(t.size / coalesce(u.size, (SELECT sum(size) FROM top)), 6) AS share FROM t LEFT JOIN t AS u ON t.parent = u.node_id),
+ g AS (SELECT stage, rating, count(*) AS n FROM a GROUP BY ALL)
+ SELECT 'point' AS section, vec_id::VARCHAR AS id, cluster::VARCHAR AS parent, name, x, y, NULL::BIGINT AS size, NULL::INTEGER AS level, kept, NULL::DOUBLE AS value, NULL::VARCHAR AS histogram FROM q
+ UNION ALL SELECT 'cluster', cluster::VARCHAR, NULL, name, round(avg(x), 6), round(avg(y), 6), count(*), NULL, bool_or(kept), NULL, NULL FROM q GROUP BY cluster, name
+ UNION ALL SELECT 'node', node_id, parent, name, NULL, NULL, size, level, NULL, share, NULL FROM w UNION ALL SELECT 'root', node_id, NULL, name, NULL, NULL, size, level, NULL, NULL, NULL FROM w WHERE parent IS NULL
+ UNION ALL SELECT 'stage', stage, NULL, NULL, NULL, NULL, sum(n)::BIGINT, NULL, NULL, round(coalesce(sum(n) FILTER (rating >= 3), 0) / sum(n), 6), string_agg(rating || ':' || n, ',' ORDER BY rating) FROM g GROUP BY stage
+ UNION ALL SELECT 'ablation', lang, NULL, NULL, NULL, NULL, NULL, NULL, NULL, round(avg(quality), 6), NULL FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def visuals_sections(spark, sf_dir):
+    p = points(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), F.col("label").alias("cluster_id"), (F.col("vec_id") % 3 == 0).alias("kept_by_threshold"))
+    labels = p.select("cluster_id").distinct().where("cluster_id % 2 = 0").select("cluster_id", F.concat(F.lit("k"), F.col("cluster_id").cast("string")).alias("name"), (F.col("cluster_id") > 4).alias("kept"))
+    judged = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("lang").alias("representation")).agg(F.round(F.avg("quality"), 6).alias("accuracy"))
+    return visuals.sections(p, labels, *tree(spark, sf_dir), audits(spark, sf_dir), judged)

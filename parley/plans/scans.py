@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from parley.functions import text
 from parley.operators import conversations, phases, providers
 from parley.plans import _CODES, _EXTERNAL, _FACETS, MAPPING, defective_lines, event_lines, external_lines, messages, query, table
 from parley.sources import jsonl, manifest, tables
@@ -138,3 +139,24 @@ def input_order(spark, sf_dir):
 def length_contract(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"), F.col("source").alias("name"))
     return conversations.length_faults(d, "doc_id", {k: conversations.LENGTHS[k] for k in ("description", "name")})
+
+
+@query(f"WITH {_EXTERNAL} SELECT conv_id + 1 AS line_number, coalesce(u, 'synth') AS conversation_id, 'h' AS user_id, n::INTEGER AS n_messages, 'conversation,meta' AS leftover FROM r WHERE conv_id % 7 <> 0")
+def normalize_nested(spark, sf_dir):
+    """The lines of ``external_lines`` with all but the title under dotted keys."""
+    line = F.col("line")
+    field = lambda k: F.get_json_object(line, f"$.{k}")
+    told = F.from_json(field("messages"), "array<struct<`from`:string,value:string>>")
+    nested = F.to_json(F.struct(F.struct(field("id").alias("id"), field("userHash").alias("user")).alias("meta"), F.struct(field("createdAt").alias("at"), told.alias("turns")).alias("conversation")))
+    lines = external_lines(spark, sf_dir).withColumn("line", nested)
+    mapping = {"conversation_id": "meta.id", "user_id": "meta.user", "timestamp": "conversation.at", "messages": "conversation.turns"}
+    rows, _ = jsonl.normalized(lines, mapping)
+    name = F.when(F.col("conversation_id").rlike("^synth-[0-9a-f]{16}$"), F.lit("synth")).otherwise(F.col("conversation_id"))
+    return rows.select("line_number", name.alias("conversation_id"), "user_id", F.size("messages").alias("n_messages"), F.array_join("source_payload_keys", ",").alias("leftover"))
+
+
+@query(r"""SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '\s+', '_', 'g'), '[^A-Za-z0-9._-]', '', 'g'), 1, 64) AS slug,
+ md5(CASE WHEN length(x) <= 120 THEN x ELSE substr(x, 1, 117) || '...' END) AS preview FROM (SELECT doc_id, text AS x FROM documents)""")
+def slugs_and_previews(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.slug(F.col("text")).alias("slug"), F.md5(text.preview(F.col("text"))).alias("preview"))

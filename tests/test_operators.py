@@ -354,3 +354,13 @@ def test_silhouette_sample_is_not_a_prefix(spark):
     rows = [(i, int(i >= 300), [float(i >= 300), (i % 7) / 100]) for i in range(600)]
     points = spark.createDataFrame(rows, "vec_id long, label int, v array<double>")
     assert vectors.silhouette(points, sample=300).first().score > 0.9
+
+
+def test_main_components_equal_plain_ones(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 1, (80, 5)) * [5, 1, 3, 0.5, 0.1] + 7
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    got = np.array([[r.x, r.y] for r in vectors.pca_map(points).orderBy("vec_id").collect()])
+    _, _, loads = np.linalg.svd(v - v.mean(axis=0), full_matrices=False)
+    loads = loads[:2] * np.sign(loads[:2][np.arange(2), np.abs(loads[:2]).argmax(axis=1)])[:, None]
+    assert np.allclose(got, (v - v.mean(axis=0)) @ loads.T)
