@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -176,18 +176,19 @@ LABEL, NO_LABEL = "name string, description string", {"name": "Cluster {id}", "d
 AUDIT, NO_AUDIT = "rating int, justification string", {"rating": 1, "justification": "Audit failed; conservative rating."}
 
 
-def cluster_labels(facets: DataFrame, order: str, provider: Answerer | None = None, sample: int = 12) -> DataFrame:
+def cluster_labels(facets: DataFrame, order: str, provider: Answerer | None = None, sample: int = 12, ask: Callable[..., DataFrame] = answered) -> DataFrame:
     """(cluster_id, name, description, fallback_used, error) from the first ``sample`` summaries of each cluster of facets
-    (cluster_id, summary, order); a cluster without an answer is called ``Cluster <id>``."""
+    (cluster_id, summary, order); a cluster without an answer is called ``Cluster <id>``. ``ask`` is ``answered``, or a phase that resumes."""
     first = lead_sample(facets.select("cluster_id", F.col(order).alias("ord"), "summary"), "cluster_id", "ord", sample)
     told = first.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "summary"))), lambda x: x["summary"]), "\n").alias("t"))
-    return answered(told, "cluster_id", "t", "label", LABEL, NO_LABEL, provider)
+    return ask(told, "cluster_id", "t", "label", LABEL, NO_LABEL, provider=provider)
 
 
-def audited(texts: DataFrame, provider: Answerer | None = None, batch: int = 12) -> DataFrame:
-    """(stage, id, rating, justification, fallback_used, error) of texts (stage, id, content); an audit that fails rates 1."""
+def audited(texts: DataFrame, provider: Answerer | None = None, batch: int = 12, ask: Callable[..., DataFrame] = answered) -> DataFrame:
+    """(stage, id, rating, justification, fallback_used, error) of texts (stage, id, content); an audit that fails rates 1. ``ask`` is
+    ``answered``, or a phase that resumes."""
     keyed = texts.select(F.concat_ws(":", "stage", "id").alias("k"), "content")
-    found = answered(keyed, "k", "content", "audit", AUDIT, NO_AUDIT, provider, batch)
+    found = ask(keyed, "k", "content", "audit", AUDIT, NO_AUDIT, provider=provider, batch=batch)
     return found.select(F.substring_index("k", ":", 1).alias("stage"), F.expr("substring(k, instr(k, ':') + 1)").alias("id"), "rating", "justification", "fallback_used", "error")
 
 

@@ -1,5 +1,6 @@
 """Phases that go on after a failure, promotion, tails of logs, and rows paired by position."""
 
+import functools
 import json
 import os
 import threading
@@ -84,6 +85,18 @@ def test_errors_drop_out_after_success(spark, tmp_path):
     assert manifest.read(spark, root)[1]["waves"]["a"][-1]["rows"] == 2
 
 
+def test_labels_and_audits_resume(spark, tmp_path):
+    facets = spark.createDataFrame([(k % 4, i, f"word{k} {i}") for i, k in enumerate([0, 1, 2, 3] * 5)], "cluster_id int, n int, summary string")
+    texts = spark.createDataFrame([("raw", str(i), "a@b.org" if i % 3 else "fine") for i in range(12)], "stage string, id string, content string")
+    root = str(tmp_path)
+    for name, go in (("labels", lambda **x: providers.cluster_labels(facets, "n", **x)), ("audits", lambda **x: providers.audited(texts, **x))):
+        ask = functools.partial(phases.run_phase, root=root, name=name, wave_rows=3)
+        wanted = sorted(map(str, go().collect()))
+        assert sorted(map(str, go(ask=ask).collect())) == wanted
+        waves = len(manifest.read(spark, root)[1]["waves"][name])
+        assert waves > 1 and sorted(map(str, go(ask=ask).collect())) == wanted and len(manifest.read(spark, root)[1]["waves"][name]) == waves
+
+
 class Counting:
     """Knows how many requests are open at once, and fails batches of chosen numbers."""
 
