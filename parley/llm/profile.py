@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from parley.llm.common import byte_table, LOWERED, mixed, slices, small_batches, span_hashes, spans, UNSPACED, window_hashes, word_hashes, WORDLIKE
 from parley.llm.common import _BYTES
 
-#: Frequent function words of some languages.
+#: Frequent function words of four languages: a feature of the classifier, which learns what they are worth; other languages have none of them.
 COMMON_WORDS = (
     "the of and to in is that for was with as be this it on by are from or an "
     "der die und das den von zu mit für auf ist im nicht ein eine als auch sich "
