@@ -127,6 +127,18 @@ def read_object(spark: SparkSession, root: str, name: str) -> dict:
     return manifest.read(spark, root)[1].get("objects", {}).get(name, {})
 
 
+def read_object_file(spark: SparkSession, path: str) -> dict:
+    """The JSON object that a file holds, as other tools write it; {} if the file is missing, torn or holds something else."""
+    if not manifest.exists(spark, path):
+        return {}
+    rows = spark.read.text(path, wholetext=True).limit(1).collect()
+    try:
+        value = json.loads(rows[0]["value"]) if rows else {}
+    except ValueError:
+        return {}
+    return value if isinstance(value, dict) else {}
+
+
 #: The head of the table that ``report_lines`` makes.
 REPORT_HEAD = ("# Evaluation", "", "| representation | n | accuracy | macro F1 | weighted F1 |", "|-|-|-|-|-|")
 

@@ -191,6 +191,10 @@ def test_objects_and_loaders(spark, tmp_path):
     facets = tables.resumable(spark, root, "facets").collect()
     assert [(r.conversation_id, r.message_count, r.language) for r in facets] == [("c", 2, None)]
     assert [tables.resumable(spark, root, k).count() for k in ("labeled_clusters", "hierarchy", "evaluation")] == [0, 0, 0]
+    assert [tables.read_object_file(spark, f"{root}/{k}.json") for k in ("none", "labeled_clusters", "hierarchy")] == [{}, {}, {"other": 1}]
+    (tmp_path / "list.json").write_text("[1]")
+    (tmp_path / "blank.json").write_text("")
+    assert [tables.read_object_file(spark, f"{root}/{k}.json") for k in ("list", "blank")] == [{}, {}]
     (tmp_path / "privacy_audit.json").write_text('{"audits": [{"stage": "raw", "id": "1", "rating": 5}]}')
     assert [t.count() for t in tables.resumable_privacy(spark, root)] == [0, 0]
     (tmp_path / "gated_clusters.json").write_text('{"clusters": []}')
