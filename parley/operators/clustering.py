@@ -64,9 +64,9 @@ def with_noise(points: DataFrame, policy: str, *, order: str = "vec_id", vector:
 
 
 def dense_labels(points: DataFrame) -> DataFrame:
-    """Labels renumbered 0, 1, ... in their order; ranks are counted over the distinct labels alone, in ranges of them."""
-    ranks = numbered_within(points.select("label").distinct(), [], "label").select("label", (F.col("parley_n") - 1).cast("int").alias("dense"))
-    return points.join(ranks, "label").drop("label").withColumnRenamed("dense", "label")
+    """Labels renumbered 0, 1, ... in their order, a null label last; ranks are counted over the distinct labels alone, in ranges of them."""
+    ranks = numbered_within(points.select("label").distinct(), [], "label").select(F.col("label").alias("parley_was"), (F.col("parley_n") - 1).cast("int").alias("parley_dense"))
+    return points.join(ranks, F.col("label").eqNullSafe(F.col("parley_was"))).drop("label", "parley_was").withColumnRenamed("parley_dense", "label")
 
 
 def largest(points: DataFrame) -> DataFrame:

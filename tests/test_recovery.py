@@ -252,6 +252,15 @@ def test_rows_without_an_order_are_last(spark):
     assert {r.o: r.unique_id for r in got if r.id == "a"} == {1: "a", 2: "a_dup1", None: "a_dup2"}
 
 
+def test_null_labels_and_orders_keep_their_rows(spark):
+    from parley.operators import clustering
+
+    points = spark.createDataFrame([(1, 7), (2, None), (3, 3), (4, None), (5, 7)], "vec_id long, label int")
+    assert {r.vec_id: r.label for r in clustering.dense_labels(points).collect()} == {1: 1, 2: 2, 3: 0, 4: 2, 5: 1}
+    placed = spark.createDataFrame([(0, "a", 2), (0, "b", None), (0, "c", 1), (None, "d", 5)], "cluster_id int, conversation_id string, ord long")
+    assert {r.conversation_id: r.position for r in clustering.members(placed, "ord").collect()} == {"a": 2, "b": 3, "c": 1, "d": 1}
+
+
 def test_trees_of_any_depth(spark):
     n = 70
     edges = spark.createDataFrame([(f"n{i + 1:02d}", f"n{i:02d}") for i in range(n)], "parent_id string, child_id string")
