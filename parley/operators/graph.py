@@ -14,25 +14,31 @@ MAX_ROUNDS = 100
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b: long); the component is its smallest node.
 
-    Each round hands every node the smallest of its neighbours' labels and of its label's label, so that chains shorten by half.
-    Labels and edges are written to the shared folder; hubs meet in joins that Spark splits and in sums made before the shuffle.
-    Self-loops make a node known. Null ends are left out.
+    In each round every component points to the smallest one that it has an edge to, and where pointers end is one component; only
+    the two smallest of these can point to each other. All that have an edge merge, so those left at least halve in each round, however long the
+    paths are, and edges within a component are dropped. Labels and edges are written to the shared folder; hubs meet in joins
+    that Spark splits and in sums made before the shuffle. Self-loops make a node known. Null ends are left out.
     """
     edges = edges.where("a is not null and b is not null")
-    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
+    links = stage(_links(edges), "edges")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = stage(nodes.select("node", F.col("node").alias("component")), "labels")
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        of = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        lower = labels.join(near, "node", "left").join(of, "label", "left").select("node", F.least("near", "beyond", "label").alias("low"), "label")
-        lower = stage(lower, "labels")
-        changed = lower.where("low <> label").limit(1).count()
-        labels = lower.select("node", F.col("low").alias("label"))
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+        if not links.limit(1).count():
+            return labels
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a"))
+        merged = roots(both.groupBy("node").agg(F.min("to").alias("to")))
+        of = lambda p: merged.select(F.col("node").alias(p), F.col("component").alias(f"to_{p}"))  # noqa: B023, E731
+        labels = labels.join(of("component"), "component", "left").select("node", F.coalesce("to_component", "component").alias("component"))
+        labels = stage(labels, "labels")
+        links = stage(_links(links.join(of("a"), "a").join(of("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))), "edges")
     raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def roots(pointers: DataFrame) -> DataFrame:
     """(node, component) of pointers (node, to): where following them ends; two nodes that point to each other end at the smaller.
 
