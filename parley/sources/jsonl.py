@@ -47,9 +47,14 @@ def _typed(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
+def repeated_keys(spark: SparkSession) -> None:
+    """From now on JSON objects of the session may repeat a key."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """line_number, line (stripped), v (null for bad JSON) and is_object of the lines that are not blank."""
-    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    repeated_keys(lines.sparkSession)
     held = lines.select("line_number", strip(F.col("line")).alias("line")).where("line <> ''").withColumn("v", F.try_parse_json("line"))
     return held.withColumn("is_object", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
 
@@ -88,6 +93,7 @@ def checked(lines: DataFrame) -> DataFrame:
 
 def conversations_of(found: DataFrame) -> DataFrame:
     """Typed conversations from valid lines."""
+    repeated_keys(found.sparkSession)
     v, at = F.try_parse_json("line"), lambda k: F.get_json_object("line", f"$.{k}")
     messages = F.transform(F.try_variant_get(v, "$.messages", "array<variant>"), lambda m: F.struct(F.try_variant_get(m, "$.role", "string").alias("role"), F.try_variant_get(m, "$.content", "string").alias("content")))
     time = time_of(F.try_variant_get(v, "$.timestamp", "string"))[0]
@@ -134,7 +140,8 @@ def capped(lines: DataFrame, most: int = 400) -> DataFrame:
 
 
 def object_or_empty(text: Column) -> Column:
-    """The text of a JSON object; ``{}`` for anything else."""
+    """The text of a JSON object; ``{}`` for anything else. Repeated keys are allowed, whatever the session had set."""
+    repeated_keys(SparkSession.active())
     return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text).otherwise(F.lit("{}"))
 
 
@@ -251,6 +258,7 @@ def normalized(lines: DataFrame, mapping: dict[str, str | None]) -> tuple[DataFr
     An id is used up before its messages are looked at. A missing id is made from the line, a missing user is unknown_user, a
     missing time is the epoch.
     """
+    repeated_keys(lines.sparkSession)
     at = lambda k: F.get_json_object("line", f"$.{mapping[k]}") if mapping.get(k) else F.lit(None).cast("string")
     held = lines.select("line_number", strip(F.col("line")).alias("line")).where("line <> ''").withColumn("v", F.try_parse_json("line"))
     held = held.withColumn("reason", F.when(F.col("v").isNull(), "invalid_json").when(~F.schema_of_variant("v").startswith("OBJECT"), "non_object_line"))

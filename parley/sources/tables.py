@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.sources import manifest
+from parley.sources.jsonl import repeated_keys
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,6 +42,7 @@ def resumable(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the run at ``root``, empty if it was not written: a Parquet folder, JSON lines, or an object that holds rows under the
     key of ROWS. A torn line gives no row, an object that is torn or lacks the key no rows: what they held is made again."""
     schema = RESUMABLE[name]
+    repeated_keys(spark)
     if manifest.exists(spark, f"{root}/{name}"):
         return read_or_empty(spark, f"{root}/{name}", schema)
     fields = f"struct<{schema}>"
