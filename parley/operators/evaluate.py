@@ -89,20 +89,20 @@ def synthetic(spark: SparkSession, n: int = 120, *, topics: int = 8, languages:
     )
 
 
-#: Words that count: two letters or more, in the Unicode sense.
-WORD = r"(?U)\b\w\w+\b"
+#: Words that count: two letters or more, in the Unicode sense. Runs are taken whole, so nothing need be asked about their ends.
+WORD = r"(?U)\w\w+"
 
 
 def tfidf(df: DataFrame, key: str, text: str, width: int = 256) -> DataFrame:
-    """(key, v): unit sparse vectors of term frequency by inverse document frequency over the ``width`` most frequent words of two letters or more."""
+    """(key, v): unit sparse vectors of term frequency by inverse document frequency over the ``width`` most frequent words of two letters or more.
+
+    Texts are read twice, for the words that count and for their numbers; these are written to the shared folder.
+    """
     held = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("parley_t"))
-    steps = [
-        RegexTokenizer(inputCol="parley_t", outputCol="parley_w", pattern=WORD, gaps=False),
-        CountVectorizer(inputCol="parley_w", outputCol="parley_c", vocabSize=width),
-        IDF(inputCol="parley_c", outputCol="parley_i"),
-        Normalizer(inputCol="parley_i", outputCol="v"),
-    ]
-    return Pipeline(stages=steps).fit(held).transform(held).select(key, "v")
+    words = Pipeline(stages=[RegexTokenizer(inputCol="parley_t", outputCol="parley_w", pattern=WORD, gaps=False), CountVectorizer(inputCol="parley_w", outputCol="parley_c", vocabSize=width)])
+    counts = stage(words.fit(held).transform(held).select(key, "parley_c"), "counts")
+    steps = Pipeline(stages=[IDF(inputCol="parley_c", outputCol="parley_i"), Normalizer(inputCol="parley_i", outputCol="v")])
+    return steps.fit(counts).transform(counts).select(key, "v")
 
 
 def represented(rows: DataFrame, key: str, text: str, provider: Embedder | None) -> tuple[DataFrame, str, str | None]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,11 @@ class Answerer(Protocol):
         """Answers to (id, text) pairs, each with its ``id``."""
 
 
+@lru_cache(maxsize=100_000)
+def _hashed(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
 class HashedEmbedder:
     """Unit vectors of signed word counts in ``width`` places."""
 
@@ -41,7 +47,7 @@ class HashedEmbedder:
         for text in texts:
             v = [0.0] * self.width
             for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+                h = _hashed(word)
                 v[h % self.width] += 1.0 if h >> 63 else -1.0
             norm = sum(x * x for x in v) ** 0.5 or 1.0
             out.append([x / norm for x in v])
