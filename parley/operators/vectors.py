@@ -77,8 +77,10 @@ def silhouette(points: DataFrame, sample: int = 2000, order: str = "vec_id", see
     """
     taken = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string"))), order).limit(sample).select(order, "label", "v")
     rows = taken.collect()
+    if not rows:
+        return points.sparkSession.createDataFrame([(None,)], "score double")
     names, labels = np.unique([r["label"] for r in rows], return_inverse=True)
-    v = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
+    v = np.array([r["v"] for r in rows], float)
     sizes = np.bincount(labels, minlength=len(names))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
