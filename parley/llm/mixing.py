@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,9 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | None], *,
     if not kinds:
         return cells.select(*DIMENSIONS, F.lit(0.0).alias("share")), 0.0
     kinds = sorted((k["lang"], k["topic"]) for k in kinds)
-    numbers = cells.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(kinds)], "lang string, topic string, kind int")
+    # An Arrow table, as Spark has a list of rows read by Python workers of a kind of their own, which then stay beside the others.
+    numbers = pa.table({"lang": pa.array([k for k, _ in kinds], pa.string()), "topic": pa.array([k for _, k in kinds], pa.string()), "kind": pa.array(range(len(kinds)), pa.int32())})
+    numbers = cells.sparkSession.createDataFrame(numbers)
     own = F.col("tokens") / F.lit(float(cells.agg(F.sum("tokens")).first()[0]))
     goals = {}
     for d in DIMENSIONS:

@@ -66,17 +66,17 @@ def _grouped(docs: DataFrame, min_documents: int, most_languages: int) -> DataFr
     return docs.join(F.broadcast(own), "lang", "left").withColumn("group", F.coalesce("own", F.lit(""))).drop("own")
 
 
-#: Words that a task counts before it gives them on.
-HELD_WORDS = 200_000
+#: Words that a task counts at once; beyond that it gives on the rarer half of them, as frequent words are met again.
+HELD_WORDS = 60_000
 
 
 def _held_by_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, word, n): how many texts (group, text) hold a word, summed over what a task has seen since it last gave counts on."""
     held: dict[tuple[str, bytes], int] = {}
 
-    def given() -> pa.RecordBatch:
-        columns = [pa.array([g for g, _ in held]), pa.array([w.decode() for _, w in held]), pa.array(list(held.values()), pa.int64())]
-        held.clear()
+    def given(rest: int) -> pa.RecordBatch:
+        gone = sorted(held, key=held.get)[: len(held) - rest]
+        columns = [pa.array([g for g, _ in gone]), pa.array([w.decode() for _, w in gone]), pa.array([held.pop(k) for k in gone], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["group", "word", "n"])
 
     for batch in batches:
@@ -95,9 +95,9 @@ def _held_by_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     key = g, raw[starts[k] : ends[k]]
                     held[key] = held.get(key, 0) + n
             if len(held) > HELD_WORDS:
-                yield given()
+                yield given(HELD_WORDS // 2)
     if held:
-        yield given()
+        yield given(0)
 
 
 def common_words(docs: DataFrame, n: int) -> dict[str, list[str]]:
