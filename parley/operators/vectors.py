@@ -59,14 +59,14 @@ def _scattered(points: DataFrame) -> DataFrame:
 
 
 def davies_bouldin(points: DataFrame) -> DataFrame:
-    """One row (score): the mean over clusters of the worst (spread + spread) / distance; centers are of checked number and pair in one join."""
+    """One row (score): the mean over clusters of the worst (spread + spread) / distance; centers pair in one join, and beyond MOST_CLUSTERS
+    are not sent to all tasks but meet part by part."""
     own = centroids(points)
-    if own.limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    few = own.limit(MOST_CLUSTERS + 1).count() <= MOST_CLUSTERS
     spread = points.join(own.select("label", "center"), "label").groupBy("label").agg(F.avg(F.sqrt(squared(F.col("v"), F.col("center")))).alias("s"))
     held = own.join(spread, "label").select("label", "center", "s")
     other = held.select(F.col("label").alias("l2"), F.col("center").alias("c2"), F.col("s").alias("s2"))
-    pairs = held.join(F.broadcast(other), F.col("label") != F.col("l2")).groupBy("label").agg(F.max((F.col("s") + F.col("s2")) / F.sqrt(squared(F.col("center"), F.col("c2")))).alias("r"))
+    pairs = held.join(F.broadcast(other) if few else other, F.col("label") != F.col("l2")).groupBy("label").agg(F.max((F.col("s") + F.col("s2")) / F.sqrt(squared(F.col("center"), F.col("c2")))).alias("r"))
     return pairs.agg(F.round(F.avg("r"), 6).alias("score"))
 
 
